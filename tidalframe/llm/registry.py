@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, sharding
+from . import language, mixing, packing, quality, secrets, sharding, topk
 
-_MODULES = (secrets, mixing, sharding)
+_MODULES = (secrets, mixing, quality, topk, language, packing, sharding)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

@@ -214,10 +214,10 @@ def _oracle() -> str:
     def kind(i: int, r: Rule) -> str:
         p = r.pattern.replace("'", "''")
         return f"""
-  SELECT rid, {i} AS rank, '{r.kind}' AS kind, unnest(list_filter(list_transform(range(1, len(hits) + 1), i -> {{
+  SELECT rid, {i} AS rank, '{r.kind}' AS kind, unnest(list_filter(list_transform(range(1, len(hits) + 1), lambda i: {{
       'ok': length(held[i]) >= {r.least},
-      's': list_sum(list_transform(gaps[1:i], x -> length(x)))::BIGINT + coalesce(list_sum(list_transform(hits[1:i-1], x -> length(x))), 0)::BIGINT,
-      'n': length(hits[i])}}), x -> x.ok)) AS m
+      's': list_sum(list_transform(gaps[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0)::BIGINT,
+      'n': length(hits[i])}}), lambda x: x.ok)) AS m
   FROM (SELECT rid, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}', 0) AS hits, regexp_extract_all(t, '{p}', {r.group}) AS held
         FROM d WHERE regexp_matches(t, '{p}'))"""
 
