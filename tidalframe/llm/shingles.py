@@ -55,11 +55,9 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         return np.zeros(0, dtype=np.uint64), counts, starts
     # Position within the word picks an odd multiplier; words are short, so few of these are made.
     width = ends - starts
-    word = np.repeat(np.arange(len(starts)), width)
-    place = np.arange(len(word)) - np.repeat(np.cumsum(width) - width, width)
+    place = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
     power = _powers(int(width.max()))
     value = _BYTE[raw[~space]] * power[place]
-    del word, place
     sums = np.add.reduceat(value, np.cumsum(width) - width)
     return mix(sums + width.astype(np.uint64)), counts, starts
 
@@ -117,3 +115,43 @@ def sets_of(texts: list[str | None], k: int = 5) -> tuple[np.ndarray, np.ndarray
     """Distinct k-word shingles of each text; null counts as empty."""
     words, counts, _ = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in texts])
     return distinct_sets(*shingle_hashes(words, counts, k))
+
+
+#: Bytes of text worked on at once; the arrays for them take about 30 times as much.
+CHUNK = 2 << 20
+
+
+def chunks(texts: list[str | None], size: int = CHUNK):
+    """(first, last) of runs of texts of about that many characters, at least one text each."""
+    first = held = 0
+    for i, t in enumerate(texts):
+        held += len(t) if t else 0
+        if held >= size:
+            yield first, i + 1
+            first, held = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
+SIGNATURE_WORDS = 8
+
+
+def signatures(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A parity bitmap of 512 bits for each set: every element flips one bit.
+
+    The bits in which two bitmaps differ are at most as many as the elements that only one set has.
+    """
+    bits = 64 * SIGNATURE_WORDS
+    at = np.repeat(np.arange(len(n)), n) * bits + (mix(hashes.view(np.uint64) + _R) & np.uint64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(n) * bits) & 1).astype(np.uint8).reshape(len(n), bits)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
+def set_ids(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each set, 0 for the empty one."""
+    out = np.zeros(len(n), dtype=np.uint64)
+    some = n > 0
+    if some.any():
+        sums = np.add.reduceat(mix(hashes.view(np.uint64) ^ _M1), (np.cumsum(n) - n)[some])
+        out[some] = mix(sums + n[some].astype(np.uint64) * _R)
+    return out.view(np.int64)
