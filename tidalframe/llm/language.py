@@ -31,12 +31,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .shingles import mix
+from .shingles import chunks, mix
 
 RARE = 1e-5
 SHARED = 0.1
 PROBES = 3
 SLOTS = 1 << 20
+#: Characters worked on at once; the arrays for them take about 60 bytes a character.
+CHUNK = 1 << 20
 UNKNOWN = "und"
 
 
@@ -81,6 +83,10 @@ class Model:
         return out
 
     def decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        parts = [self._decide(texts[lo:hi]) for lo, hi in chunks(texts, CHUNK)]
+        return [x for p in parts for x in p[0]], np.concatenate([np.zeros(0), *(p[1] for p in parts)])
+
+    def _decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         grams, owner, has = trigrams(texts)
         n = np.bincount(owner, minlength=len(texts))
         masks = self.masks(grams)
@@ -130,11 +136,12 @@ def learn(docs: DataFrame, rare: float = RARE, shared: float = SHARED, slots: in
         held: dict[str, list[pd.Series]] = {}
         for b in batches:
             for lang, part in b.groupby("lang"):
-                grams, times = np.unique(trigrams(part["text"].tolist())[0], return_counts=True)
-                old = held.setdefault(lang, [])
-                old.append(pd.Series(times, index=grams))
-                if sum(map(len, old)) > 500_000:
-                    held[lang] = [pd.concat(old).groupby(level=0).sum()]
+                texts, old = part["text"].tolist(), held.setdefault(lang, [])
+                for lo, hi in chunks(texts, CHUNK):
+                    grams, times = np.unique(trigrams(texts[lo:hi])[0], return_counts=True)
+                    old.append(pd.Series(times, index=grams))
+                    if sum(map(len, old)) > 500_000:
+                        old[:] = [pd.concat(old).groupby(level=0).sum()]
         for lang, parts in held.items():
             s = pd.concat(parts).groupby(level=0).sum()
             yield pd.DataFrame({"lang": lang, "gram": s.index.to_numpy(dtype=np.int64), "c": s.to_numpy(dtype=np.int64)})
