@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, mixing, packing, quality, secrets, sharding, topk
+from . import fingerprints, jaccard, language, mixing, packing, quality, secrets, sharding, topk
 
-_MODULES = (secrets, mixing, quality, topk, language, jaccard, packing, sharding)
+_MODULES = (secrets, fingerprints, mixing, quality, topk, language, jaccard, packing, sharding)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
