@@ -75,6 +75,10 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, ca
     return s.withColumn("target", F.least(F.col("_cap"), F.coalesce(F.col("_w") * F.col("_fill"), F.col("_cap")))).drop("_w", "_cap", "_r", "_level", "_fill")
 
 
+def n_words(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(common.WORD)).cast("long")
+
+
 def _overlap(start: Column, end: Column, upto: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.least(end, upto) - start)
 
@@ -84,8 +88,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
 
     taken = first_pass + second_pass words: those of the first and of the second round over its shard.
     """
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(common.WORD)).cast("long")
-    sized = common.stored(docs.select("doc_id", "source", size.alias("size")), "mix-sizes")
+    sized = common.stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     aimed = source_targets(by_source, weights, share, cap)
     aimed = aimed.withColumns({"_all": F.round(F.sum("target").over(W.partitionBy()) / block).cast("long"), "_one": F.lit(1), "n_shards": F.ceil(F.col("source_rows") / SHARD_ROWS)})
