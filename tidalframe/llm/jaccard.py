@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, setjoin
-from .shingles import chunks, set_ids, sets_of, signatures
+from .shingles import chunks, set_ids, sets_of, signatures, text_chunks
 
 WORDS = 5
 #: The commonest shingles that are ordered by count; the rest is ordered by hash.
 HOT = 1 << 16
+#: A shingle counts where so many of about _TOGETHER bytes of texts have it.
 _LOCAL = 4
+_TOGETHER = 8 << 20
 
 
 def _lists(values: np.ndarray, n: np.ndarray) -> pa.Array:
@@ -40,9 +42,8 @@ def hot_shingles(docs: DataFrame, words: int = WORDS, most: int = HOT) -> np.nda
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(0).to_pylist()
-            parts = [sets_of(texts[lo:hi], words)[0] for lo, hi in chunks(texts)]
-            if parts:
+            for _, _, texts in text_chunks(b.column(0), _TOGETHER):
+                parts = [sets_of(texts[lo:hi], words)[0] for lo, hi in chunks(texts)]
                 x, c = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"x": pa.array(x[c >= _LOCAL]), "c": pa.array(c[c >= _LOCAL].astype(np.int64))})
 
@@ -60,10 +61,9 @@ def described(docs: DataFrame, hot: np.ndarray, words: int = WORDS) -> DataFrame
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = table.value
         for b in batches:
-            texts = b.column(1).to_pylist()
             seen: set[int] = set()
-            for lo, hi in chunks(texts):
-                x, n = sets_of(texts[lo:hi], words)
+            for lo, hi, texts in text_chunks(b.column(1)):
+                x, n = sets_of(texts, words)
                 ids = set_ids(x, n)
                 place = np.zeros(len(x), dtype=np.int64)
                 if len(known):
@@ -102,9 +102,8 @@ def join(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
         def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                texts = b.column(0).to_pylist()
-                for lo, hi in chunks(texts):
-                    x, n = sets_of(texts[lo:hi], words)
+                for _, _, texts in text_chunks(b.column(0)):
+                    x, n = sets_of(texts, words)
                     yield pa.RecordBatch.from_arrays([pa.array(set_ids(x, n)), _lists(x, n)], names=["id", "x"])
 
         x = setjoin.maybe_in(docs, "doc_id", wanted).select("text").mapInArrow(shingled, "id long, x array<long>")

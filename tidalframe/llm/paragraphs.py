@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common, setjoin
 from .jaccard import WORDS, _lists
-from .shingles import chunks, distinct_sets, mix, set_ids, shingle_hashes, signatures, word_hashes
+from .shingles import distinct_sets, mix, set_ids, shingle_hashes, signatures, text_chunks, word_hashes
 
 MIN_WORDS = 50
 ROWS = 3
@@ -82,10 +82,9 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, words: int = WORDS, ro
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
             seen: set[int] = set()
-            for lo, hi in chunks(texts):
-                owner, line, start, size, x, n = _paragraphs(texts[lo:hi], min_words, words)
+            for lo, hi, texts in text_chunks(b.column(1)):
+                owner, line, start, size, x, n = _paragraphs(texts, min_words, words)
                 if not len(n):
                     continue
                 ids = set_ids(x, n)
@@ -112,9 +111,8 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, words: int = WORDS, ro
 
         def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                texts = b.column(0).to_pylist()
-                for lo, hi in chunks(texts):
-                    *_, x, n = _paragraphs(texts[lo:hi], min_words, words)
+                for _, _, texts in text_chunks(b.column(0)):
+                    *_, x, n = _paragraphs(texts, min_words, words)
                     yield pa.RecordBatch.from_arrays([pa.array(set_ids(x, n)), _lists(x, n)], names=["id", "x"])
 
         x = setjoin.maybe_in(docs, "doc_id", wanted).select("text").mapInArrow(shingled, "id long, x array<long>")

@@ -10,6 +10,8 @@ corpus of 10^8 share a hash with a chance of about 10^-3 in all.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -117,8 +119,8 @@ def sets_of(texts: list[str | None], k: int = 5) -> tuple[np.ndarray, np.ndarray
     return distinct_sets(*shingle_hashes(words, counts, k))
 
 
-#: Bytes of text worked on at once; the arrays for them take about 30 times as much.
-CHUNK = 2 << 20
+#: Characters of text worked on at once; the arrays for them take about 30 times as much.
+CHUNK = 1 << 18
 
 
 def chunks(texts: list[str | None], size: int = CHUNK):
@@ -133,6 +135,17 @@ def chunks(texts: list[str | None], size: int = CHUNK):
         yield first, len(texts)
 
 
+def text_chunks(column: pa.Array, size: int = CHUNK):
+    """(first, last, texts) of runs of an Arrow column of about that many bytes, as Python strings only while they are worked on."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(column):
+        base = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, base + size, side="right")))
+        yield first, last, column.slice(first, last - first).to_pylist()
+        first = last
+
+
 SIGNATURE_WORDS = 8
 
 
