@@ -1,13 +1,18 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text is cut into paragraphs (lines, long ones in stretches of about a sentence), and every
-different paragraph has a 64-bit digest whose low 24 bits check the rest.  A sketch
-is a table of cells in three parts; each digest is added to one cell of every part
-(count, XOR of digests).  Two sketches subtract cell by cell: what both versions hold
-cancels, and peeling cells that hold a single digest recovers the digests
-that only one version has.  The small sketch of CELLS cells is the fingerprint.  If
-its difference does not peel, larger sketches are made of both versions, dealt
-to blocks of about BLOCK digests, and doubled until they do.
+A text is cut into paragraphs (lines, long ones in stretches of about a sentence), and
+every different paragraph has a 64-bit digest whose low 24 bits check the rest.  A
+sketch is a table of cells in three parts; each digest is added to one cell of
+every part (count, XOR of digests).  Two sketches subtract cell by cell: what both
+versions hold cancels, and peeling cells that hold a single digest recovers the
+digests that only one version has.
+
+The fingerprint is the sketch of CELLS cells.  Where a difference of fingerprints does
+not peel, larger sketches take both versions: their cells are rows (only those in
+use), grouped by document and cell, and each round of peeling takes the single
+digests of one part out of the other parts and groups again.  All of that runs
+within the partitions of one narrow shuffle of digests.  Pairs that still fail retry in sketches
+twice as large with other places.
 
 Main path: DataFrame functions alone.  Neighbours in descending id are found in
 buckets of ids of about BUCKET_ROWS rows, each with a copy of the row that follows
@@ -31,17 +36,18 @@ from . import common
 
 #: A paragraph: 60 to 140 characters of a line up to a sentence end, else 60 or more up to a space, else the rest of the line.
 PARAGRAPH = r"[^\n]{60,140}?[.!?](?=[\x20\n]|$)|[^\n]{60,}?(?=\x20)|[^\n]+"
-CELLS = 30
-BLOCK = 64
-ROUNDS = 16
-TRIES = 4
+CELLS = 12
+#: Cells of a part of a larger sketch, for each digest of both versions; unused cells take no room.
+SPARSE = 8
+#: The parts that are peeled one after another.
+PEELS = (0, 1, 2, 0, 1, 2)
+TRIES = 6
 BUCKET_ROWS = 1024
 #: Quantiles of ids that the driver reads at most; each range between two is cut evenly if more buckets are needed.
 QUANTILES = 1024
 
 CELL = "struct<n:int,k:bigint>"
 _CHECK = (1 << 24) - 1
-_BITS = (1 << 21) - 1
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -63,80 +69,91 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), _digest))
 
 
-def _places(k: Column, part: Column, salt: Column) -> Column:
-    h = F.xxhash64(k, salt)
-    return F.array(*[(F.shiftrightunsigned(h, 21 * j).bitwiseAND(F.lit(_BITS)) % part + part * j).cast("int") for j in range(3)])
+def _in_cell(k: Column, i: int) -> Column:
+    """Whether cell i of a fingerprint takes the digest: two of its bits choose one of a part's four cells."""
+    part, slot = divmod(i, CELLS // 3)
+    return F.shiftright(k, 24 + 2 * part).bitwiseAND(F.lit(CELLS // 3 - 1)) == slot
 
 
-def _put(cells: Column, k: Column, sign: Column, part: Column, salt: Column) -> Column:
-    def put(acc: Column, at: Column) -> Column:
-        old = F.get(acc, at)
-        new = F.struct((old["n"] + sign).alias("n"), old["k"].bitwiseXOR(k).alias("k"))
-        return F.concat(F.slice(acc, F.lit(1), at), F.array(new), F.slice(acc, at + 2, F.size(acc)))
+def _cell(n: Column, k: Column) -> Column:
+    return F.struct(n.cast("int").alias("n"), k.cast("bigint").alias("k"))
 
-    return F.aggregate(_places(k, part, salt), cells, put)
 
+def _xor(keys: Column) -> Column:
+    return F.aggregate(keys, F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseXOR(k))
 
-def sketch(keys: Column, part: Column, salt: Column) -> Column:
-    """The 3 * part cells of all keys."""
-    none = F.array_repeat(F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("k")), (part * 3).cast("int"))
-    return F.aggregate(keys, none, lambda acc, k: _put(acc, k, F.lit(1), part, salt))
+
+def sketch(keys: Column) -> Column:
+    """The CELLS cells of all keys."""
+
+    def cell(i: int) -> Column:
+        return _let(F.filter(keys, lambda k: _in_cell(k, i)), lambda own: _cell(F.size(own), _xor(own)))
+
+    return F.array(*map(cell, range(CELLS)))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k")))
+    return F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x["k"].bitwiseXOR(y["k"])))
 
 
-def peel(cells: Column, part: Column, salt: Column) -> Column:
-    """The digests of a difference as array<struct<n, k>> (n = 1: only the first has it, -1: only the second), or null if it does not peel."""
+def peel(cells: Column) -> Column:
+    """The digests of a difference of fingerprints as array<struct<n, k>> (n = 1: only the first has it, -1: only the second), or null if it does not peel."""
 
     def step(state: Column, _: Column) -> Column:
         pure = F.array_distinct(F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & _valid(c["k"])))
 
+        def less(cell: Column, i: int, p: Column) -> Column:
+            own = F.filter(p, lambda x: _in_cell(x["k"], i))
+            return F.aggregate(own, cell, lambda c, x: _cell(c["n"] - x["n"], c["k"].bitwiseXOR(x["k"])))
+
         def take(p: Column) -> Column:
-            rest = F.aggregate(p, state["cells"], lambda acc, x: _put(acc, x["k"], -x["n"], part, salt))
+            rest = F.array(*[less(F.get(state["cells"], F.lit(i)), i, p) for i in range(CELLS)])
             return F.struct(rest.alias("cells"), F.concat(state["got"], p).alias("got"), (F.size(p) > 0).alias("live"))
 
-        return F.when(state["live"], _let(pure, take)).otherwise(state)
+        return F.when(state["live"], _let(pure, lambda p: F.when(F.size(p) > 0, take(p)).otherwise(F.struct(state["cells"].alias("cells"), state["got"].alias("got"), F.lit(False).alias("live"))))).otherwise(state)
 
     none = F.array().cast(f"array<{CELL}>")
     begin = F.struct(cells.alias("cells"), none.alias("got"), F.lit(True).alias("live"))
     done = lambda s: F.when(~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0)), s["got"])
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, step, done)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(CELLS)), begin, step, done)
 
 
-def _larger(a: Column, b: Column, attempt: int) -> Column:
-    """The difference of key sets by sketches made for their sizes, or null."""
-    n = F.size(a) + F.size(b)
-    blocks = F.ceil(n / BLOCK).cast("int")
-    part = F.greatest(F.lit(8), F.least(F.lit(BLOCK), n)) * (1 << attempt)
-    salt = F.lit(attempt + 1)
+def _slot(k: Column, part: Column | int, width: Column, salt: int) -> Column:
+    """The number of the cell that takes the digest in a part of a larger sketch."""
+    return F.pmod(F.xxhash64(k, F.lit(salt), F.lit(part) if isinstance(part, int) else part), width) + width * part
 
-    def block(i: Column) -> Column:
-        mine = lambda keys: F.filter(keys, lambda k: F.pmod(F.shiftright(k, 24), blocks) == i)
-        return peel(subtract(sketch(mine(a), part, salt), sketch(mine(b), part, salt)), part, salt)
 
-    found = F.transform(F.sequence(F.lit(0), F.greatest(blocks, F.lit(1)) - 1), block)
-    return _let(found, lambda x: F.when(~F.exists(x, lambda y: y.isNull()), F.flatten(x)))
+def differences(pairs: DataFrame, by: str, salt: int = 0) -> DataFrame:
+    """pairs (by, who, a, b: key arrays), already partitioned by `by`: rows (by, who, n, k).
 
-
-def difference(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
-    """The digests that only a or only b has, by peeling: the fingerprints first, then larger sketches.
-
-    Should the largest fail too (no such case is known), the sets themselves are compared.
+    n = 1: only a has the digest k; -1: only b. n = 0: the pair did not peel.
     """
-    plain = F.concat(
-        F.transform(F.array_except(a, b), lambda k: F.struct(F.lit(1).alias("n"), k.alias("k"))),
-        F.transform(F.array_except(b, a), lambda k: F.struct(F.lit(-1).alias("n"), k.alias("k"))),
-    )
-    small = peel(subtract(sketch_a, sketch_b), F.lit(CELLS // 3), F.lit(0))
-    return F.coalesce(small, *[_larger(a, b, t) for t in range(TRIES)], plain)
-
-
-def likeness(a: Column, b: Column, diff: Column) -> Column:
-    """Jaccard likeness of two key sets from their sizes and the number of recovered digests."""
-    both = F.size(a) + F.size(b)
-    apart = F.size(diff)
+    width = (F.size("a") + F.size("b")).cast("bigint") * (SPARSE << salt)
+    signed = lambda keys, n: F.transform(keys, lambda k: F.struct(F.lit(n).alias("n"), k.alias("k")))
+    rows = pairs.select(by, "who", width.alias("width"), F.explode(F.concat(signed("a", 1), signed("b", -1))).alias("x"))
+    k, w = F.col("x.k"), F.col("width")
+    rows = rows.select(by, "who", "width", F.col("x.n").cast("bigint").alias("n"), k.alias("k"), F.explode(F.array(*[_slot(k, j, w, salt) for j in range(3)])).alias("cell"))
+    keys = [by, "who", "width", "cell"]
+    put = lambda r: r.groupBy(*keys).agg(F.sum("n").alias("n"), F.expr("bit_xor(k)").alias("k")).where("n <> 0 or k <> 0")
+    cells = put(rows)
+    for part in PEELS:
+        k, n, w, cell = F.col("k"), F.col("n"), F.col("width"), F.col("cell")
+        pure = (cell >= w * part) & (cell < w * (part + 1)) & (F.abs(n) == 1) & _valid(k) & (_slot(k, part, w, salt) == cell)
+        row = lambda at, n: F.struct(at.alias("cell"), n.alias("n"), k.alias("k"))  # noqa: E731, B023
+        # A digest that is found leaves its other two cells and stays as a row of its own, with a negative cell.
+        found = F.array(row(-1 - F.shiftrightunsigned(k, 1), n), *[row(_slot(k, j, w, salt), -n) for j in range(3) if j != part])
+        cells = put(cells.select(by, "who", "width", F.explode(F.when(pure, found).otherwise(F.array(row(cell, n)))).alias("x")).select(by, "who", "width", "x.*"))
+    return cells.select(by, "who", F.when(F.col("cell") < 0, F.col("n")).otherwise(F.lit(0)).alias("n"), "k")
+
+
+def recovered(pairs: DataFrame, by: str, salt: int = 0) -> DataFrame:
+    """(by, who, apart): how many digests differ, or null if the pair did not peel."""
+    d = differences(pairs, by, salt).groupBy(by, "who").agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("n") == 0).alias("left"))
+    return d.select(by, "who", F.when(F.col("left") == 0, F.col("found")).alias("apart"))
+
+
+def likeness(both: Column, apart: Column) -> Column:
+    """Jaccard likeness of two sets from the sum of their sizes and the number of differing elements."""
     return F.when(both == 0, F.lit(1.0)).otherwise((both - apart) / (both + apart))
 
 
@@ -186,33 +203,63 @@ def bucketed(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, keys, cells of every row, and of the next in descending doc_id as `next`, after the last the first."""
+    """bucket, halo, place, doc_id, text, keys, cells of every row of the buckets and text and cells of the one that follows it, as `next`."""
     body = F.coalesce("text", F.lit(""))
     rows = bucketed(docs.select("doc_id", body.alias("text"))).repartition("bucket")
-    rows = rows.withColumn("keys", digests(F.col("text"))).withColumn("cells", sketch(F.col("keys"), F.lit(CELLS // 3), F.lit(0)))
+    rows = rows.withColumn("keys", digests(F.col("text")))
+    rows = rows.withColumn("cells", sketch(F.col("keys")))
     order = W.partitionBy("bucket").orderBy("halo", F.desc_nulls_last("doc_id"), "text")
-    following = F.lead(F.struct("text", "keys", "cells")).over(order)
-    return rows.withColumn("next", following).where("not halo").drop("bucket", "halo")
+    following = F.lead(F.struct("text", "cells", F.size("keys").alias("size"))).over(order)
+    return rows.withColumns({"next": following, "place": F.row_number().over(order)})
 
 
-def op2_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = with_next(common.documents(spark, sf_dir))
+def compared(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of docs (doc_id, text).
+
+    The edited text of a row is its own with the last half replaced by as much of the next row's.
+    """
+    c = F.col
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
-    d = d.select("doc_id", n.cast("long").alias("n_chars"), "keys", "cells", F.col("next.keys").alias("n_keys"), F.col("next.cells").alias("n_cells"), edited.alias("edited"))
-    d = d.withColumn("e_keys", digests(F.col("edited")))
-    d = d.withColumn("e_cells", sketch(F.col("e_keys"), F.lit(CELLS // 3), F.lit(0)))
-    c = F.col
-    return d.select(
-        "doc_id",
-        "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        shown(c("cells")).alias("fingerprint"),
-        shown(c("e_cells")).alias("edited_fingerprint"),
-        likeness(c("keys"), c("e_keys"), difference(c("keys"), c("e_keys"), c("cells"), c("e_cells"))).alias("near_edited"),
-        likeness(c("keys"), c("n_keys"), difference(c("keys"), c("n_keys"), c("cells"), c("n_cells"))).alias("near_next"),
-    )
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(c("next.text"), F.lit(1), half))
+    d = with_next(docs).select("bucket", "halo", "place", "doc_id", n.cast("long").alias("n_chars"), "keys", "cells", "next", F.when(~c("halo"), edited).alias("edited"))
+    d = d.withColumn("e_keys", digests(c("edited")))
+    d = d.withColumn("e_cells", sketch(c("e_keys")))
+    d = d.select(
+        "bucket", "halo", "place", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "keys", "e_keys", F.col("next.size").alias("n_size"),
+        shown(c("cells")).alias("fingerprint"), shown(c("e_cells")).alias("edited_fingerprint"),
+        F.size(peel(subtract(c("cells"), c("e_cells")))).alias("e_apart"), F.size(peel(subtract(c("cells"), c("next.cells")))).alias("n_apart"),
+    )
+    d = common.stored(d, "fingerprints")
+    # What the fingerprints alone do not tell: pairs (keys, edited keys) as 2 * place, (keys, next keys) as 2 * place + 1.
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-d.count() // (2 * BUCKET_ROWS)))
+    order = W.partitionBy("bucket").orderBy("place")
+    held = d.select("bucket", "halo", "place", "keys", "e_keys", "e_apart", "n_apart").repartition(parts, "bucket")
+    held = held.withColumn("n_keys", F.lead("keys").over(order)).where("not halo")
+    pair = lambda odd, b, known: F.when(c(known).isNull(), F.struct((c("place") * 2 + odd).cast("bigint").alias("who"), c("keys").alias("a"), c(b).alias("b")))
+    pairs = held.select("bucket", F.explode(F.array(pair(0, "e_keys", "e_apart"), pair(1, "n_keys", "n_apart"))).alias("p")).where("p is not null").select("bucket", "p.*")
+    got = common.stored(recovered(pairs, "bucket"), "recovered")
+    for salt in range(1, TRIES + 1):
+        failed = got.where("apart is null").select("bucket", "who")
+        if failed.isEmpty():
+            break
+        if salt == TRIES:
+            raise RuntimeError(f"{failed.count()} differences do not peel in sketches of {SPARSE << (TRIES - 1)} cells a digest")
+        again = pairs.join(failed, ["bucket", "who"], "left_semi").repartition("bucket")
+        got = common.stored(got.where("apart is not null").unionByName(recovered(again, "bucket", salt)), "recovered")
+    wide = got.groupBy("bucket", F.shiftright("who", 1).cast("int").alias("place")).agg(F.max(F.when(c("who") % 2 == 0, c("apart"))).alias("e"), F.max(F.when(c("who") % 2 == 1, c("apart"))).alias("x"))
+    # A pair that differs in nothing has no rows left; it counts as 0 apart.
+    out = d.where("not halo").join(wide.hint("shuffle_hash"), ["bucket", "place"], "left")
+    near = lambda size, known, found: likeness(F.size("keys") + size, F.coalesce(c(known).cast("bigint"), c(found), F.lit(0)))
+    return out.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        near(F.size("e_keys"), "e_apart", "e").alias("near_edited"), near(c("n_size"), "n_apart", "x").alias("near_next"),
+    )
+
+
+def op2_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compared(common.documents(spark, sf_dir))
 
 
 QUERIES = {"op2_iblt_fingerprints": op2_iblt_fingerprints}
