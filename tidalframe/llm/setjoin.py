@@ -4,8 +4,9 @@ A tile is a key that sets share (a shingle of their prefixes, a band of their
 MinHash).  Sets of a tile are put in order of size and cut where the next size
 is too large for any link: size-banded tiles.  Then
 
-1.  every set of a size band is tried against one leader of the band, so that a
-    large group of near copies costs as many tries as it has members;
+1.  the sets of a size band have one leader, and every set is tried against one leader
+    that its signature allows, so that a large group of near copies costs as many
+    tries as it has members;
 2.  tiles whose members the links found so far do not all connect are searched in
     full between their components, in blocks, by sizes and by signatures: the bits
     in which two parity bitmaps differ bound the overlap from above;
@@ -81,8 +82,15 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     token, sid, n, new = token[tied], sid[tied], n[tied], new[tied]
     if not len(token):
         return
+    # A tile is named by its sets: where several tokens bring the same ones together, one tile is enough.
+    first = np.flatnonzero(new)
+    names = mix(np.add.reduceat(mix(sid.view(np.uint64)), first) + np.diff(np.append(first, len(sid))).astype(np.uint64))
+    fresh = np.zeros(len(first), dtype=bool)
+    fresh[np.unique(names, return_index=True)[1]] = True
     seg = np.cumsum(new) - 1
-    tile = mix(token.view(np.uint64) ^ mix(n[new].view(np.uint64))[seg]).view(np.int64)
+    keep = fresh[seg]
+    tile = names[seg][keep].view(np.int64)
+    token, sid, n, new = token[keep], sid[keep], n[keep], new[keep]
     band = np.floor(np.log(n) / np.log(DEN / NUM)).astype(np.int64)
     edge = np.ones(len(token), dtype=bool)
     edge[1:] = new[1:] | (band[1:] != band[:-1])
@@ -95,14 +103,14 @@ def _signed(t: pa.Table, name: str) -> np.ndarray:
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, na, nb, sa, sb) that sizes and signatures allow to link."""
+    """Pairs (id, leader, na, nb, sa, sb) that sizes and signatures allow to link."""
     for b in batches:
         if b.num_rows:
             t = pa.Table.from_batches([b])
             na, nb = _ints(t, "na"), _ints(t, "nb")
             apart = np.bitwise_count(_signed(t, "sa") ^ _signed(t, "sb")).sum(1)
             ok = enough(np.minimum(np.minimum(na, nb), (na + nb - apart) // 2), na, nb)
-            yield _batch(a=_ints(t, "a")[ok], b=_ints(t, "b")[ok])
+            yield _batch(id=_ints(t, "id")[ok], leader=_ints(t, "leader")[ok])
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,13 +188,16 @@ def linked(tokens: DataFrame, n_tokens: int, sets: DataFrame, fetch: Callable[[D
         both = pairs.join(x.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").join(x.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
         return common.stored(both.select("a", "b", "xa", "xb").mapInArrow(_decided, "a long, b long"), "links")
 
-    tried = tiles.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    tried = tried.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_bounded, "a long, b long")
-    tried = common.stored(tried, "tried")
+    # Each set tries the smallest leader that its signature allows.
+    tried = tiles.where("id <> leader").select("id", "leader").distinct()
+    tried = tried.join(side("id"), "id").join(side("leader"), "leader")
+    tried = tried.select("id", "leader", F.col("nid").alias("na"), F.col("nleader").alias("nb"), F.col("sid").alias("sa"), F.col("sleader").alias("sb"))
+    tried = tried.mapInArrow(_bounded, "id long, leader long").groupBy("id").agg(F.min("leader").alias("leader"))
+    tried = common.stored(tried.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), "tried")
     links = verified(tried)
     first = components(links)
 
-    named = tiles.join(first, "id", "left").select("tile", "id", "n", F.coalesce("comp", "id").alias("comp"))
+    named = tiles.select("tile", "id", "n").distinct().join(first, "id", "left").select("tile", "id", "n", F.coalesce("comp", "id").alias("comp"))
     named = common.stored(named, "named-tiles")
     open_ = named.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
