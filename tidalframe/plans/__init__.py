@@ -1,0 +1,6 @@
+"""All queries of the library's own operators."""
+
+from . import features  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
