@@ -78,9 +78,9 @@ def described(docs: DataFrame, hot: np.ndarray, words: int = WORDS) -> DataFrame
                     seen.add(sid)
                 within = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
                 prefix = x[ordered][within < np.repeat(take, n)]
-                sig = signatures(x, n)
+                sig, width = signatures(x, n)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(ids), pa.array(n), _lists(sig.ravel(), np.full(len(n), sig.shape[1])), _lists(prefix, take)],
+                    [b.column(0).slice(lo, hi - lo), pa.array(ids), pa.array(n), _lists(sig, width), _lists(prefix, take)],
                     names=["doc_id", "id", "n", "sig", "prefix"],
                 )
 

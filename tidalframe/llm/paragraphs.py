@@ -93,9 +93,9 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, words: int = WORDS, ro
                 for k, sid in enumerate(ids.tolist()):
                     fresh[k] = sid not in seen
                     seen.add(sid)
-                sig = signatures(x, n)
+                sig, width = signatures(x, n)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo).take(pa.array(owner)), pa.array(line), pa.array(start), pa.array(size), pa.array(ids), pa.array(n), _lists(sig.ravel(), np.full(len(n), sig.shape[1])), _lists(keys[fresh].ravel(), fresh * n_bands)],
+                    [b.column(0).slice(lo, hi - lo).take(pa.array(owner)), pa.array(line), pa.array(start), pa.array(size), pa.array(ids), pa.array(n), _lists(sig, width), _lists(keys[fresh].ravel(), fresh * n_bands)],
                     names=["doc_id", "line", "start", "length", "id", "n", "sig", "bands"],
                 )
 

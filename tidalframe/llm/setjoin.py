@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .shingles import SIGNATURE_WORDS, mix
+from .shingles import bits_apart, mix
 
 #: A pair links when DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
@@ -98,8 +98,11 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _batch(tile=tile, id=sid, n=n, leader=leader)
 
 
-def _signed(t: pa.Table, name: str) -> np.ndarray:
-    return t.column(name).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SIGNATURE_WORDS)
+def _signed(t: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, offset of each row, number of words of each row) of a column of signatures."""
+    c = t.column(name).combine_chunks()
+    words = c.value_lengths().to_numpy().astype(np.int64)
+    return c.flatten().to_numpy(), np.cumsum(words) - words, words
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +111,8 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if b.num_rows:
             t = pa.Table.from_batches([b])
             na, nb = _ints(t, "na"), _ints(t, "nb")
-            apart = np.bitwise_count(_signed(t, "sa") ^ _signed(t, "sb")).sum(1)
+            rows = np.arange(len(na))
+            apart = bits_apart(*_signed(t, "sa"), rows, rows, *_signed(t, "sb"))
             ok = enough(np.minimum(np.minimum(na, nb), (na + nb - apart) // 2), na, nb)
             yield _batch(id=_ints(t, "id")[ok], leader=_ints(t, "leader")[ok])
 
@@ -121,7 +125,9 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key = mix(_ints(t, "tile").view(np.uint64) ^ mix((_ints(t, "bi").astype(np.int64) << 32 | _ints(t, "bj")).view(np.uint64)))
     n = _ints(t, "n").astype(np.int64)
     order = np.lexsort((n, key))
-    key, n, sid, comp, sig = key[order], n[order], _ints(t, "id")[order], _ints(t, "comp")[order], _signed(t, "sig")[order]
+    key, n, sid, comp = key[order], n[order], _ints(t, "id")[order], _ints(t, "comp")[order]
+    flat, offset, words = _signed(t, "sig")
+    offset, words = offset[order], words[order]
     i, step = np.arange(len(key)), 1
     while True:
         i = i[i + step < len(key)]
@@ -132,7 +138,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         j = i + step
         far = comp[i] != comp[j]
         p, q = i[far], j[far]
-        apart = np.bitwise_count(sig[p] ^ sig[q]).sum(1)
+        apart = bits_apart(flat, offset, words, p, q)
         ok = enough(np.minimum(n[p], (n[p] + n[q] - apart) // 2), n[p], n[q])
         if ok.any():
             a, b = sid[p[ok]], sid[q[ok]]

@@ -149,15 +149,44 @@ def text_chunks(column: pa.Array, size: int = CHUNK):
 SIGNATURE_WORDS = 8
 
 
-def signatures(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """A parity bitmap of 512 bits for each set: every element flips one bit.
+def signature_words(n: np.ndarray) -> np.ndarray:
+    """Words of 64 bits of a set's signature: 8, doubled until it has a bit an element (a width for each band of sizes)."""
+    k = np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / (64 * SIGNATURE_WORDS)))).astype(np.int64)
+    return SIGNATURE_WORDS << k
 
-    The bits in which two bitmaps differ are at most as many as the elements that only one set has.
+
+def signatures(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, words a set): a parity bitmap for each set, in which every element flips one bit.
+
+    The bits in which two bitmaps of one width differ are at most as many as the elements
+    that only one set has.  The halves of a bitmap XORed are its bitmap of half the width.
     """
-    bits = 64 * SIGNATURE_WORDS
-    at = np.repeat(np.arange(len(n)), n) * bits + (mix(hashes.view(np.uint64) + _R) & np.uint64(bits - 1)).astype(np.int64)
-    odd = (np.bincount(at, minlength=len(n) * bits) & 1).astype(np.uint8).reshape(len(n), bits)
-    return np.packbits(odd, axis=1).view(np.int64)
+    words = signature_words(n)
+    bits = words * 64
+    base = np.repeat(np.cumsum(bits) - bits, n)
+    at = base + (mix(hashes.view(np.uint64) + _R) & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64), words
+
+
+def bits_apart(flat: np.ndarray, offset: np.ndarray, words: np.ndarray, p: np.ndarray, q: np.ndarray, other: np.ndarray | None = None, other_offset: np.ndarray | None = None, other_words: np.ndarray | None = None) -> np.ndarray:
+    """In how many bits signature p differs from signature q, the wider one folded; q is of `other` if that is given."""
+    other = flat if other is None else other
+    q_offset, q_words = (offset, words) if other_offset is None else (other_offset, other_words)
+    out = np.zeros(len(p), dtype=np.int64)
+    wp, wq = words[p], q_words[q]
+    for a, b in {*zip(wp.tolist(), wq.tolist(), strict=True)}:
+        rows = np.flatnonzero((wp == a) & (wq == b))
+        for lo in range(0, len(rows), max(1, (1 << 20) // max(a, b))):
+            r = rows[lo : lo + max(1, (1 << 20) // max(a, b))]
+            x = flat[offset[p[r], None] + np.arange(a)]
+            y = other[q_offset[q[r], None] + np.arange(b)]
+            while x.shape[1] > y.shape[1]:
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+            while y.shape[1] > x.shape[1]:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+            out[r] = np.bitwise_count((x ^ y).view(np.uint64)).sum(1)
+    return out
 
 
 def set_ids(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
