@@ -7,9 +7,10 @@ is too large for any link: size-banded tiles.  Then
 1.  the sets of a size band have one leader, and every set is tried against one leader
     that its signature allows, so that a large group of near copies costs as many
     tries as it has members;
-2.  tiles whose members the links found so far do not all connect are searched in
-    full between their components, in blocks, by sizes and by signatures: the bits
-    in which two parity bitmaps differ bound the overlap from above;
+2.  tiles whose members the links found so far do not all connect are searched between
+    their components, in blocks, by sizes and by signatures: the bits in which two
+    parity bitmaps differ bound the overlap from above. Of two components the likeliest
+    pairs are tried first, then, in the tiles that are still open, all;
 3.  pairs that pass a bound are decided by intersecting the sorted sets.
 
 No pair of two components that one tile joins goes untried, so components are
@@ -36,6 +37,8 @@ NUM, DEN = 75, 100
 BLOCK = 2_048
 #: Rows of a task that gathers its whole partition.
 TASK_ROWS = 750_000
+#: Waves that try the BEST pairs of any two components that a task sees, before all that is left is tried.
+WAVES, BEST = 2, 3
 #: Bits of the filter of wanted ids (131,072 rows when full).
 FILTER_BITS = 1 << 23
 
@@ -114,36 +117,60 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = np.arange(len(na))
             apart = bits_apart(*_signed(t, "sa"), rows, rows, *_signed(t, "sb"))
             ok = enough(np.minimum(np.minimum(na, nb), (na + nb - apart) // 2), na, nb)
-            yield _batch(id=_ints(t, "id")[ok], leader=_ints(t, "leader")[ok])
+            yield _batch(id=_ints(t, "id")[ok], leader=_ints(t, "leader")[ok], often=_ints(t, "often")[ok])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(best: int):
     """Rows (tile, bi, bj, id, n, comp, sig) of a partition -> pairs of two components that may link."""
-    t = _table(batches)
-    if t is None:
-        return
-    key = mix(_ints(t, "tile").view(np.uint64) ^ mix((_ints(t, "bi").astype(np.int64) << 32 | _ints(t, "bj")).view(np.uint64)))
-    n = _ints(t, "n").astype(np.int64)
-    order = np.lexsort((n, key))
-    key, n, sid, comp = key[order], n[order], _ints(t, "id")[order], _ints(t, "comp")[order]
-    flat, offset, words = _signed(t, "sig")
-    offset, words = offset[order], words[order]
-    i, step = np.arange(len(key)), 1
-    while True:
-        i = i[i + step < len(key)]
-        j = i + step
-        i = i[(key[i] == key[j]) & (n[i] * DEN >= NUM * n[j])]
-        if not len(i):
+
+    def thin(rows: np.ndarray) -> np.ndarray:
+        """rows: a, b, negative overlap share, smaller and larger component; without repeats, and only the best ones of two components."""
+        rows = rows[np.lexsort(rows.T[[1, 0]])]
+        rows = rows[np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))]
+        if best:
+            rows = rows[np.lexsort(rows.T[[2, 4, 3]])]
+            new = np.append(True, (rows[1:, 3:] != rows[:-1, 3:]).any(1))
+            at = np.arange(len(rows))
+            rows = rows[at - np.maximum.accumulate(np.where(new, at, 0)) < best]
+        return rows
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _table(batches)
+        if t is None:
             return
-        j = i + step
-        far = comp[i] != comp[j]
-        p, q = i[far], j[far]
-        apart = bits_apart(flat, offset, words, p, q)
-        ok = enough(np.minimum(n[p], (n[p] + n[q] - apart) // 2), n[p], n[q])
-        if ok.any():
-            a, b = sid[p[ok]], sid[q[ok]]
-            yield _batch(a=np.minimum(a, b), b=np.maximum(a, b))
-        step += 1
+        key = mix(_ints(t, "tile").view(np.uint64) ^ mix((_ints(t, "bi").astype(np.int64) << 32 | _ints(t, "bj")).view(np.uint64)))
+        n = _ints(t, "n").astype(np.int64)
+        order = np.lexsort((n, key))
+        key, n, sid, comp = key[order], n[order], _ints(t, "id")[order], _ints(t, "comp")[order]
+        flat, offset, words = _signed(t, "sig")
+        offset, words = offset[order], words[order]
+        i, step, found, held = np.arange(len(key)), 1, [], 0
+        while True:
+            i = i[i + step < len(key)]
+            j = i + step
+            i = i[(key[i] == key[j]) & (n[i] * DEN >= NUM * n[j])]
+            if not len(i):
+                break
+            j = i + step
+            far = comp[i] != comp[j]
+            p, q = i[far], j[far]
+            overlap = np.minimum(n[p], (n[p] + n[q] - bits_apart(flat, offset, words, p, q)) // 2)
+            ok = enough(overlap, n[p], n[q])
+            if ok.any():
+                p, q = p[ok], q[ok]
+                share = -(overlap[ok] << 20) // (n[p] + n[q])
+                a, b, c, d = sid[p], sid[q], comp[p], comp[q]
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b), share, np.minimum(c, d), np.maximum(c, d)], 1))
+                held += len(a)
+                if held > 1 << 19:
+                    found = [thin(np.concatenate(found))]
+                    held = len(found[0])
+            step += 1
+        if found:
+            rows = thin(np.concatenate(found))
+            yield _batch(a=rows[:, 0], b=rows[:, 1])
+
+    return across
 
 
 def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +213,6 @@ def linked(tokens: DataFrame, n_tokens: int, sets: DataFrame, fetch: Callable[[D
     parts = lambda n: max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ROWS))
     tiles = tokens.repartition(parts(n_tokens), "token").mapInArrow(_tiles, "tile long, id long, n long, leader long")
     tiles = common.stored(tiles, "tiles")
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -194,24 +220,49 @@ def linked(tokens: DataFrame, n_tokens: int, sets: DataFrame, fetch: Callable[[D
         both = pairs.join(x.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").join(x.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
         return common.stored(both.select("a", "b", "xa", "xb").mapInArrow(_decided, "a long, b long"), "links")
 
+    tiles_sets = None
+    # Each set tries the smallest leader that its signature allows.
     # Each set tries the smallest leader that its signature allows.
-    tried = tiles.where("id <> leader").select("id", "leader").distinct()
-    tried = tried.join(side("id"), "id").join(side("leader"), "leader")
-    tried = tried.select("id", "leader", F.col("nid").alias("na"), F.col("nleader").alias("nb"), F.col("sid").alias("sa"), F.col("sleader").alias("sb"))
-    tried = tried.mapInArrow(_bounded, "id long, leader long").groupBy("id").agg(F.min("leader").alias("leader"))
-    tried = common.stored(tried.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), "tried")
+    tried = _starred(tiles.where("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("often")), sets)
     links = verified(tried)
-    first = components(links)
-
-    named = tiles.select("tile", "id", "n").distinct().join(first, "id", "left").select("tile", "id", "n", F.coalesce("comp", "id").alias("comp"))
-    named = common.stored(named, "named-tiles")
-    open_ = named.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi")
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    rest = named.join(open_.select("tile", blocks.alias("blocks")), "tile").join(sets.select("id", "sig"), "id")
-    rest = rest.withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("tile", F.least("i", "j").alias("bi"), F.greatest("i", "j").alias("bj"), "id", "n", "comp", "sig")
-    more = rest.repartition(parts(0), "tile", "bi", "bj").mapInArrow(_across, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    more = common.stored(more, "more")
-    if more.isEmpty():
-        return first
-    return components(first.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(verified(more)))
+    comps = components(links)
+    tiles_sets = None
+    for best in (*[BEST] * WAVES, 0):
+        tiles = common.stored(_open(tiles, comps), "open-tiles")
+        if tiles.isEmpty():
+            return comps
+        if tiles_sets is None:
+            tiles_sets = common.stored(sets.join(tiles.select("id").distinct(), "id", "left_semi"), "open-sets")
+        fresh = _rest(tiles, tiles_sets, parts(tiles.count()), best).join(tried, ["a", "b"], "left_anti")
+        fresh = common.stored(fresh, "tried-next")
+        if not fresh.isEmpty():
+            tried = tried.unionByName(fresh)
+            links = verified(fresh)
+            if not links.isEmpty():
+                comps = components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(links))
+    return comps
+
+
+def _starred(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) for pairs (id, leader, often): of each id the leader of most tiles that sizes and signatures allow, of equals the smallest."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"s_{c}"))
+    both = pairs.join(side("id"), "id").join(side("leader"), "leader")
+    both = both.select("id", "leader", F.col("n_id").alias("na"), F.col("n_leader").alias("nb"), F.col("s_id").alias("sa"), F.col("s_leader").alias("sb"), "often")
+    best = both.mapInArrow(_bounded, "id long, leader long, often long").groupBy("id").agg(F.min_by("leader", F.struct(-F.col("often"), F.col("leader"))).alias("leader"))
+    return common.stored(best.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), "tried")
+
+
+def _open(tiles: DataFrame, comps: DataFrame) -> DataFrame:
+    """(tile, id, n, comp) of the tiles whose sets are in more than one component."""
+    named = tiles.select("tile", "id", "n").distinct().join(comps, "id", "left").select("tile", "id", "n", F.coalesce("comp", "id").alias("comp"))
+    open_ = named.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tile")
+    return named.join(open_, "tile")
+
+
+def _rest(tiles: DataFrame, sets: DataFrame, parts: int, best: int) -> DataFrame:
+    """Pairs of open tiles across components that sizes and signatures allow; if best is given, so many of two components in a task, those of most possible overlap."""
+    size = tiles.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = tiles.join(size, "tile").join(sets.select("id", "sig"), "id")
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("tile", F.least("i", "j").alias("bi"), F.greatest("i", "j").alias("bj"), "id", "n", "comp", "sig")
+    return common.stored(rows.repartition(parts, "tile", "bi", "bj").mapInArrow(_across(best), "a long, b long"), "more").distinct()
