@@ -10,7 +10,7 @@ from ..sources.bars import LI_BARS_SQL, li_bars
 from .registry import query, rounded
 
 
-def _features(make, back: int, *more, digits: int = 6):
+def _features(make, back: int, *more, raw: tuple[str, ...] = ()):
     """A query of the features of one or more functions of Rolling."""
 
     def run(spark, sf_dir):
@@ -18,7 +18,7 @@ def _features(make, back: int, *more, digits: int = 6):
         cols = {}
         for f in (make, *more):
             cols |= f(r)
-        return rounded(with_features(li_bars(spark, sf_dir), cols, back, keep=["symbol", "datetime"]), digits)
+        return rounded(with_features(li_bars(spark, sf_dir), cols, back, keep=["symbol", "datetime"]), raw=raw)
 
     return run
 
@@ -45,22 +45,22 @@ _CLOSES = ", ".join(f"lag(close, {k}) OVER ({W}) AS c{k}" for k in range(4, 62))
 BASE = f"WITH {LI_BARS_SQL}, f AS (SELECT symbol, datetime, {_LAGS}, {_CLOSES} FROM b)"
 
 
-def sql(cols: dict[str, str], *steps: dict[str, str], digits: int = 6) -> str:
+def sql(cols: dict[str, str], *steps: dict[str, str], raw: tuple[str, ...] = ()) -> str:
     """The last of cols, *steps over the lagged bars, each step over the columns of the one before."""
     out, src = BASE, "f"
     for i, s in enumerate((cols, *steps)[:-1]):
         out += f",\ns{i} AS (SELECT *, {', '.join(f'{e} AS {k}' for k, e in s.items())} FROM {src})"
         src = f"s{i}"
     last = (cols, *steps)[-1]
-    return out + f"\nSELECT symbol, datetime, {', '.join(f'round({e}, {digits}) AS {k}' if not e.startswith('INT ') else f'CAST({e[4:]} AS INTEGER) AS {k}' for k, e in last.items())} FROM {src}"
+    return out + f"\nSELECT symbol, datetime, {', '.join(f'CAST({e[4:]} AS INTEGER) AS {k}' if e.startswith('INT ') else f'{e} AS {k}' if k in raw else f'round({e}, 6) AS {k}' for k, e in last.items())} FROM {src}"
 
 
 def ln(x: str) -> str:
     return f"CASE WHEN {x} > 0 THEN ln({x}) END"
 
 
-def add(name: str, functions, back: int, *steps: dict[str, str], digits: int = 6) -> None:
-    query(name, sql(*steps, digits=digits))(_features(functions[0], back, *functions[1:], digits=digits))
+def add(name: str, functions, back: int, *steps: dict[str, str], raw: tuple[str, ...] = ()) -> None:
+    query(name, sql(*steps, raw=raw))(_features(functions[0], back, *functions[1:], raw=raw))
 
 
 P = (1, 5, 10, 20, 60)
@@ -88,7 +88,7 @@ add("range_vols", [volatility.historical, volatility.parkinson, volatility.garma
      "yz_vol": root(f"(({mean('dn', 20)}) + {_K} * ({mean('dd', 20)}) + {1 - _K} * ({mean('rs', 20)}))")})
 add("moments", [volatility.moments], 63, {"r": "c1 / nullif(c2, 0) - 1"}, {k: e for n in (20, 60) for k, e in ((f"return_skew_{n}", full(n, "r", "skewness(r) @")), (f"return_kurt_{n}", full(n, "r", "kurtosis(r) @")))})
 add("volume_stats", [volatility.volume, volatility.dollar_volume], 22, {"d": "c1 * v1"},
-    {"volume_sma_20": mean("v1", 20), "volume_ratio": f"v1 / nullif({mean('v1', 20)}, 0)", "volume_zscore": f"(v1 - {mean('v1', 20)}) / nullif({std('v1', 20)}, 0)", "dollar_volume": "d", "dollar_volume_sma_10": mean("d", 10), "dollar_volume_sma_20": mean("d", 20), "dollar_volume_ratio": f"d / nullif({mean('d', 20)}, 0)"}, digits=4)
+    {"volume_sma_20": mean("v1", 20), "volume_ratio": f"v1 / nullif({mean('v1', 20)}, 0)", "volume_zscore": f"(v1 - {mean('v1', 20)}) / nullif({std('v1', 20)}, 0)", "dollar_volume": "d", "dollar_volume_sma_10": mean("d", 10), "dollar_volume_sma_20": mean("d", 20), "dollar_volume_ratio": f"d / nullif({mean('d', 20)}, 0)"}, raw=("dollar_volume",))
 _M = {"ret": "c1 / nullif(c2, 0) - 1", "d1": "c1 - c2", "d2": "c2 - c3", "beta": "pow(ln(h1 / l1), 2) + pow(ln(h2 / l2), 2)", "gamma": "CASE WHEN h2 IS NOT NULL THEN pow(ln(greatest(h1, h2) / least(l1, l2)), 2) END", "sp": "(h1 - l1) / nullif(c1, 0)", "vi": "(c1 - o1) / nullif(h1 - l1, 0)", "st": "abs(c1 - c2)"}
 _M2 = {"am": "abs(ret) / nullif(v1, 0)", "al": f"(sqrt(2 * beta) - sqrt(beta)) / {3 - 2 * math.sqrt(2)} - sqrt(gamma / {3 - 2 * math.sqrt(2)})"}
 _M3 = {"ca": "CASE WHEN al IS NOT NULL THEN greatest(least(al, 10.0), -10.0) END", "rl": full(20, "d2", "2 * sqrt(greatest(-(covar_samp(d1, d2) @), 0))")}

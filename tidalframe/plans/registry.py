@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,10 +21,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, for comparison with another engine's sums."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def whole(sql: str, *names: str) -> str:
+    """sql with the named columns as BIGINT."""
+    return f"SELECT * REPLACE ({', '.join(f'CAST({n} AS BIGINT) AS {n}' for n in names)}) FROM ({sql})"
 
 
-def r6(c: Column) -> Column:
-    return F.round(c, 6)
+def rounded(df: DataFrame, digits: int = 6, raw: tuple[str, ...] = ()) -> DataFrame:
+    """Doubles rounded, for comparison with another engine's sums."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" and c not in raw else F.col(c) for c, t in df.dtypes])
