@@ -34,10 +34,10 @@ def _stars(e: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (id, comp): the smallest node reachable from each node that has an edge to another node."""
-    e = common.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    e = common.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", narrow=True)
     known = None
     for _ in range(MAX_ROUNDS):
-        e = common.stored(_stars(_stars(e, True), False), "stars")
+        e = common.stored(_stars(_stars(e, True), False), "stars", narrow=True)
         # All edges are stars once a round changes nothing: compare counts and an order-free checksum.
         mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == known:

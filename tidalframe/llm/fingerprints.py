@@ -194,7 +194,7 @@ def bucketed(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
     # One narrow row a bucket: the id that comes first in it, and the bucket above that needs a copy of it.
     heads = rowed.groupBy("bucket").agg(F.max("doc_id").alias("head"))
     up = F.coalesce(F.lead("bucket").over(W.orderBy("bucket")), F.min("bucket").over(W.partitionBy()))
-    heads = common.stored(heads.select("bucket", "head", up.alias("above")), "id-buckets")
+    heads = common.stored(heads.select("bucket", "head", up.alias("above")), "id-buckets", narrow=True)
     joined = rowed.join(common.small(heads), "bucket")
     home = F.struct(F.col("bucket"), F.lit(False).alias("halo"))
     copy = F.struct(F.col("above").alias("bucket"), F.lit(True).alias("halo"))

@@ -27,9 +27,9 @@ from .shingles import chunks, set_ids, sets_of, signatures, text_chunks
 
 WORDS = 5
 #: The commonest shingles that are ordered by count; the rest is ordered by hash.
-HOT = 1 << 16
+HOT = 1 << 18
 #: A shingle counts where so many of about _TOGETHER bytes of texts have it.
-_LOCAL = 4
+_LOCAL = 2
 _TOGETHER = 8 << 20
 
 
@@ -48,8 +48,8 @@ def hot_shingles(docs: DataFrame, words: int = WORDS, most: int = HOT) -> np.nda
                 yield pa.RecordBatch.from_pydict({"x": pa.array(x[c >= _LOCAL]), "c": pa.array(c[c >= _LOCAL].astype(np.int64))})
 
     found = docs.select("text").mapInArrow(count, "x long, c long").groupBy("x").agg(F.sum("c").alias("c"))
-    rows = found.orderBy(F.desc("c"), "x").limit(most).select("x").collect()  # a fixed number at most
-    return np.array([r[0] for r in rows][::-1], dtype=np.int64)
+    rows = found.orderBy(F.desc("c"), "x").limit(most).select("x").toPandas()  # a fixed number at most
+    return rows["x"].to_numpy(dtype=np.int64)[::-1]
 
 
 def described(docs: DataFrame, hot: np.ndarray, words: int = WORDS) -> DataFrame:
@@ -109,7 +109,7 @@ def join(docs: DataFrame, words: int = WORDS) -> DataFrame:
         x = setjoin.maybe_in(docs, "doc_id", wanted).select("text").mapInArrow(shingled, "id long, x array<long>")
         return x.join(ids, "id", "left_semi")
 
-    comps = common.stored(setjoin.linked(tokens, n_tokens, sets, fetch), "set-components")
+    comps = common.stored(setjoin.linked(tokens, n_tokens, sets, fetch), "set-components", narrow=True)
     named = sets.select("id", "first_doc").join(comps, "id", "left").select("id", "first_doc", F.coalesce("comp", "id").alias("comp"))
     least = named.groupBy("comp").agg(F.min("first_doc").alias("component_id"))
     by_set = common.stored(named.join(least, "comp").select("id", "component_id"), "set-names")

@@ -147,7 +147,7 @@ def learn(docs: DataFrame, rare: float = RARE, shared: float = SHARED, slots: in
             yield pd.DataFrame({"lang": lang, "gram": s.index.to_numpy(dtype=np.int64), "c": s.to_numpy(dtype=np.int64)})
 
     used = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    sums = common.stored(used.mapInPandas(count, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c")), "trigrams")
+    sums = common.stored(used.mapInPandas(count, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c")), "trigrams", narrow=True)
     totals = common.small(sums.groupBy("lang").agg(F.sum("c").alias("total")))
     often = sums.join(totals, "lang").select("lang", "gram", (F.col("c") / F.col("total")).alias("p")).where(F.col("p") >= rare)
     most = often.groupBy("gram").agg(F.max("p").alias("most"))

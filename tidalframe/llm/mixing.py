@@ -92,13 +92,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     aimed = source_targets(by_source, weights, share, cap)
     aimed = aimed.withColumns({"_all": F.round(F.sum("target").over(W.partitionBy()) / block).cast("long"), "_one": F.lit(1), "n_shards": F.ceil(F.col("source_rows") / SHARD_ROWS)})
-    aimed = common.stored(apportion(aimed, ["_one"], "target", "_all", [F.col("source").asc_nulls_last()], "source_blocks"), "mix-sources")
+    aimed = common.stored(apportion(aimed, ["_one"], "target", "_all", [F.col("source").asc_nulls_last()], "source_blocks"), "mix-sources", narrow=True)
     side = common.small(aimed.select(F.col("source").alias("_source"), "source_size", "target", "n_shards", "source_blocks"))
     order = F.xxhash64(F.lit(seed), common.id_text("doc_id"))
     dealt = sized.join(side, F.col("source").eqNullSafe(F.col("_source"))).withColumns({"_order": order, "_shard": F.pmod(F.xxhash64(F.lit(seed + 1), common.id_text("doc_id")), F.col("n_shards"))}).drop("_source")
     shards = dealt.groupBy("source", "_shard", "source_blocks").agg(F.sum("size").alias("_words"))
     quotas = apportion(shards, ["source"], "_words", "source_blocks", ["_shard"], "_blocks")
-    quotas = common.stored(quotas.select(F.col("source").alias("_s"), F.col("_shard").alias("_sh"), "_words", "_blocks"), "mix-quotas")
+    quotas = common.stored(quotas.select(F.col("source").alias("_s"), F.col("_shard").alias("_sh"), "_words", "_blocks"), "mix-quotas", narrow=True)
     line = W.partitionBy("source", "_shard").orderBy("_order", "doc_id", "size")
     end = F.sum("size").over(line.rowsBetween(W.unboundedPreceding, 0))
     laid = dealt.withColumn("_end", end).join(common.small(quotas), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_sh")))

@@ -118,7 +118,7 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, words: int = WORDS, ro
         x = setjoin.maybe_in(docs, "doc_id", wanted).select("text").mapInArrow(shingled, "id long, x array<long>")
         return x.join(ids, "id", "left_semi")
 
-    comps = common.stored(setjoin.linked(tokens, n_tokens, sets, fetch), "paragraph-components")
+    comps = common.stored(setjoin.linked(tokens, n_tokens, sets, fetch), "paragraph-components", narrow=True)
     places = p.select("doc_id", "line", "start", "length", "id").join(comps, "id", "left").select("doc_id", "line", "start", "length", F.coalesce("comp", "id").alias("comp"))
     places = common.stored(places, "paragraph-places")
     key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc"), F.col("line").alias("line"))

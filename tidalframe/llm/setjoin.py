@@ -38,7 +38,7 @@ BLOCK = 2_048
 #: Rows of a task that gathers its whole partition.
 TASK_ROWS = 750_000
 #: Waves that try the BEST pairs of any two components that a task sees, before all that is left is tried.
-WAVES, BEST = 2, 3
+WAVES, BEST = 1, 3
 #: Bits of the filter of wanted ids (131,072 rows when full).
 FILTER_BITS = 1 << 23
 
@@ -218,7 +218,7 @@ def linked(tokens: DataFrame, n_tokens: int, sets: DataFrame, fetch: Callable[[D
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         x = common.stored(fetch(ids), "sets")
         both = pairs.join(x.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").join(x.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
-        return common.stored(both.select("a", "b", "xa", "xb").mapInArrow(_decided, "a long, b long"), "links")
+        return common.stored(both.select("a", "b", "xa", "xb").mapInArrow(_decided, "a long, b long"), "links", narrow=True)
 
     tiles_sets = None
     # Each set tries the smallest leader that its signature allows.
@@ -228,13 +228,13 @@ def linked(tokens: DataFrame, n_tokens: int, sets: DataFrame, fetch: Callable[[D
     comps = components(links)
     tiles_sets = None
     for best in (*[BEST] * WAVES, 0):
-        tiles = common.stored(_open(tiles, comps), "open-tiles")
+        tiles = common.stored(_open(tiles, comps), "open-tiles", narrow=True)
         if tiles.isEmpty():
             return comps
         if tiles_sets is None:
             tiles_sets = common.stored(sets.join(tiles.select("id").distinct(), "id", "left_semi"), "open-sets")
         fresh = _rest(tiles, tiles_sets, parts(tiles.count()), best).join(tried, ["a", "b"], "left_anti")
-        fresh = common.stored(fresh, "tried-next")
+        fresh = common.stored(fresh, "tried-next", narrow=True)
         if not fresh.isEmpty():
             tried = tried.unionByName(fresh)
             links = verified(fresh)
@@ -249,7 +249,7 @@ def _starred(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = pairs.join(side("id"), "id").join(side("leader"), "leader")
     both = both.select("id", "leader", F.col("n_id").alias("na"), F.col("n_leader").alias("nb"), F.col("s_id").alias("sa"), F.col("s_leader").alias("sb"), "often")
     best = both.mapInArrow(_bounded, "id long, leader long, often long").groupBy("id").agg(F.min_by("leader", F.struct(-F.col("often"), F.col("leader"))).alias("leader"))
-    return common.stored(best.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), "tried")
+    return common.stored(best.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), "tried", narrow=True)
 
 
 def _open(tiles: DataFrame, comps: DataFrame) -> DataFrame:
@@ -265,4 +265,4 @@ def _rest(tiles: DataFrame, sets: DataFrame, parts: int, best: int) -> DataFrame
     rows = tiles.join(size, "tile").join(sets.select("id", "sig"), "id")
     rows = rows.withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("tile", F.least("i", "j").alias("bi"), F.greatest("i", "j").alias("bj"), "id", "n", "comp", "sig")
-    return common.stored(rows.repartition(parts, "tile", "bi", "bj").mapInArrow(_across(best), "a long, b long"), "more").distinct()
+    return common.stored(rows.repartition(parts, "tile", "bi", "bj").mapInArrow(_across(best), "a long, b long"), "more", narrow=True).distinct()

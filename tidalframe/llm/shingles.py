@@ -150,8 +150,8 @@ SIGNATURE_WORDS = 8
 
 
 def signature_words(n: np.ndarray) -> np.ndarray:
-    """Words of 64 bits of a set's signature: 8, doubled until it has 4 bits an element (a width for each band of sizes)."""
-    k = np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / (16 * SIGNATURE_WORDS)))).astype(np.int64)
+    """Words of 64 bits of a set's signature: 8, doubled until it has 2 bits an element (a width for each band of sizes)."""
+    k = np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / (32 * SIGNATURE_WORDS)))).astype(np.int64)
     return SIGNATURE_WORDS << k
 
 
