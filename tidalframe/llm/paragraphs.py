@@ -107,16 +107,18 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, words: int = WORDS, ro
     n_tokens = p.agg(F.sum(F.size("bands"))).first()[0] or 0
 
     def fetch(ids: DataFrame) -> DataFrame:
-        wanted = ids.join(sets, "id").select(F.col("first_doc").alias("doc_id"))
+        wanted = ids.join(sets, "id").select("id", F.col("first_doc").alias("doc_id"))
 
         def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for _, _, texts in text_chunks(b.column(0)):
-                    *_, x, n = _paragraphs(texts, min_words, words)
-                    yield pa.RecordBatch.from_arrays([pa.array(set_ids(x, n)), _lists(x, n)], names=["id", "x"])
-
-        x = setjoin.maybe_in(docs, "doc_id", wanted).select("text").mapInArrow(shingled, "id long, x array<long>")
-        return x.join(ids, "id", "left_semi")
+                for lo, hi, texts in text_chunks(b.column(1)):
+                    owner, *_, x, n = _paragraphs(texts, min_words, words)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(owner)), pa.array(set_ids(x, n)), _lists(x, n)], names=["doc", "id", "x"])
+
+        found = setjoin.maybe_in(docs, "doc_id", wanted).mapInArrow(shingled, "doc long, id long, x array<long>")
+        # Of a paragraph that many documents share, the occurrence in its first document is enough.
+        first = wanted.select(F.col("id").alias("_id"), "doc_id")
+        return found.join(first, (F.col("id") == F.col("_id")) & F.col("doc").eqNullSafe(F.col("doc_id")), "left_semi").select("id", "x")
 
     comps = common.stored(setjoin.linked(tokens, n_tokens, sets, fetch), "paragraph-components", narrow=True)
     places = p.select("doc_id", "line", "start", "length", "id").join(comps, "id", "left").select("doc_id", "line", "start", "length", F.coalesce("comp", "id").alias("comp"))

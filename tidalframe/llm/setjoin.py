@@ -216,7 +216,7 @@ def linked(tokens: DataFrame, n_tokens: int, sets: DataFrame, fetch: Callable[[D
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        x = common.stored(fetch(ids), "sets")
+        x = common.stored(fetch(ids).dropDuplicates(["id"]), "sets")
         both = pairs.join(x.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").join(x.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
         return common.stored(both.select("a", "b", "xa", "xb").mapInArrow(_decided, "a long, b long"), "links", narrow=True)
 
