@@ -30,7 +30,8 @@ CANDIDATES = 8_192
 QUERIES_IN_BLOCK = 2_048
 LEAST_BLOCKS = 24
 
-_NONE = np.iinfo(np.int64).max
+#: Stands for a null id, which it orders last.
+_NONE = int(np.iinfo(np.int64).max)
 
 
 def threshold_search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
@@ -84,24 +85,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     qb = max(1, -(-nq // QUERIES_IN_BLOCK))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     deal = lambda m: F.pmod(F.xxhash64("vec_id", "v"), F.lit(m)).cast("int")
-    cand = vectors.select(deal(cb).alias("cb"), every(qb).alias("qb"), F.lit(0).alias("is_query"), "vec_id", "v")
-    ask = queries.select(every(cb).alias("cb"), deal(qb).alias("qb"), F.lit(1).alias("is_query"), "vec_id", "v")
+    named = F.coalesce("vec_id", F.lit(_NONE)).alias("vec_id")  # whole numbers stay whole in pandas
+    cand = vectors.select(deal(cb).alias("cb"), every(qb).alias("qb"), F.lit(0).alias("is_query"), named, "v")
+    ask = queries.select(every(cb).alias("cb"), deal(qb).alias("qb"), F.lit(1).alias("is_query"), named, "v")
 
     def search(g: pd.DataFrame) -> pd.DataFrame:
         width = max(map(len, g["v"]))
         is_query = g["is_query"].to_numpy() == 1
         c, a = g[~is_query], g[is_query]
-        own = a["vec_id"].to_numpy(dtype=np.int64)
-        ids = c["vec_id"].fillna(_NONE).to_numpy(dtype=np.int64)
+        own, ids = a["vec_id"].to_numpy(), c["vec_id"].to_numpy()
         if not len(c) or not len(a):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         found = threshold_search(_matrix(c["v"], width), ids, _matrix(a["v"], width), own, k)
-        rows = [(int(o), j if j != _NONE else None, s) for o, best in zip(own, found, strict=True) for s, j in best]
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype({"vec_id": "Int64"})
+        return pd.DataFrame([(o, j, s) for o, best in zip(own.tolist(), found, strict=True) for s, j in best], columns=["query_id", "vec_id", "score"])
 
     near = cand.unionByName(ask).groupBy("cb", "qb").applyInPandas(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.nullif("vec_id", F.lit(_NONE)).alias("vec_id"), "score")
 
 
 def quantized(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
