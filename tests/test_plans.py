@@ -1,5 +1,6 @@
 """Every query of the library's own operators against its SQL on the same tables."""
 
+import datetime
 import glob
 import os
 
@@ -23,8 +24,8 @@ def ordered(d: pd.DataFrame) -> pd.DataFrame:
     for c in d.columns:
         if d[c].dtype.kind == "f":
             d[c] = d[c] + 0.0
-        elif d[c].dtype.kind == "M":
-            d[c] = d[c].astype("datetime64[us]")
+        elif d[c].dtype.kind == "M" or len(d) and isinstance(d[c].iloc[0], datetime.date):
+            d[c] = pd.to_datetime(d[c]).astype("datetime64[us]")
     keys = [c for c in ("symbol", "datetime", "row_id", "fold", "role", "name", "a", "b") if c in d.columns]
     rest = [c for c in d.columns if c not in keys]
     return d.sort_values([*keys, *rest], key=lambda x: x.map(repr) if x.dtype == object else x).reset_index(drop=True)
