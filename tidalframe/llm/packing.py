@@ -36,6 +36,9 @@ GROUP = 1024
 LINEAR = 1.0
 QUADRATIC = 1.0 / CAPACITY
 
+#: Stands for a null id.
+_NONE = -(1 << 63)
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -104,10 +107,11 @@ def tokenized(docs: DataFrame, path: str, capacity: int, end_id: int, groups: in
                         part = ids[start : start + capacity]
                         full = len(part) == capacity
                         rows.append((doc_id, start, len(part), zlib.crc32(part.tobytes()), n, b"" if full else part.astype(dtype).tobytes(), group))
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "grp"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "grp"])
 
     group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("grp")
-    return docs.select("doc_id", "text", group).mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, grp long")
+    named = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_id")  # whole numbers stay whole in pandas
+    return docs.select(named, "text", group).mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, grp long")
 
 
 def assign(lengths: np.ndarray, capacity: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
@@ -152,7 +156,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         cut = part[["doc_id", "start", "doc_tokens"]].assign(start=part["start"].to_numpy() + start, length=take, ids_crc32=crc, sequence_id=base + n_full + seq, offset=offset)
         return pd.concat([whole, cut])[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
-    return tokenized(docs, path, capacity, end_id, groups).groupBy("grp").applyInPandas(fill, PIECES)
+    out = tokenized(docs, path, capacity, end_id, groups).groupBy("grp").applyInPandas(fill, PIECES)
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(_NONE)))
 
 
 def op9_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
