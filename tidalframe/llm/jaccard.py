@@ -48,8 +48,17 @@ def hot_shingles(docs: DataFrame, words: int = WORDS, most: int = HOT) -> np.nda
                 yield pa.RecordBatch.from_pydict({"x": pa.array(x[c >= _LOCAL]), "c": pa.array(c[c >= _LOCAL].astype(np.int64))})
 
     found = docs.select("text").mapInArrow(count, "x long, c long").groupBy("x").agg(F.sum("c").alias("c"))
-    rows = found.orderBy(F.desc("c"), "x").limit(most).select("x").toPandas()  # a fixed number at most
-    return rows["x"].to_numpy(dtype=np.int64)[::-1]
+    found = common.stored(found.withColumn("level", F.floor(F.log2("c") * 8).cast("int")), "common-shingles", narrow=True)
+    # As many whole levels of counts, from the top, as hold no more than `most`: a few hundred sums decide.
+    level, held = None, 0
+    for r in found.groupBy("level").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():
+        if held + r["n"] > most:
+            break
+        level, held = r["level"], held + r["n"]
+    if level is None:
+        return np.zeros(0, dtype=np.int64)
+    rows = found.where(F.col("level") >= level).select("x", "c").toPandas().sort_values(["c", "x"])  # at most `most`
+    return rows["x"].to_numpy(dtype=np.int64)
 
 
 def described(docs: DataFrame, hot: np.ndarray, words: int = WORDS) -> DataFrame:

@@ -4,9 +4,9 @@ A tile is a key that sets share (a shingle of their prefixes, a band of their
 MinHash).  Sets of a tile are put in order of size and cut where the next size
 is too large for any link: size-banded tiles.  Then
 
-1.  the sets of a size band have one leader, and every set is tried against one leader
-    that its signature allows, so that a large group of near copies costs as many
-    tries as it has members;
+1.  the sets of a size band have one leader, and every set is tried against the leader
+    that it shares most tiles with, so that a large group of near copies costs as
+    many tries as it has members;
 2.  tiles whose members the links found so far do not all connect are searched between
     their components, in blocks, by sizes and by signatures: the bits in which two
     parity bitmaps differ bound the overlap from above. Of two components the likeliest
@@ -117,7 +117,7 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = np.arange(len(na))
             apart = bits_apart(*_signed(t, "sa"), rows, rows, *_signed(t, "sb"))
             ok = enough(np.minimum(np.minimum(na, nb), (na + nb - apart) // 2), na, nb)
-            yield _batch(id=_ints(t, "id")[ok], leader=_ints(t, "leader")[ok], often=_ints(t, "often")[ok])
+            yield _batch(id=_ints(t, "id")[ok], leader=_ints(t, "leader")[ok])
 
 
 def _across(best: int):
@@ -222,8 +222,9 @@ def linked(tokens: DataFrame, n_tokens: int, sets: DataFrame, fetch: Callable[[D
 
     tiles_sets = None
     # Each set tries the smallest leader that its signature allows.
-    # Each set tries the smallest leader that its signature allows.
-    tried = _starred(tiles.where("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("often")), sets)
+    # Each set tries the leader that it shares most tiles with, if their signatures allow a link.
+    often = tiles.where("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("often"))
+    tried = _starred(often.groupBy("id").agg(F.max_by("leader", F.struct("often", -F.col("leader"))).alias("leader")), sets)
     links = verified(tried)
     comps = components(links)
     tiles_sets = None
@@ -244,11 +245,11 @@ def linked(tokens: DataFrame, n_tokens: int, sets: DataFrame, fetch: Callable[[D
 
 
 def _starred(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) for pairs (id, leader, often): of each id the leader of most tiles that sizes and signatures allow, of equals the smallest."""
+    """(a, b) for those pairs (id, leader) that sizes and signatures allow."""
     side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"s_{c}"))
     both = pairs.join(side("id"), "id").join(side("leader"), "leader")
-    both = both.select("id", "leader", F.col("n_id").alias("na"), F.col("n_leader").alias("nb"), F.col("s_id").alias("sa"), F.col("s_leader").alias("sb"), "often")
-    best = both.mapInArrow(_bounded, "id long, leader long, often long").groupBy("id").agg(F.min_by("leader", F.struct(-F.col("often"), F.col("leader"))).alias("leader"))
+    both = both.select("id", "leader", F.col("n_id").alias("na"), F.col("n_leader").alias("nb"), F.col("s_id").alias("sa"), F.col("s_leader").alias("sb"))
+    best = both.mapInArrow(_bounded, "id long, leader long")
     return common.stored(best.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), "tried", narrow=True)
 
 
