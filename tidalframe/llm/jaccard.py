@@ -103,7 +103,7 @@ def join(docs: DataFrame, words: int = WORDS) -> DataFrame:
     some = d.where("n > 0")
     sets = some.groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     sets = common.stored(sets, "distinct-sets")
-    tokens = some.select(F.explode("prefix").alias("token"), "id", "n")
+    tokens = some.select(F.posexplode("prefix").alias("pos", "token"), "id", "n").select("token", "id", "n", "pos")
     n_tokens = some.agg(F.sum(F.size("prefix"))).first()[0] or 0
 
     def fetch(ids: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, words: int = WORDS, ro
     p = common.stored(p, "paragraphs")
     sets = p.groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     sets = common.stored(sets, "distinct-paragraphs")
-    tokens = p.select(F.explode("bands").alias("token"), "id", "n")
+    tokens = p.select(F.explode("bands").alias("token"), "id", "n", F.lit(0).alias("pos"))
     n_tokens = p.agg(F.sum(F.size("bands"))).first()[0] or 0
 
     def fetch(ids: DataFrame) -> DataFrame:

@@ -39,6 +39,8 @@ BLOCK = 2_048
 TASK_ROWS = 750_000
 #: Waves that try the BEST pairs of any two components that a task sees, before all that is left is tried.
 WAVES, BEST = 1, 3
+#: Places are looked at between a row of a tile and so many next ones.
+NEAR = 64
 #: Bits of the filter of wanted ids (131,072 rows when full).
 FILTER_BITS = 1 << 23
 
@@ -66,32 +68,51 @@ def _batch(**cols) -> pa.RecordBatch:
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, id, n) of a partition -> rows (tile, id, n, leader) of tiles with two sets of linkable sizes."""
+    """Rows (token, id, n, pos) of a partition -> rows (tile, id, n, leader) of tiles with two sets that sizes and places allow to link.
+
+    pos is the token's place in its set's order.  Two sets that link have a first common
+    token, before which they share nothing: what follows it has to hold the whole overlap.
+    """
     t = _table(batches)
     if t is None:
         return
-    token, sid, n = _ints(t, "token"), _ints(t, "id"), _ints(t, "n").astype(np.int64)
+    token, sid, n, pos = _ints(t, "token"), _ints(t, "id"), _ints(t, "n").astype(np.int64), _ints(t, "pos").astype(np.int64)
     order = np.lexsort((sid, n, token))
-    token, sid, n = token[order], sid[order], n[order]
+    token, sid, n, pos = token[order], sid[order], n[order], pos[order]
     keep = np.ones(len(token), dtype=bool)
     keep[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
-    token, sid, n = token[keep], sid[keep], n[keep]
-    joined = (token[1:] == token[:-1]) & (n[:-1] * DEN >= NUM * n[1:])
+    token, sid, n, pos = token[keep], sid[keep], n[keep], pos[keep]
+    rest = n - pos
     tied = np.zeros(len(token), dtype=bool)
-    tied[1:] |= joined
-    tied[:-1] |= joined
-    new = np.ones(len(token), dtype=bool)
-    new[1:] = ~joined
-    token, sid, n, new = token[tied], sid[tied], n[tied], new[tied]
+    i, step = np.arange(len(token)), 1
+    while True:
+        i = i[i + step < len(token)]
+        i = i[(token[i] == token[i + step]) & (n[i] * DEN >= NUM * n[i + step])]
+        if not len(i):
+            break
+        if step == NEAR:  # the tiles that are this large stay whole
+            tied |= np.isin(token, token[i])
+            break
+        j = i + step
+        ok = enough(np.minimum(rest[i], rest[j]), n[i], n[j])
+        tied[i[ok]] = tied[j[ok]] = True
+        step += 1
+    token, sid, n = token[tied], sid[tied], n[tied]
     if not len(token):
         return
+    new = np.ones(len(token), dtype=bool)
+    new[1:] = (token[1:] != token[:-1]) | (n[:-1] * DEN < NUM * n[1:])
     # A tile is named by its sets: where several tokens bring the same ones together, one tile is enough.
     first = np.flatnonzero(new)
-    names = mix(np.add.reduceat(mix(sid.view(np.uint64)), first) + np.diff(np.append(first, len(sid))).astype(np.uint64))
+    size = np.diff(np.append(first, len(sid)))
+    names = mix(np.add.reduceat(mix(sid.view(np.uint64)), first) + size.astype(np.uint64))
     fresh = np.zeros(len(first), dtype=bool)
     fresh[np.unique(names, return_index=True)[1]] = True
+    fresh &= size > 1
     seg = np.cumsum(new) - 1
     keep = fresh[seg]
+    if not keep.any():
+        return
     tile = names[seg][keep].view(np.int64)
     token, sid, n, new = token[keep], sid[keep], n[keep], new[keep]
     band = np.floor(np.log(n) / np.log(DEN / NUM)).astype(np.int64)
@@ -204,8 +225,9 @@ def maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 def linked(tokens: DataFrame, n_tokens: int, sets: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, comp) for every set that links with another: the smallest id of its component.
 
-    tokens: (token, id, n), about n_tokens rows, in which two sets that link share a
-    token; repeated rows do no harm.  sets: a stored table (id, n, sig) with a row for
+    tokens: (token, id, n, pos), about n_tokens rows, in which two sets that link share a
+    token; repeated rows do no harm.  pos: the token's place in an order of elements that
+    all sets share, or 0.  sets: a stored table (id, n, sig) with a row for
     each id.  fetch: from a table of ids to (id, x: sorted distinct elements), for at
     least these ids, repeats allowed.
     """
