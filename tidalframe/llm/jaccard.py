@@ -99,12 +99,14 @@ def described(docs: DataFrame, hot: np.ndarray, words: int = WORDS) -> DataFrame
 def join(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    d = common.stored(described(docs, hot_shingles(docs, words), words), "shingle-sets")
+    # Prefixes are as long as a quarter of the sets; they go to the tiles from a pass of their own and are not stored.
+    full = described(docs, hot_shingles(docs, words), words)
+    d = common.stored(full.select("doc_id", "id", "n", "sig"), "shingle-sets")
     some = d.where("n > 0")
     sets = some.groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     sets = common.stored(sets, "distinct-sets")
-    tokens = some.select(F.posexplode("prefix").alias("pos", "token"), "id", "n").select("token", "id", "n", "pos")
-    n_tokens = some.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    tokens = full.select(F.posexplode("prefix").alias("pos", "token"), "id", "n").select("token", "id", "n", "pos")
+    n_tokens = some.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
 
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = ids.join(sets, "id").select(F.col("first_doc").alias("doc_id"))
