@@ -75,7 +75,9 @@ def test_topk_odd_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).withColumn("v", F.lit(1))
     v = topk.quantized(df)
     out = topk.top_k(v, v.where(F.col("vec_id") % 50 == 0).dropDuplicates(["vec_id", "v"])).orderBy("query_id", "rank").toPandas()
-    assert out[out.query_id == 0].vec_id.tolist()[:2] == [55, 50] and out[out.query_id == 0].score.tolist()[0] == 256 * 768
+    first = out[out.query_id == 0]
+    assert first.vec_id.tolist()[0] == 50 and pd.isna(first.vec_id.tolist()[1]) and first.vec_id.tolist()[2:4] == [55, 56]
+    assert first.score.tolist()[:4] == [256**2 + 512**2] * 2 + [256 * 768, 0]
     assert set(out.query_id) == {0, 50} and not set(out.vec_id.dropna()) & {51, 52, 53, 54}
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
