@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common, setjoin
 from .jaccard import WORDS, _lists
+from .passages import passages
 from .shingles import distinct_sets, mix, set_ids, shingle_hashes, signatures, text_chunks, word_hashes
 
 MIN_WORDS = 50
@@ -137,5 +138,10 @@ def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated(common.documents(spark, sf_dir))
 
 
-QUERIES = {"op3_paragraph_dedup": op3_paragraph_dedup}
+def op3_lines_and_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of lines, and the passages that no line shows; where both find a stretch, both report it."""
+    return op3_paragraph_dedup(spark, sf_dir).unionByName(passages(common.documents(spark, sf_dir)))
+
+
+QUERIES = {"op3_paragraph_dedup": op3_lines_and_passages}
 ORACLES: dict[str, str] = {}

@@ -1,0 +1,186 @@
+"""Repeated passages: runs of words that stand verbatim in two documents, wherever lines break.
+
+Every MIN_WORDS words in a row are a window.  The least hash among its stretches of half
+as many words is its anchor, so equal windows have equal anchors, at one place within
+them, and a document has about one anchor to 13 words (winnowing).  Then
+
+1.  anchors of two documents or more are kept (a broadcast bit table passes some others);
+2.  the words about an anchor, as far as its windows reach, are its context.  Where
+    all documents of an anchor have one context, they share all of its windows;
+3.  where contexts differ, the windows of each context meet by their hashes, read once from
+    the context's first document;
+4.  windows of a document that follow each other and whose first occurrences do too
+    are merged to runs.
+
+So a window is in a run exactly if another document has it (words known by 64-bit
+hashes); no pair of documents is listed.
+
+Defined cases: null and short texts have no windows; A-Z are lower-cased; all rows of
+one id are one document, each row of a null id is one of its own; null ids come last;
+an empty table gives an empty result; extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from . import common, setjoin
+from .jaccard import _lists
+from .shingles import _R, _SPACE, _powers, mix, text_chunks, word_hashes
+
+MIN_WORDS = 50
+_BASE = int(_R) | 1
+_PLACE = np.uint64((1 << 26) - 1)
+
+
+class Anchors:
+    """Anchors of a batch of texts, in order: owner (text), pos (word), before (words from its first window to it), m (windows), a and c (hashes of itself and its context)."""
+
+    def __init__(self, texts: list[str | None], size: int):
+        self.size, k = size, size // 2
+        self.raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        words, counts, self.starts = word_hashes(self.raw)
+        n, last = len(words), np.cumsum(counts)
+        first = last - counts
+        power = _powers(n + 1)
+        self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * power[:n])])
+        self.inverse = _inverses(n + 1)
+        per = np.maximum(counts - size + 1, 0)
+        self.at = np.repeat(first - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))  # first word of each window
+        self.owner = self.pos = self.before = self.m = np.zeros(0, dtype=np.int64)
+        self.a = self.c = np.zeros(0, dtype=np.int64)
+        if not len(self.at):
+            return
+        grams = self.hashes(np.arange(n - k + 1), k)
+        low = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
+        reach, step = size - k + 1, 1
+        while step * 2 <= reach:  # low: the least of so many stretches
+            low, step = np.minimum(low[:-step], low[step:]), step * 2
+        pos = (np.minimum(low[self.at], low[self.at + reach - step]) & _PLACE).astype(np.int64)
+        new = np.flatnonzero(np.append(True, pos[1:] != pos[:-1]))
+        pos, self.m, start = pos[new], np.diff(np.append(new, len(pos))), self.at[new]
+        self.owner = np.repeat(np.arange(len(per)), per)[new]
+        self.pos, self.before = pos - first[self.owner], pos - start
+        left = np.maximum(first[self.owner], pos - (size - k))
+        right = np.minimum(last[self.owner], pos + size)
+        self.a = grams[pos].view(np.int64)
+        self.c = mix(self.hashes(left, right - left) + mix(((pos - left) * 1024 + (right - left)).astype(np.uint64) + _R)).view(np.int64)
+
+    def hashes(self, first: np.ndarray, n) -> np.ndarray:
+        return mix((self.sums[first + n] - self.sums[first]) * self.inverse[first] + np.asarray(n).astype(np.uint64))
+
+    def windows(self) -> np.ndarray:
+        return self.hashes(self.at, self.size).view(np.int64)
+
+    def places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first character, end, line) of each window in its text."""
+        raw = np.frombuffer(b"\n".join(self.raw) + b"\n", dtype=np.uint8)
+        blank = np.flatnonzero(_SPACE[raw])
+        head = self.starts[self.at]
+        end = blank[np.searchsorted(blank, self.starts[self.at + self.size - 1])]
+        size = np.fromiter((len(t) + 1 for t in self.raw), dtype=np.int64, count=len(self.raw))
+        base = (np.cumsum(size) - size)[np.repeat(self.owner, self.m)]
+        chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        lines = np.concatenate([[0], np.cumsum(raw == 10)])
+        return chars[head] - chars[base], chars[end] - chars[base], lines[head] - lines[base]
+
+
+def _inverses(n: int) -> np.ndarray:
+    """Inverses modulo 2^64 of _powers(n)."""
+    x = _powers(n)
+    y = x * np.uint64(3) ^ np.uint64(2)  # right in 5 bits
+    for _ in range(4):
+        y = y * (np.uint64(2) - x * y)
+    return y
+
+
+def _several() -> Column:
+    """Of lo, hi (ids) and ulo, uhi (rows without an id): two documents at least."""
+    either = (F.col("lo") != F.col("hi"), F.col("ulo") != F.col("uhi"), F.col("lo").isNotNull() & F.col("ulo").isNotNull())
+    return F.coalesce(either[0], F.lit(False)) | F.coalesce(either[1], F.lit(False)) | either[2]
+
+
+def _spread(*ids: str) -> list[Column]:
+    lo, hi, ulo, uhi = ids
+    return [F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.min(ulo).alias("ulo"), F.max(uhi).alias("uhi")]
+
+
+def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """A row for each run of windows that another document has, too.
+
+    doc_id, line, start, length (characters), cluster_doc, cluster_line (of the first
+    occurrence), copies (occurrences of its commonest window), removed (not the first).
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed = docs.select("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("u"), F.xxhash64("text").alias("th"), "text")
+
+    def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, texts in text_chunks(b.column(3)):
+                x = Anchors(texts, min_words)
+                ids = b.slice(lo, hi - lo).take(pa.array(x.owner))
+                yield pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), pa.array(x.a)], names=["doc_id", "u", "a"])
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, texts in text_chunks(b.column(3)):
+                x = Anchors(texts, min_words)
+                ids = b.slice(lo, hi - lo).take(pa.array(x.owner))
+                places = [_lists(p.astype(np.int32), x.m) for p in (x.places() if len(x.at) else (x.at,) * 3)]
+                numbers = [pa.array(v.astype(np.int32)) for v in (x.pos, x.before)]
+                yield pa.RecordBatch.from_arrays([*ids.columns[:3], *numbers, pa.array(x.a), pa.array(x.c), *places], names=["doc_id", "u", "th", "pos", "before", "a", "c", "head", "tail", "lines"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, texts in text_chunks(b.column(0)):
+                x = Anchors(texts, min_words)
+                yield pa.RecordBatch.from_arrays([pa.array(x.c), pa.array(x.before.astype(np.int32)), _lists(x.windows() if len(x.at) else x.at, x.m)], names=["c", "before", "w"])
+
+    met = keyed.mapInArrow(light, "doc_id long, u long, a long").groupBy("a").agg(*_spread("doc_id", "doc_id", "u", "u")).where(_several()).select("a")
+    met = common.stored(met, "passage-anchors", narrow=True)
+    schema = "doc_id long, u long, th long, pos int, before int, a long, c long, head array<int>, tail array<int>, lines array<int>"
+    rows = common.stored(setjoin.maybe_in(keyed.mapInArrow(full, schema), "a", met), "passage-rows")
+    lead = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc"), "th", "pos", "lines")
+    contexts = rows.groupBy("c").agg(F.min("a").alias("a"), F.min("before").alias("before"), F.min(lead).alias("lead"), *_spread("doc_id", "doc_id", "u", "u"), F.count(F.lit(1)).alias("n"))
+    contexts = common.stored(contexts, "passage-contexts")
+    shared = contexts.groupBy("a").agg((F.count(F.lit(1)) > 1).alias("many"), *_spread("lo", "hi", "ulo", "uhi")).where(_several()).select("a", "many")
+    contexts = common.stored(contexts.join(shared, "a"), "passage-shared")
+    c = F.col
+    line = F.get("lead.lines", F.lit(0))
+    whole = contexts.where("not many").select("c", (c("before") - F.size("lead.lines") + 1).alias("l_lo"), c("before").alias("l_hi"), c("lead.doc").alias("lead_doc"), c("lead.th").alias("lead_th"), c("lead.pos").alias("lead_pos"), line.alias("lead_line"), "n")
+
+    mixed = contexts.where("many").select("c", c("lead.doc").alias("doc_id"), "lead", "lo", "hi", "ulo", "uhi", "n")
+    found = setjoin.maybe_in(docs, "doc_id", mixed.select("doc_id")).select("text").mapInArrow(hashed, "c long, before int, w array<long>")
+    found = setjoin.maybe_in(found, "c", mixed.select("c")).dropDuplicates(["c"])
+    each = mixed.join(found, "c").select("c", "before", "lead", "lo", "hi", "ulo", "uhi", "n", F.posexplode("w").alias("i", "w"))
+    first = F.struct("lead.unnamed", "lead.doc", "lead.th", "lead.pos", F.get("lead.lines", c("i")).alias("line"))
+    each = common.stored(each.select("w", "c", (c("before") - c("i")).alias("l"), first.alias("lead"), "lo", "hi", "ulo", "uhi", "n"), "passage-windows")
+    windows = each.groupBy("w").agg(F.min("lead").alias("lead"), *_spread("lo", "hi", "ulo", "uhi"), F.sum("n").alias("n")).where(_several()).select("w", "lead", "n")
+    part = each.select("w", "c", "l").join(windows, "w").select("c", "l", "lead.doc", "lead.th", "lead.pos", "lead.line", "n")
+    # Windows of a context that follow each other and have one first occurrence.
+    step = c("l") - F.row_number().over(W.partitionBy("c", "doc", "th", "pos").orderBy("l"))
+    part = part.withColumn("step", step).groupBy("c", "doc", "th", "pos", "step").agg(F.min("l").alias("l_lo"), F.max("l").alias("l_hi"), F.max_by("line", "l").alias("lead_line"), F.max("n").alias("n"))
+    part = part.select("c", "l_lo", "l_hi", c("doc").alias("lead_doc"), c("th").alias("lead_th"), c("pos").alias("lead_pos"), "lead_line", "n")
+    spans = common.stored(whole.unionByName(part), "passage-spans")
+
+    hit = rows.join(spans, "c").select(
+        "doc_id", "th", "lead_doc", "lead_th", (c("lead_pos") - c("pos")).alias("delta"), (c("pos") - c("l_hi")).alias("first"), (c("pos") - c("l_lo")).alias("last"),
+        F.get("head", c("before") - c("l_hi")).alias("start"), F.get("lines", c("before") - c("l_hi")).alias("line"), F.get("tail", c("before") - c("l_lo")).alias("end"), "lead_line", "n",
+    )
+    same = ["doc_id", "th", "lead_doc", "lead_th", "delta"]
+    order = W.partitionBy(*same).orderBy("first")
+    until = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
+    cut = F.when(c("first") <= c("until") + 1, 0).otherwise(1)
+    runs = hit.withColumn("until", until).withColumn("run", F.sum(cut).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    runs = runs.groupBy(*same, "run").agg(F.min(F.struct("first", "start", "line", "lead_line")).alias("s"), F.max("end").alias("end"), F.max("n").alias("copies"))
+    here = c("doc_id").eqNullSafe(c("lead_doc")) & (c("th") == c("lead_th")) & (c("delta") == 0)
+    return runs.select(
+        "doc_id", c("s.line").cast("long").alias("line"), c("s.start").cast("long").alias("start"), (c("end") - c("s.start")).cast("long").alias("length"),
+        c("lead_doc").alias("cluster_doc"), c("s.lead_line").cast("long").alias("cluster_line"), "copies", (~here).alias("removed"),
+    )
