@@ -8,6 +8,7 @@ quality model, the seeded order of the mix and the tokenizer have no SQL.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidalframe.llm import common, jaccard, mixing, packing, quality, secrets
@@ -22,13 +23,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that names its component of linked documents stays, and all without shingles."""
+    """Of each component of linked rows one stays, a row of its smallest id; so do all rows without shingles."""
     docs = docs.select(*COLUMNS)
-    found = jaccard.join(docs.select("doc_id", "text"))
-    stay = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
-    # Repeated rows of one id link with each other: one of them stays.
-    return kept.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
+    found = jaccard.components_of(docs.select("doc_id", "text")).where("n_shingles > 0")
+    # A row is known by its id and text: rows of one id, or of none, that do not link all stay.
+    first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("s"))
+    stay = common.stored(first.select(F.col("s.doc_id").alias("_stay"), F.col("s.key").alias("_text")), "stay")
+    wordless = mixing.n_words(F.col("text")) == 0
+    same = F.col("doc_id").eqNullSafe(F.col("_stay")) & (F.xxhash64("text") == F.col("_text"))
+    kept = docs.where(~wordless).join(stay, same, "left_semi").withColumn("_text", F.xxhash64("text"))
+    # Equal rows of one id link with each other: one of them stays.
+    one = kept.groupBy("doc_id", "_text").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
+    return one.unionByName(docs.where(wordless))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +49,19 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document, with the words that it takes; documents that it leaves out go."""
-    docs = docs.select(*COLUMNS)
-    mixed = mixing.mix(docs)
-    takes = F.filter(F.array("first_pass", "second_pass"), lambda n: n > 0)
-    mixed = mixed.where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), takes.alias("_takes")).dropDuplicates(["_id", "_size"])
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (mixing.n_words(F.col("text")) == F.col("_size"))
-    joined = docs.join(mixed.hint("shuffle_hash"), same)
+    docs = docs.select(*COLUMNS).withColumn("_text", F.xxhash64("text"))
+    mixed = mixing.mix(docs, extra=["_text", "source"])
+    takes = F.when(F.col("taken") > 0, F.filter(F.array("first_pass", "second_pass"), lambda n: n > 0))
+    # Rows of one id, text and source have their takes in one list, which is dealt out to them.
+    mixed = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_t"), F.col("source").alias("_s"), F.col("size").alias("_size")).agg(F.collect_list(takes).alias("_all"), F.count(F.lit(1)).alias("_rows"))
+    mixed = common.stored(mixed.where(F.size("_all") > 0), "mix-takes")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t")) & F.col("source").eqNullSafe(F.col("_s"))
+    take = lambda m: docs.join(m.hint("shuffle_hash"), same)
+    joined = take(mixed.where("_rows = 1")).withColumn("_takes", F.get("_all", F.lit(0)))
+    equal = mixed.where("_rows > 1")
+    if not equal.isEmpty():
+        place = F.row_number().over(W.partitionBy("_id", "_t", "_s").orderBy("lang", "n_chars"))
+        joined = joined.unionByName(take(equal).withColumn("_takes", F.get("_all", place - 1)))
     rows = joined.withColumn("_n", F.explode("_takes"))
     text = F.when(F.col("_n") < F.col("_size"), mixing.first_words(F.col("text"), F.col("_n"))).otherwise(F.col("text"))
     return rows.withColumn("text", text).withColumn("n_chars", F.when(F.col("_n") < F.col("_size"), F.length("text")).otherwise(F.col("n_chars"))).select(*COLUMNS)

@@ -62,7 +62,7 @@ def hot_shingles(docs: DataFrame, words: int = WORDS, most: int = HOT) -> np.nda
 
 
 def described(docs: DataFrame, hot: np.ndarray, words: int = WORDS) -> DataFrame:
-    """doc_id, id, n, sig, prefix of every document; the prefix is empty where its batch holds an equal set before."""
+    """doc_id, id, n, sig, prefix, key (a hash of the text) of every document; the prefix is empty where its batch holds an equal set before."""
     at = np.argsort(hot)
     hot_sorted, shipped = hot[at], docs.sparkSession.sparkContext.broadcast
     table = shipped((hot_sorted, at.astype(np.int64) + 1))
@@ -89,19 +89,24 @@ def described(docs: DataFrame, hot: np.ndarray, words: int = WORDS) -> DataFrame
                 prefix = x[ordered][within < np.repeat(take, n)]
                 sig, width = signatures(x, n)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(ids), pa.array(n), _lists(sig, width), _lists(prefix, take)],
-                    names=["doc_id", "id", "n", "sig", "prefix"],
+                    [b.column(0).slice(lo, hi - lo), pa.array(ids), pa.array(n), _lists(sig, width), _lists(prefix, take), b.column(2).slice(lo, hi - lo)],
+                    names=["doc_id", "id", "n", "sig", "prefix", "key"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, id long, n long, sig array<long>, prefix array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(describe, "doc_id long, id long, n long, sig array<long>, prefix array<long>, key long")
 
 
 def join(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
+    return components_of(docs, words).select("doc_id", "n_shingles", "component_id")
+
+
+def components_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """join() with key (xxhash64 of the row's text) and comp, the component's name among sets (null without shingles)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Prefixes are as long as a quarter of the sets; they go to the tiles from a pass of their own and are not stored.
     full = described(docs, hot_shingles(docs, words), words)
-    d = common.stored(full.select("doc_id", "id", "n", "sig"), "shingle-sets")
+    d = common.stored(full.select("doc_id", "id", "n", "sig", "key"), "shingle-sets")
     some = d.where("n > 0")
     sets = some.groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     sets = common.stored(sets, "distinct-sets")
@@ -123,10 +128,10 @@ def join(docs: DataFrame, words: int = WORDS) -> DataFrame:
     comps = common.stored(setjoin.linked(tokens, n_tokens, sets, fetch), "set-components", narrow=True)
     named = sets.select("id", "first_doc").join(comps, "id", "left").select("id", "first_doc", F.coalesce("comp", "id").alias("comp"))
     least = named.groupBy("comp").agg(F.min("first_doc").alias("component_id"))
-    by_set = common.stored(named.join(least, "comp").select("id", "component_id"), "set-names")
-    out = d.select("doc_id", "id", "n").join(by_set, "id", "left")
+    by_set = common.stored(named.join(least, "comp").select("id", "comp", "component_id"), "set-names")
+    out = d.select("doc_id", "id", "n", "key").join(by_set, "id", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "key", "comp")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

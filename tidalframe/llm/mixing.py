@@ -84,11 +84,12 @@ def _overlap(start: Column, end: Column, upto: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = SEED, extra: list[str] | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, taken, first_pass, second_pass for every document.
+    """doc_id, size, source_size, target, taken, first_pass, second_pass and the columns `extra` for every document.
 
     taken = first_pass + second_pass words: those of the first and of the second round over its shard.
     """
-    sized = common.stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
+    extra = extra or []
+    sized = common.stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *[c for c in extra if c != "source"]), "mix-sizes")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     aimed = source_targets(by_source, weights, share, cap)
     aimed = aimed.withColumns({"_all": F.round(F.sum("target").over(W.partitionBy()) / block).cast("long"), "_one": F.lit(1), "n_shards": F.ceil(F.col("source_rows") / SHARD_ROWS)})
@@ -106,7 +107,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     once, twice = F.least(words, F.col("_words")), F.least(F.greatest(words - F.col("_words"), F.lit(0)), F.col("_words"))
     start = F.col("_end") - F.col("size")
     laid = laid.withColumns({"first_pass": _overlap(start, F.col("_end"), once), "second_pass": _overlap(start, F.col("_end"), twice)})
-    return laid.select("doc_id", "size", "source_size", "target", (F.col("first_pass") + F.col("second_pass")).alias("taken"), "first_pass", "second_pass")
+    return laid.select("doc_id", "size", "source_size", "target", (F.col("first_pass") + F.col("second_pass")).alias("taken"), "first_pass", "second_pass", *extra)
 
 
 def first_words(text: Column, n: Column) -> Column:
