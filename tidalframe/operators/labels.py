@@ -25,6 +25,12 @@ def _first(bars: Column, hit) -> Column:
     return F.get(F.filter(F.transform(bars, lambda x, i: F.when(hit(x), i + 1)), lambda i: i.isNotNull()), F.lit(0))
 
 
+def with_future(df: DataFrame, n: int) -> DataFrame:
+    """df with _fut (the next n bars), _i and _n (place and rows of the symbol)."""
+    f = with_features(df, {"_fut": _future(Rolling.of_blocks(), n), "_i": F.col(INDEX)}, 0, n)
+    return f.join(df.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n")), KEY)
+
+
 def _tail(df: DataFrame) -> DataFrame:
     """df (indexed) with _left: rows of the symbol after this one."""
     n = df.groupBy(KEY).agg(F.max(INDEX).alias("_last"))
@@ -41,14 +47,19 @@ def _scan(df: DataFrame, upper: Column, lower: Column, valid: Column, max_bars:
     keep = df.columns
     f = with_features(df.withColumns({"_up": upper, "_dn": lower, "_ok": F.coalesce(valid, F.lit(False)), "_mb": bars if bars is not None else F.lit(max_bars)}), {"_fut": _future(r, max_bars), "_i": F.col(INDEX)}, 0, max_bars)
     last = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
-    f = f.join(last, KEY).withColumn("_fut", F.slice("_fut", F.lit(1), F.col("_mb")))
+    return judged(f.join(last, KEY), keep, F.lit(max_bars), horizon, tie, excursion)
+
+
+def judged(f: DataFrame, keep: list[str], last_bars: Column, horizon: int, tie: str, excursion: tuple[str, str]) -> DataFrame:
+    """The columns of a scan, from rows with _up, _dn (barriers), _ok, _mb (limit), _fut (bars ahead), _i and _n (place and rows of the symbol); the last last_bars rows are INVALID."""
+    f = f.withColumn("_fut", F.slice("_fut", F.lit(1), F.col("_mb")))
     c = F.col
     f = f.withColumns({"_u": _first(c("_fut"), lambda x: x["high"] >= c("_up")), "_d": _first(c("_fut"), lambda x: x["low"] <= c("_dn"))})
     both = c("_u") == c("_d")
     at_open = F.get(c("_fut"), c("_u") - 1)["open"]
     nearer = F.when(F.abs(at_open - c("_up")) <= F.abs(at_open - c("_dn")), 1).otherwise(-1)
     hit = F.when(both, F.lit(INVALID) if tie == "invalid" else nearer).when(c("_d").isNull() | (c("_u") < c("_d")), F.when(c("_u").isNotNull(), 1)).otherwise(-1)
-    tail = (c("_n") - 1 - c("_i")) < max_bars
+    tail = (c("_n") - 1 - c("_i")) < last_bars
     label = F.when(tail, INVALID).when(~c("_ok"), 0).otherwise(F.coalesce(hit, F.lit(0)))
     n_hit = F.when(c("_ok"), F.least("_u", "_d"))
     bars_to = F.when(tail, 0).otherwise(F.coalesce(n_hit, c("_mb")))

@@ -22,13 +22,13 @@ REJECTED = -10_000.0
 K_RANGE, BARS_RANGE = (0.8, 2.5), (2.0, 3.0)
 
 
-def shares(df: DataFrame, horizon: int, atr: str = "atr_14") -> DataFrame:
-    """One row a symbol: shares of labels, mean bars to a hit, profit and risk by excursions, trades, mean ATR."""
+def shares(df: DataFrame, horizon: int, atr: str = "atr_14", by: tuple[str, ...] = ()) -> DataFrame:
+    """One row a symbol (and values of by): shares of labels, mean bars to a hit, profit and risk by excursions, trades, mean ATR."""
     lab, bars, mae, mfe = (F.col(f"{c}_h{horizon}") for c in ("label", "bars_to_hit", "mae", "mfe"))
     n = F.count(F.lit(1))
     toward = F.when(lab == 1, mfe).when(lab == -1, F.abs(mae)).otherwise(0.0)
     against = F.when(lab == 1, F.abs(mae)).when(lab == -1, mfe).otherwise(0.0)
-    return df.groupBy(KEY).agg(
+    return df.groupBy(KEY, *by).agg(
         (F.count_if(lab == 1) / n).alias("long"), (F.count_if(lab == -1) / n).alias("short"), (F.count_if(lab == 0) / n).alias("neutral"),
         F.avg(F.when(lab != 0, bars)).alias("bars"), F.sum(toward).alias("profit"), F.sum(against).alias("risk"), F.count_if(lab.isin(1, -1)).alias("trades"), F.avg(atr).alias("atr"),
     )
@@ -82,19 +82,21 @@ def subset(df: DataFrame, share: float = 0.3, seed: int = 42) -> DataFrame:
 def search(df: DataFrame, horizon: int, trials: int = 20, share: float = 0.3, seed: int = 42, train: float | None = None, atr: str = "atr_14") -> DataFrame:
     """symbol, k_up, k_down, max_bars, score of every candidate; train keeps the search off what follows that share of rows.
 
-    As many scans as trials, each one aggregate; the candidates are a list of numbers.
+    All candidates are scored from one scan: a small table of them is broadcast to the rows, each with its bars ahead.
     """
     if train is not None:
         n = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
         df = indexed(df).join(n, KEY).where(F.col(INDEX) < F.floor(F.col("_n") * train)).drop("_n", INDEX)
     part = kept(subset(df, share, seed), "search")
-    out = None
-    for up, down, mult in candidates(trials, seed):
-        bars = max(1, int(horizon * mult))
-        one = score(shares(labels.triple_barrier(part, horizon, up, down, bars, atr), horizon, atr), horizon)
-        one = one.select(KEY, F.lit(up).alias("k_up"), F.lit(down).alias("k_down"), F.lit(bars).alias("max_bars"), "score")
-        out = one if out is None else out.unionByName(one)
-    return out
+    tried = [(i, up, down, max(1, int(horizon * mult))) for i, (up, down, mult) in enumerate(candidates(trials, seed))]
+    table = df.sparkSession.createDataFrame(tried, "trial int, k_up double, k_down double, max_bars int")
+    f = kept(labels.with_future(part, max((t[3] for t in tried), default=1)), "search-bars")
+    c, a = F.col, F.col(atr)
+    f = f.select(KEY, "close", atr, "_fut", "_i", "_n").crossJoin(F.broadcast(table))
+    f = f.withColumns({"_up": c("close") + c("k_up") * a, "_dn": c("close") - a * c("k_down"), "_ok": F.coalesce(a > 0, F.lit(False)), "_mb": c("max_bars")})
+    by = ("trial", "k_up", "k_down", "max_bars")
+    labelled = labels.judged(f, [KEY, atr, *by], c("max_bars"), horizon, "invalid", ("mae", "mfe"))
+    return score(shares(labelled, horizon, atr, by), horizon).select(KEY, "k_up", "k_down", "max_bars", "score")
 
 
 def best(found: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def label_shares(spark, d):
 
 @query("label_search")
 def label_search(spark, d):
-    return rounded(search.best(search.search(_bars(spark, d), 5, trials=4, train=0.7)))
+    return rounded(search.best(search.search(_bars(spark, d), 5, trials=100, train=0.7)))
 
 
 def _labelled(spark, d):
@@ -37,7 +37,7 @@ _X = ["return_1", "return_5", "return_10", "stoch_k", "stoch_d", "roc_5"]
 
 @query("feature_importance")
 def feature_importance(spark, d):
-    return rounded(models.importance(_labelled(spark, d), _X, "y", trees=10))
+    return rounded(models.importance(_labelled(spark, d), _X, "y", trees=50))
 
 
 @query("out_of_fold")
