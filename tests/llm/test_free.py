@@ -161,15 +161,34 @@ def near_copies(seed, groups=6, size=40):
     return out
 
 
-@pytest.mark.parametrize("seed,block", [(1, 2048), (2, 7)])
-def test_jaccard_of_large_groups_loses_no_link(spark, monkeypatch, seed, block):
+@pytest.mark.parametrize("seed,block,best,heavy", [(1, 2048, 2, 250_000), (2, 7, 2, 250_000), (3, 11, 1, 5)])
+def test_jaccard_of_large_groups_loses_no_link(spark, monkeypatch, seed, block, best, heavy):
     monkeypatch.setattr(setjoin, "BLOCK", block)
+    monkeypatch.setattr(setjoin, "HEAVY", heavy)
+    monkeypatch.setattr(setjoin, "BEST", best)
+    monkeypatch.setattr(setjoin, "GROW", 256 if best > 1 else 16)
     texts = near_copies(seed)
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in jaccard.join(d).collect()}
     assert got == brute_components({i: shingle_set(words_of(t)) for i, t in enumerate(texts)})
 
 
+def test_a_large_group_of_near_copies_gives_few_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base, texts = [f"w{i}" for i in range(80)], []
+    for _ in range(800):
+        t = list(base)
+        for i in rng.integers(0, len(t), int(rng.integers(1, 5))):
+            t[i] = f"v{rng.integers(0, 10**6)}"
+        texts.append(" ".join(t))
+    given_, stored = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name, narrow=False: given_.append((name, stored(df, name, narrow))) or given_[-1][1])
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(d).collect()}
+    assert sum(df.count() for name, df in given_ if name in ("tried", "tried-next")) < 10 * len(texts)
+    assert got == brute_components({i: shingle_set(words_of(t)) for i, t in enumerate(texts)})
+
+
 def test_jaccard_odd_rows(odd, none):
     out = jaccard.join(odd).toPandas()
     assert len(out) == odd.count()

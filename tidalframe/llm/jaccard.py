@@ -37,8 +37,11 @@ def _lists(values: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values))
 
 
-def hot_shingles(docs: DataFrame, words: int = WORDS, most: int = HOT) -> np.ndarray:
-    """At most so many of the commonest shingles, the commonest last: those that come up repeatedly within the batches of texts."""
+def hot_shingles(docs: DataFrame, words: int = WORDS, most: int = HOT) -> tuple[np.ndarray, DataFrame]:
+    """At most so many of the commonest shingles, the commonest last: those that come up repeatedly within the batches of texts.
+
+    Also a table (token, c) of those among them that come up in more than setjoin.HEAVY documents.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -56,9 +59,10 @@ def hot_shingles(docs: DataFrame, words: int = WORDS, most: int = HOT) -> np.nda
             break
         level, held = r["level"], held + r["n"]
     if level is None:
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int64), found.limit(0).select(F.col("x").alias("token"), "c")
+    heavy = found.where((F.col("level") >= level) & (F.col("c") > setjoin.HEAVY)).select(F.col("x").alias("token"), "c")
     rows = found.where(F.col("level") >= level).select("x", "c").toPandas().sort_values(["c", "x"])  # at most `most`
-    return rows["x"].to_numpy(dtype=np.int64)
+    return rows["x"].to_numpy(dtype=np.int64), heavy
 
 
 def described(docs: DataFrame, hot: np.ndarray, words: int = WORDS) -> DataFrame:
@@ -105,7 +109,8 @@ def components_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """join() with key (xxhash64 of the row's text) and comp, the component's name among sets (null without shingles)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Prefixes are as long as a quarter of the sets; they go to the tiles from a pass of their own and are not stored.
-    full = described(docs, hot_shingles(docs, words), words)
+    hot, heavy = hot_shingles(docs, words)
+    full = described(docs, hot, words)
     d = common.stored(full.select("doc_id", "id", "n", "sig", "key"), "shingle-sets")
     some = d.where("n > 0")
     sets = some.groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("sig").alias("sig"))
@@ -125,7 +130,7 @@ def components_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
         x = setjoin.maybe_in(docs, "doc_id", wanted).select("text").mapInArrow(shingled, "id long, x array<long>")
         return x.join(ids, "id", "left_semi")
 
-    comps = common.stored(setjoin.linked(tokens, n_tokens, sets, fetch), "set-components", narrow=True)
+    comps = common.stored(setjoin.linked(tokens, n_tokens, sets, fetch, heavy), "set-components", narrow=True)
     named = sets.select("id", "first_doc").join(comps, "id", "left").select("id", "first_doc", F.coalesce("comp", "id").alias("comp"))
     least = named.groupBy("comp").agg(F.min("first_doc").alias("component_id"))
     by_set = common.stored(named.join(least, "comp").select("id", "comp", "component_id"), "set-names")

@@ -1,21 +1,23 @@
 """Exact similarity links between distinct sets, from tiles of sets that may be alike.
 
-A tile is a key that sets share (a shingle of their prefixes, a band of their
-MinHash).  Sets of a tile are put in order of size and cut where the next size
-is too large for any link: size-banded tiles.  Then
+A tile is a key that sets share (a shingle of their prefixes).  Sets of a tile are put
+in order of size and cut where the next size is too large for any link: size-banded
+tiles.  Then
 
 1.  the sets of a size band have one leader, and every set is tried against the leader
     that it shares most tiles with, so that a large group of near copies costs as
     many tries as it has members;
-2.  tiles whose members the links found so far do not all connect are searched between
-    their components, in blocks, by sizes and by signatures: the bits in which two
-    parity bitmaps differ bound the overlap from above. Of two components the likeliest
-    pairs are tried first, then, in the tiles that are still open, all;
-3.  pairs that pass a bound are decided by intersecting the sorted sets.
-
-No pair of two components that one tile joins goes untried, so components are
-those of all links, whatever the order of work, while pairs inside a component
-are not listed.
+2.  tiles whose members the links found so far do not all connect are open.  In waves,
+    their sets meet across components, by sizes and by signatures: the bits in which two
+    parity bitmaps differ bound the overlap from above.  A task gives only the likeliest
+    pairs of each component that it sees, so never more than a multiple of its rows, and
+    of the tiles that hold a pair only the least one gives it;
+3.  pairs are decided by intersecting the sorted sets, links merge components, and pairs
+    that do not link are remembered with their tile.
+
+Waves end when no task has left out a pair that is untried and that a bound allows,
+so components are those of all links, whatever the order of work, while pairs inside a
+component are not listed.
 """
 
 from __future__ import annotations
@@ -35,10 +37,10 @@ from .shingles import bits_apart, mix
 NUM, DEN = 75, 100
 #: Rows of a tile that meet at once in the full search; larger tiles are cut into pairs of blocks.
 BLOCK = 2_048
-#: Rows of a task that gathers its whole partition.
-TASK_ROWS = 750_000
-#: Waves that try the BEST pairs of any two components that a task sees, before all that is left is tried.
-WAVES, BEST = 1, 3
+#: Rows of a task that gathers its whole partition; a token of more rows than HEAVY is dealt to several tasks.
+TASK_ROWS, HEAVY = 750_000, 250_000
+#: In the first wave a task gives so many pairs for each component that it sees, in every further one GROW times as many.
+BEST, GROW = 2, 256
 #: Places are looked at between a row of a tile and so many next ones.
 NEAR = 64
 #: Bits of the filter of wanted ids (131,072 rows when full).
@@ -67,10 +69,18 @@ def _batch(**cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in cols.items()})
 
 
+def _leaders(group: np.ndarray, sid: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The smallest id of each group and size band; groups stand together, in order of n."""
+    band = np.floor(np.log(n) / np.log(DEN / NUM)).astype(np.int64)
+    edge = np.append(True, (group[1:] != group[:-1]) | (band[1:] != band[:-1]))
+    return np.minimum.reduceat(sid, np.flatnonzero(edge))[np.cumsum(edge) - 1]
+
+
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (token, id, n, pos) of a partition -> rows (tile, id, n, leader) of tiles with two sets that sizes and places allow to link.
 
-    pos is the token's place in its set's order.  Two sets that link have a first common
+    pos is the token's place in its set's order; of a token that is dealt to several tasks it is
+    negative, and all of its rows stay.   Two sets that link have a first common
     token, before which they share nothing: what follows it has to hold the whole overlap.
     """
     t = _table(batches)
@@ -79,6 +89,11 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     token, sid, n, pos = _ints(t, "token"), _ints(t, "id"), _ints(t, "n").astype(np.int64), _ints(t, "pos").astype(np.int64)
     order = np.lexsort((sid, n, token))
     token, sid, n, pos = token[order], sid[order], n[order], pos[order]
+    dealt = pos < 0
+    if dealt.any():
+        own = token[dealt]
+        yield _batch(tile=mix(own.view(np.uint64)).view(np.int64), id=sid[dealt], n=n[dealt], leader=_leaders(own, sid[dealt], n[dealt]))
+        token, sid, n, pos = token[~dealt], sid[~dealt], n[~dealt], pos[~dealt]
     keep = np.ones(len(token), dtype=bool)
     keep[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
     token, sid, n, pos = token[keep], sid[keep], n[keep], pos[keep]
@@ -114,12 +129,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not keep.any():
         return
     tile = names[seg][keep].view(np.int64)
-    token, sid, n, new = token[keep], sid[keep], n[keep], new[keep]
-    band = np.floor(np.log(n) / np.log(DEN / NUM)).astype(np.int64)
-    edge = np.ones(len(token), dtype=bool)
-    edge[1:] = new[1:] | (band[1:] != band[:-1])
-    leader = np.minimum.reduceat(sid, np.flatnonzero(edge))[np.cumsum(edge) - 1]
-    yield _batch(tile=tile, id=sid, n=n, leader=leader)
+    yield _batch(tile=tile, id=sid[keep], n=n[keep], leader=_leaders(seg[keep], sid[keep], n[keep]))
 
 
 def _signed(t: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,31 +151,49 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(id=_ints(t, "id")[ok], leader=_ints(t, "leader")[ok])
 
 
+def _likeliest(rows: np.ndarray, best: int) -> np.ndarray:
+    """rows: (negative overlap share, component, other component, ...). Those that are among the best ones of one of their components."""
+    keep = np.zeros(len(rows), dtype=bool)
+    for side in (1, 2):
+        order = np.lexsort((rows[:, 0], rows[:, side]))
+        comp = rows[order, side]
+        at = np.arange(len(rows))
+        new = np.append(True, comp[1:] != comp[:-1])
+        keep[order[at - np.maximum.accumulate(np.where(new, at, 0)) < best]] = True
+    return rows[keep]
+
+
 def _across(best: int):
-    """Rows (tile, bi, bj, id, n, comp, sig) of a partition -> pairs of two components that may link."""
-
-    def thin(rows: np.ndarray) -> np.ndarray:
-        """rows: a, b, negative overlap share, smaller and larger component; without repeats, and only the best ones of two components."""
-        rows = rows[np.lexsort(rows.T[[1, 0]])]
-        rows = rows[np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))]
-        if best:
-            rows = rows[np.lexsort(rows.T[[2, 4, 3]])]
-            new = np.append(True, (rows[1:, 3:] != rows[:-1, 3:]).any(1))
-            at = np.arange(len(rows))
-            rows = rows[at - np.maximum.accumulate(np.where(new, at, 0)) < best]
-        return rows
+    """Rows (tile, grp, part, crossed, id, n, comp, sig, others, tried) of a partition -> pairs (tile, a, b, cut) of two components that may link; cut: the task has left some out.
+
+    Rows of one tile and grp meet; where crossed is set, only those of different parts.
+    others: the set's tiles; tried: the larger ids of pairs of this tile that are known not to link.
+    """
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _table(batches)
         if t is None:
             return
-        key = mix(_ints(t, "tile").view(np.uint64) ^ mix((_ints(t, "bi").astype(np.int64) << 32 | _ints(t, "bj")).view(np.uint64)))
+        key = mix(_ints(t, "tile").view(np.uint64) ^ mix(_ints(t, "grp").view(np.uint64)))
         n = _ints(t, "n").astype(np.int64)
         order = np.lexsort((n, key))
-        key, n, sid, comp = key[order], n[order], _ints(t, "id")[order], _ints(t, "comp")[order]
+        key, n, sid, comp, tile, part, crossed = (x[order] for x in (key, n, _ints(t, "id"), _ints(t, "comp"), _ints(t, "tile"), _ints(t, "part"), _ints(t, "crossed")))
         flat, offset, words = _signed(t, "sig")
         offset, words = offset[order], words[order]
-        i, step, found, held = np.arange(len(key)), 1, [], 0
+        others, tried = t.column("others").combine_chunks(), t.column("tried").combine_chunks()
+        before: dict[int, tuple[frozenset, frozenset]] = {}
+
+        def known(r: int) -> tuple[frozenset, frozenset]:
+            if r not in before:
+                k, here = int(order[r]), int(tile[r])
+                before[r] = frozenset(x for x in others[k].as_py() if x < here), frozenset(tried[k].as_py() or ())
+            return before[r]
+
+        def untried(p: int, q: int) -> bool:
+            (tp, xp), (tq, xq) = known(p), known(q)
+            return tp.isdisjoint(tq) and (sid[q] not in xp if sid[p] < sid[q] else sid[p] not in xq)
+
+        i, step, found, held, seen = np.arange(len(key)), 1, [], 0, 0
         while True:
             i = i[i + step < len(key)]
             j = i + step
@@ -173,23 +201,24 @@ def _across(best: int):
             if not len(i):
                 break
             j = i + step
-            far = comp[i] != comp[j]
+            far = (comp[i] != comp[j]) & ((crossed[i] == 0) | (part[i] != part[j]))
             p, q = i[far], j[far]
             overlap = np.minimum(n[p], (n[p] + n[q] - bits_apart(flat, offset, words, p, q)) // 2)
             ok = enough(overlap, n[p], n[q])
             if ok.any():
-                p, q = p[ok], q[ok]
-                share = -(overlap[ok] << 20) // (n[p] + n[q])
-                a, b, c, d = sid[p], sid[q], comp[p], comp[q]
-                found.append(np.stack([np.minimum(a, b), np.maximum(a, b), share, np.minimum(c, d), np.maximum(c, d)], 1))
-                held += len(a)
+                p, q, overlap = p[ok], q[ok], overlap[ok]
+                ok = np.fromiter((untried(*x) for x in zip(p.tolist(), q.tolist(), strict=True)), dtype=bool, count=len(p))
+                p, q, overlap = p[ok], q[ok], overlap[ok]
+                a, b = sid[p], sid[q]
+                found.append(np.stack([-(overlap << 20) // (n[p] + n[q]), comp[p], comp[q], np.minimum(a, b), np.maximum(a, b), tile[p]], 1))
+                held, seen = held + len(a), seen + len(a)
                 if held > 1 << 19:
-                    found = [thin(np.concatenate(found))]
+                    found = [_likeliest(np.concatenate(found), best)]
                     held = len(found[0])
             step += 1
-        if found:
-            rows = thin(np.concatenate(found))
-            yield _batch(a=rows[:, 0], b=rows[:, 1])
+        if held:
+            rows = _likeliest(np.concatenate(found), best)
+            yield _batch(tile=rows[:, 5], a=rows[:, 3], b=rows[:, 4], cut=np.full(len(rows), held < seen or len(rows) < held))
 
     return across
 
@@ -222,18 +251,23 @@ def maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return hit.select(*rows.columns)
 
 
-def linked(tokens: DataFrame, n_tokens: int, sets: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(tokens: DataFrame, n_tokens: int, sets: DataFrame, fetch: Callable[[DataFrame], DataFrame], heavy: DataFrame | None = None) -> DataFrame:
     """(id, comp) for every set that links with another: the smallest id of its component.
 
     tokens: (token, id, n, pos), about n_tokens rows, in which two sets that link share a
     token; repeated rows do no harm.  pos: the token's place in an order of elements that
     all sets share, or 0.  sets: a stored table (id, n, sig) with a row for
     each id.  fetch: from a table of ids to (id, x: sorted distinct elements), for at
-    least these ids, repeats allowed.
+    least these ids, repeats allowed.  heavy: (token, c) of tokens of about c rows, more than
+    HEAVY, few enough for a broadcast.
     """
     spark = tokens.sparkSession
     parts = lambda n: max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ROWS))
-    tiles = tokens.repartition(parts(n_tokens), "token").mapInArrow(_tiles, "tile long, id long, n long, leader long")
+    tokens = tokens.withColumn("salt", F.lit(0))
+    if heavy is not None and not heavy.isEmpty():
+        apart = F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / HEAVY)).cast("int")
+        tokens = tokens.join(F.broadcast(heavy), "token", "left").select("token", "id", "n", F.when(F.col("c").isNull(), F.col("pos")).otherwise(-1).alias("pos"), F.coalesce(apart, F.lit(0)).alias("salt"))
+    tiles = tokens.repartition(parts(n_tokens), "token", "salt").mapInArrow(_tiles, "tile long, id long, n long, leader long")
     tiles = common.stored(tiles, "tiles")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -242,28 +276,33 @@ def linked(tokens: DataFrame, n_tokens: int, sets: DataFrame, fetch: Callable[[D
         both = pairs.join(x.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").join(x.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
         return common.stored(both.select("a", "b", "xa", "xb").mapInArrow(_decided, "a long, b long"), "links", narrow=True)
 
-    tiles_sets = None
-    # Each set tries the smallest leader that its signature allows.
     # Each set tries the leader that it shares most tiles with, if their signatures allow a link.
     often = tiles.where("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("often"))
-    tried = _starred(often.groupBy("id").agg(F.max_by("leader", F.struct("often", -F.col("leader"))).alias("leader")), sets)
-    links = verified(tried)
+    first = _starred(often.groupBy("id").agg(F.max_by("leader", F.struct("often", -F.col("leader"))).alias("leader")), sets)
+    links = verified(first)
     comps = components(links)
-    tiles_sets = None
-    for best in (*[BEST] * WAVES, 0):
-        tiles = common.stored(_open(tiles, comps), "open-tiles", narrow=True)
-        if tiles.isEmpty():
+    known, rejected, best = None, None, BEST
+    while True:
+        open_ = common.stored(_open(tiles, comps), "open-tiles", narrow=True)
+        if open_.isEmpty():
             return comps
-        if tiles_sets is None:
-            tiles_sets = common.stored(sets.join(tiles.select("id").distinct(), "id", "left_semi"), "open-sets")
-        fresh = _rest(tiles, tiles_sets, parts(tiles.count()), best).join(tried, ["a", "b"], "left_anti")
-        fresh = common.stored(fresh, "tried-next", narrow=True)
-        if not fresh.isEmpty():
-            tried = tried.unionByName(fresh)
-            links = verified(fresh)
-            if not links.isEmpty():
-                comps = components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(links))
-    return comps
+        if known is None:  # later waves have fewer open tiles and no other sets
+            ids = open_.select("id").distinct()
+            others = tiles.join(ids, "id", "left_semi").groupBy("id").agg(F.collect_set("tile").alias("others"))
+            known = common.stored(sets.join(others, "id").select("id", "sig", "others"), "open-sets")
+            end = lambda c: known.select(F.col("id").alias(c), F.col("others").alias(f"t_{c}"))
+            both = first.join(links, ["a", "b"], "left_anti").join(end("a"), "a").join(end("b"), "b")
+            rejected = common.stored(both.select(F.array_min(F.array_intersect("t_a", "t_b")).alias("tile"), "a", "b").where("tile is not null"), "rejected", narrow=True)
+        fresh = common.stored(_rest(open_, known, rejected, parts, best), "tried-next", narrow=True)
+        if fresh.isEmpty():
+            return comps
+        links = verified(fresh.select("a", "b"))
+        rejected = common.stored(rejected.unionByName(fresh.join(links, ["a", "b"], "left_anti").select("tile", "a", "b")), "rejected", narrow=True)
+        if not links.isEmpty():
+            comps = components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(links))
+        if fresh.where("cut").isEmpty():
+            return comps
+        tiles, best = open_.select("tile", "id", "n"), best * GROW
 
 
 def _starred(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -282,10 +321,29 @@ def _open(tiles: DataFrame, comps: DataFrame) -> DataFrame:
     return named.join(open_, "tile")
 
 
-def _rest(tiles: DataFrame, sets: DataFrame, parts: int, best: int) -> DataFrame:
-    """Pairs of open tiles across components that sizes and signatures allow; if best is given, so many of two components in a task, those of most possible overlap."""
-    size = tiles.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = tiles.join(size, "tile").join(sets.select("id", "sig"), "id")
-    rows = rows.withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("tile", F.least("i", "j").alias("bi"), F.greatest("i", "j").alias("bj"), "id", "n", "comp", "sig")
-    return common.stored(rows.repartition(parts, "tile", "bi", "bj").mapInArrow(_across(best), "a long, b long"), "more", narrow=True).distinct()
+def _rest(tiles: DataFrame, sets: DataFrame, rejected: DataFrame, parts: Callable[[int], int], best: int) -> DataFrame:
+    """Pairs (tile, a, b, cut) of open tiles across components that sizes and signatures allow, without rejected ones: of each component that a task sees the best.
+
+    A tile of more than BLOCK rows is cut into blocks: those of its largest component, which need not meet
+    each other, and those of all others, which are copied to every block.
+    """
+    c = F.col
+    per = tiles.groupBy("tile", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("tile").agg(F.sum("c").alias("rows"), F.max(F.struct("c", "comp")).alias("top"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("long")
+    large = c("rows") > BLOCK
+    per = per.select("tile", c("rows"), c("top.c").alias("top_rows"), c("top.comp").alias("top"), F.when(large, blocks(c("top.c"))).otherwise(0).alias("mains"), F.when(large, F.greatest(F.lit(1), blocks(c("rows") - c("top.c")))).otherwise(1).alias("rests"))
+    per = common.stored(per, "tile-blocks", narrow=True)
+    n_rows = per.agg(F.sum(F.when(c("mains") == 0, c("rows")).otherwise(c("top_rows") * c("rests") + (c("rows") - c("top_rows")) * (c("mains") + c("rests"))))).first()[0] or 0
+    tried = rejected.groupBy("tile", c("a").alias("id")).agg(F.collect_list("b").alias("tried"))
+    rows = tiles.join(per, "tile").join(sets, "id").join(tried, ["tile", "id"], "left")
+    main = (c("mains") > 0) & (c("comp") == c("top"))
+    rows = rows.withColumn("k", F.pmod(F.xxhash64("id"), F.when(main, c("mains")).otherwise(c("rests"))))
+    place = lambda grp, part, crossed: F.struct(grp.cast("long").alias("grp"), part.cast("int").alias("part"), crossed.cast("int").alias("crossed"))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f)
+    to_rests = each(c("rests"), lambda j: place(c("k") * c("rests") + j, F.lit(0), F.lit(1)))
+    to_mains = F.when(c("mains") > 0, each(c("mains"), lambda i: place(i * c("rests") + c("k"), F.lit(1), F.lit(1)))).otherwise(F.array().cast("array<struct<grp:bigint,part:int,crossed:int>>"))
+    lo, hi = lambda j: F.least(c("k"), j), lambda j: F.greatest(c("k"), j)
+    to_own = each(c("rests"), lambda j: place(c("mains") * c("rests") + lo(j) * c("rests") + hi(j), c("k") > j, c("k") != j))
+    rows = rows.withColumn("p", F.explode(F.when(main, to_rests).otherwise(F.concat(to_mains, to_own))))
+    rows = rows.select("tile", "p.*", "id", "n", "comp", "sig", "others", "tried")
+    return rows.repartition(parts(n_rows), "tile", "grp").mapInArrow(_across(best), "tile long, a long, b long, cut boolean")
