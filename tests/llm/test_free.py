@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidalframe.llm import common, components, jaccard, language, packing, paragraphs, quality, setjoin, sharding, shingles, topk
+from tidalframe.llm import common, components, jaccard, language, packing, quality, setjoin, sharding, shingles, topk
 
 
 def held(ids, k, r):
@@ -229,34 +229,6 @@ def test_components_of_long_paths_and_hubs(spark):
     assert components.components(spark.createDataFrame([(7, 7)], "a long, b long")).count() == 0
 
 
-def paragraph_clusters(rows, least=50):
-    sets, at = {}, {}
-    for i, t in rows:
-        off = 0
-        for k, line in enumerate((t or "").split("\n")):
-            w = words_of(line)
-            if len(w) >= least:
-                sets[(i, k)], at[(i, k)] = shingle_set(w), (off, len(line))
-            off += len(line) + 1
-    groups = defaultdict(list)
-    for k, c in brute_components(sets).items():
-        groups[c].append(k)
-    return {(k[0], k[1], *at[k], min(v)[0], min(v)[1], len(v), k != min(v)) for v in groups.values() if len({x[0] for x in v}) > 1 for k in v}
-
-
-def test_paragraphs_equal_brute_force(spark, sf, table):
-    got = set(map(tuple, paragraphs.op3_paragraph_dedup(spark, sf).collect()))
-    d = table("documents")
-    assert got == paragraph_clusters(zip(d.doc_id, d.text, strict=True))
-
-
-def test_paragraphs_odd_rows(odd, none):
-    got = paragraphs.repeated(odd).toPandas()
-    assert set(got.doc_id) == {4, 5} and got.removed.sum() >= 1 and (got.cluster_doc == 4).all()
-    assert paragraphs.repeated(none).count() == 0
-    assert 1 - (1 - 0.75**3) ** paragraphs.bands() >= 0.999
-
-
 def check_pieces(got, texts, capacity=packing.CAPACITY):
     from tokenizers import Tokenizer
 

@@ -1,147 +1,329 @@
-"""Substring dedup: repeated paragraphs by MinHash banding.
+"""Substring dedup: repeated paragraphs of whole texts by MinHash banding.
 
-A paragraph is a line of MIN_WORDS words or more.  Equal paragraphs become one set
-of 5-word shingles; each set gives a key for every band of its MinHash, paragraphs
-that collide in a band are joined, their exact Jaccard similarity decides
-(setjoin), and components of links are clusters.  The first occurrence of a
-cluster (smallest document, then place) stays, the others are removals.
+Paragraphs are cut by content, not by line breaks, so that a passage gives the same ones
+wherever it stands.  A shingle (5 words) whose hash is the least of WINDOW neighbours is an
+anchor; the LENGTH words about it are a paragraph.  Every run of more than LENGTH words
+holds an anchor whose paragraph reaches at most OUT words out of the run, so the paragraphs
+of two documents that share the run have a Jaccard similarity of 0.75 or more.  Then
 
-bands() picks the number of bands for the recall asked for at the threshold.
+1.  paragraphs meet by anchor and by the bands of their MinHash; bands() picks the number
+    of bands for the recall asked for at the threshold;
+2.  exact Jaccard similarity of their shingles decides (setjoin), and components of links
+    are clusters; equal paragraphs are one from the start;
+3.  paragraphs of clusters over two documents or more are put together where they overlap.
+    In each cluster the first occurrence (smallest document, then place) stays, all others
+    are removals.
 
-Defined cases: null and empty texts have no paragraphs; lines under MIN_WORDS words
-are no paragraphs (boilerplate lines stay); a cluster is reported if it spans two
-documents at least; repeated rows are two documents of one id, which alone make no
-cluster; null ids come last; an empty table gives an empty result; extra columns are
-ignored.
+So a span can reach OUT words out of what two documents share, or fall as short of it, and
+documents that share LENGTH - OUT words can meet already.
+
+Defined cases: every row is a document; null, empty and short texts (under LENGTH - OUT
+words) have no paragraphs; repeated rows are copies of each other, of which any one
+stays; null ids come last; a text is worked on as a whole, in some 60 bytes a character;
+ties between places go by id, hash of the text, then place; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common, setjoin
 from .jaccard import WORDS, _lists
-from .passages import passages
-from .shingles import distinct_sets, mix, set_ids, shingle_hashes, signatures, text_chunks, word_hashes
+from .setjoin import DEN, NUM
+from .shingles import _R, _SPACE, _powers, distinct_sets, mix, shingle_hashes, signatures, text_chunks, word_hashes
 
-MIN_WORDS = 50
-ROWS = 3
-RECALL = 0.999
+LENGTH = 50
+SHINGLES = LENGTH - WORDS + 1
+#: So many words may differ at one end of two paragraphs that link.
+OUT = SHINGLES * (DEN - NUM) // (NUM + DEN)
+FEWEST = SHINGLES - OUT
+#: Places of a paragraph in a run of LENGTH + 1 words, out of it by at most OUT words.
+WINDOW = 2 * OUT + 2
+BEFORE = SHINGLES // 2 - 1
+ROWS = 2
+RECALL = 0.98
 SEED = 29
+#: Paragraphs that a task of the first pass holds, and that a task of the second one gathers on average.
+HELD, TASK_ROWS = 400_000, 1_000_000
+#: Bits of the table of wanted paragraphs that every task gets (1 MB).
+FILTER_BITS = 1 << 23
+_PLACE = np.uint64((1 << 26) - 1)
 
 
-def bands(threshold: float = setjoin.NUM / setjoin.DEN, rows: int = ROWS, recall: float = RECALL) -> int:
+def bands(threshold: float = NUM / DEN, rows: int = ROWS, recall: float = RECALL) -> int:
     """So many bands of that many rows find a pair at the threshold with that chance or better."""
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
 
 
-def minhash_bands(hashes: np.ndarray, n: np.ndarray, n_bands: int, rows: int, seed: int = SEED) -> np.ndarray:
-    """(sets, bands) keys; every set has an element at least."""
-    at = np.cumsum(n) - n
-    x = hashes.view(np.uint64)
-    out = np.empty((len(n), n_bands), dtype=np.uint64)
-    odd = mix(np.arange(1, n_bands * rows + 1, dtype=np.uint64) + np.uint64(seed << 32)) | np.uint64(1)
-    for b in range(n_bands):
-        key = np.full(len(n), b + 1, dtype=np.uint64)
-        for r in range(rows):
-            key = mix(key + np.minimum.reduceat(x * odd[b * rows + r], at))
-        out[:, b] = key
-    return out.view(np.int64)
-
-
-def _paragraphs(texts: list[str | None], min_words: int, words: int):
-    """(text, line, first character, length) of each paragraph as arrays, their shingle sets and the sizes of these."""
-    lines = [t.split("\n") if t else [] for t in texts]
-    flat = [x for ls in lines for x in ls]
-    owner = np.repeat(np.arange(len(texts)), [len(ls) for ls in lines])
-    size = np.array([len(x) for x in flat], dtype=np.int64)
-    ends = np.cumsum(size + 1)
-    per = np.array([len(ls) for ls in lines], dtype=np.int64)
-    line = np.arange(len(flat)) - np.repeat(np.cumsum(per) - per, per)
-    base = np.concatenate([[0], ends])[np.cumsum(per) - per] if len(texts) else np.zeros(0, dtype=np.int64)
-    start = ends - size - 1 - np.repeat(base, per)
-    hashes, counts, _ = word_hashes([x.encode("utf-8", "surrogatepass") for x in flat]) if flat else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), None)
-    long = counts >= max(1, min_words)
-    x, n = distinct_sets(*shingle_hashes(hashes[np.repeat(long, counts)], counts[long], words))
-    return owner[long], line[long], start[long], size[long], x, n
-
-
-def repeated(docs: DataFrame, min_words: int = MIN_WORDS, words: int = WORDS, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
-    """A row for every paragraph of a cluster over two documents or more.
-
-    doc_id, line, start, length (characters), cluster_doc, cluster_line (of the
-    cluster's first paragraph), copies (paragraphs of the cluster), removed.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n_bands = bands(rows=rows, recall=recall)
+@lru_cache(maxsize=4)
+def _powers_and_inverses(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and their inverses, modulo 2^64."""
+    x = _powers(n)
+    y = x * np.uint64(3) ^ np.uint64(2)  # right in 5 bits, then in twice as many
+    for _ in range(4):
+        y = y * (np.uint64(2) - x * y)
+    return x, y
+
+
+class Paragraphs:
+    """Paragraphs of a batch of texts, in order: owner (text), anchor (hash), id (hash of all shingles, even), first (word) and words."""
+
+    def __init__(self, texts: list[str | None]):
+        self.raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        words, counts, self.starts = word_hashes(self.raw)
+        long = counts >= FEWEST + WORDS - 1
+        of_text, self.word0 = np.flatnonzero(long), (np.cumsum(counts) - counts)[long]
+        self.h, n = shingle_hashes(words[np.repeat(long, counts)], counts[long], WORDS)
+        base = np.cumsum(n) - n
+        self.owner = self.first = self.words = self.lo = self.hi = np.zeros(0, dtype=np.int64)
+        self.anchor = self.id = np.zeros(0, dtype=np.uint64)
+        if not len(n):
+            return
+        low = (self.h & ~_PLACE) | np.arange(len(self.h), dtype=np.uint64)
+        step = 1
+        while step * 2 <= WINDOW:  # low: the least of so many shingles
+            low, step = np.minimum(low[:-step], low[step:]), step * 2
+        per = n - WINDOW + 1
+        at = np.repeat(base - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
+        p = (np.minimum(low[at], low[at + WINDOW - step]) & _PLACE).astype(np.int64)
+        p = p[np.append(True, p[1:] != p[:-1])]
+        k = np.searchsorted(base, p, side="right") - 1
+        lo, hi = np.maximum(base[k], p - BEFORE), np.minimum(base[k] + n[k], p - BEFORE + SHINGLES)
+        ok = hi - lo >= FEWEST
+        p, k, self.lo, self.hi = p[ok], k[ok], lo[ok], hi[ok]
+        power, inverse = _powers_and_inverses(1 << (len(self.h) + 1).bit_length())
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(self.h * power[: len(self.h)])])
+        self.id = mix((sums[self.hi] - sums[self.lo]) * inverse[self.lo] + (self.hi - self.lo).astype(np.uint64)) & ~np.uint64(1)
+        self.anchor, self.owner = self.h[p], of_text[k]
+        self.first = self.lo - base[k]
+        self.words = self.hi - self.lo + WORDS - 1
+        self.at = self.word0[k] + self.first  # its first word among those of all texts
+
+    def bands(self, rows: np.ndarray, n_bands: int, per_band: int, seed: int = SEED) -> np.ndarray:
+        """(rows, n_bands) 32-bit keys of these paragraphs."""
+        lo, hi = self.lo[rows], self.hi[rows]
+        out = np.empty((len(rows), n_bands), dtype=np.uint32)
+        odd = mix(np.arange(1, n_bands * per_band + 1, dtype=np.uint64) + np.uint64(seed << 32)) | np.uint64(1)
+        for b in range(n_bands):
+            key = np.full(len(rows), b + 1, dtype=np.uint64)
+            for r in range(per_band):
+                v, step = ((self.h * odd[b * per_band + r]) >> np.uint64(32)).astype(np.uint32), 1
+                while step * 2 <= FEWEST:
+                    v, step = np.minimum(v[:-step], v[step:]), step * 2
+                key = mix(key + np.minimum(v[lo], v[hi - step]))
+            out[:, b] = key >> np.uint64(32)
+        return out
+
+    def sets(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ascending 31-bit shingles of each of these paragraphs, number of each)."""
+        n = self.hi[rows] - self.lo[rows]
+        at = np.repeat(self.lo[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        x, n = distinct_sets(self.h[at] >> np.uint64(33), n)
+        return x, n
+
+    def places(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first character, end, line) of these paragraphs in their texts."""
+        raw = np.frombuffer(b"\n".join(self.raw) + b"\n", dtype=np.uint8)
+        blank = np.flatnonzero(_SPACE[raw])
+        head, last = self.starts[self.at[rows]], self.starts[self.at[rows] + self.words[rows] - 1]
+        end = blank[np.searchsorted(blank, last)]
+        size = np.fromiter((len(t) + 1 for t in self.raw), dtype=np.int64, count=len(self.raw))
+        base = (np.cumsum(size) - size)[self.owner[rows]]
+        chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        lines = np.concatenate([[0], np.cumsum(raw == 10)])
+        return chars[head] - chars[base], chars[end] - chars[base], lines[head] - lines[base]
+
+
+def _first_pass(buckets: int, n_bands: int, per_band: int):
+    """Texts -> rows (bucket, a, id, band): what a task has for a bucket of anchors, as arrays. A paragraph comes once a task and flush; its id is odd if two texts have it."""
+
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        anchor, ids, keys, copies = (np.concatenate(x) for x in zip(*held, strict=True))
+        ids, at, inv = np.unique(ids, return_index=True, return_inverse=True)
+        ids = ids | (np.bincount(inv, weights=copies) > 1).astype(np.uint64)
+        bucket = (anchor[at] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        n = np.bincount(bucket, minlength=buckets)
+        some = np.flatnonzero(n)
+        n, at = n[some], at[order]
+        a = (anchor[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some.astype(np.int32)), _lists(a, n), _lists(ids[order].view(np.int64), n), _lists(keys[at].view(np.int32).ravel(), n * n_bands)], names=["bucket", "a", "id", "band"]
+        )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for b in batches:
-            seen: set[int] = set()
-            for lo, hi, texts in text_chunks(b.column(1)):
-                owner, line, start, size, x, n = _paragraphs(texts, min_words, words)
-                if not len(n):
+            for _, _, texts in text_chunks(b.column(0)):
+                p = Paragraphs(texts)
+                if not len(p.id):
                     continue
-                ids = set_ids(x, n)
-                keys = minhash_bands(x, n, n_bands, rows)
-                fresh = np.ones(len(n), dtype=bool)
-                for k, sid in enumerate(ids.tolist()):
-                    fresh[k] = sid not in seen
-                    seen.add(sid)
-                sig, width = signatures(x, n)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo).take(pa.array(owner)), pa.array(line), pa.array(start), pa.array(size), pa.array(ids), pa.array(n), _lists(sig, width), _lists(keys[fresh].ravel(), fresh * n_bands)],
-                    names=["doc_id", "line", "start", "length", "id", "n", "sig", "bands"],
-                )
-
-    p = docs.mapInArrow(cut, "doc_id long, line long, start long, length long, id long, n long, sig array<long>, bands array<long>")
-    p = common.stored(p, "paragraphs")
-    sets = p.groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    sets = common.stored(sets, "distinct-paragraphs")
-    tokens = p.select(F.explode("bands").alias("token"), "id", "n", F.lit(0).alias("pos"))
-    n_tokens = p.agg(F.sum(F.size("bands"))).first()[0] or 0
-
-    def fetch(ids: DataFrame) -> DataFrame:
-        wanted = ids.join(sets, "id").select("id", F.col("first_doc").alias("doc_id"))
-
-        def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for lo, hi, texts in text_chunks(b.column(1)):
-                    owner, *_, x, n = _paragraphs(texts, min_words, words)
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(owner)), pa.array(set_ids(x, n)), _lists(x, n)], names=["doc", "id", "x"])
-
-        found = setjoin.maybe_in(docs, "doc_id", wanted).mapInArrow(shingled, "doc long, id long, x array<long>")
-        # Of a paragraph that many documents share, the occurrence in its first document is enough.
-        first = wanted.select(F.col("id").alias("_id"), "doc_id")
-        return found.join(first, (F.col("id") == F.col("_id")) & F.col("doc").eqNullSafe(F.col("doc_id")), "left_semi").select("id", "x")
-
-    comps = common.stored(setjoin.linked(tokens, n_tokens, sets, fetch), "paragraph-components", narrow=True)
-    places = p.select("doc_id", "line", "start", "length", "id").join(comps, "id", "left").select("doc_id", "line", "start", "length", F.coalesce("comp", "id").alias("comp"))
-    places = common.stored(places, "paragraph-places")
-    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc"), F.col("line").alias("line"))
-    groups = places.groupBy("comp").agg(F.min(key).alias("lead"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count_if(F.col("doc_id").isNull()).alias("unnamed"), F.count(F.lit(1)).alias("copies"))
-    groups = groups.where(~F.col("lo").eqNullSafe(F.col("hi")) | (F.col("unnamed") > 1) | ((F.col("unnamed") > 0) & F.col("lo").isNotNull()))
-    out = places.join(groups.select("comp", "lead", "copies"), "comp")
-    return out.select(
-        "doc_id", "line", "start", "length", F.col("lead.doc").alias("cluster_doc"), F.col("lead.line").alias("cluster_line"), "copies",
-        (~(F.col("doc_id").eqNullSafe(F.col("lead.doc")) & (F.col("line") == F.col("lead.line")))).alias("removed"),
+                ids, first, inv = np.unique(p.id, return_index=True, return_inverse=True)
+                owners = np.unique(inv * len(texts) + p.owner) // len(texts)
+                held.append((p.anchor[first], ids, p.bands(first, n_bands, per_band), np.bincount(owners)))
+                rows += len(first)
+                if rows >= HELD:
+                    yield from flush(held)
+                    held, rows = [], 0
+        if held:
+            yield from flush(held)
+
+    return cut
+
+
+def _meet(n_bands: int):
+    """Rows (bucket, a, id, band) of a partition -> (tile, id, leader) of paragraphs that share an anchor and a band, and rows of tile 0 of paragraphs that two documents have."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        del held
+        flat = lambda c: t.column(c).combine_chunks().flatten().to_numpy()
+        n = t.column("a").combine_chunks().value_lengths().to_numpy()
+        bucket = np.repeat(t.column("bucket").to_numpy().astype(np.uint64), n)
+        key = bucket << np.uint64(32) | flat("a").view(np.uint32)
+        ids, keys = flat("id").view(np.uint64), flat("band").reshape(-1, n_bands)
+        twice = (ids & np.uint64(1)).astype(bool)
+        ids = ids & ~np.uint64(1)
+        same = [ids[twice]]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.append(True, key[1:] != key[:-1])
+        alone = new & np.append(new[1:], True)
+        key, at = key[~alone], order[~alone]
+        ids, keys = ids[at], keys[at]
+        order = np.lexsort((ids, key))
+        key, ids, keys = key[order], ids[order], keys[order]
+        again = np.append(False, (key[1:] == key[:-1]) & (ids[1:] == ids[:-1])) if len(key) else np.zeros(0, dtype=bool)
+        same = np.unique(np.concatenate([*same, ids[again]])).view(np.int64)
+        yield pa.RecordBatch.from_pydict({"tile": pa.array(np.zeros(len(same), dtype=np.int64)), "id": pa.array(same), "leader": pa.array(same)})
+        key, ids, keys = key[~again], ids[~again], keys[~again]
+        token = mix(np.repeat(mix(key + _R), n_bands) + keys.view(np.uint32).ravel() + (np.tile(np.arange(n_bands, dtype=np.uint64), len(key)) << np.uint64(32)))
+        own = np.repeat(ids.view(np.int64), n_bands)
+        order = np.lexsort((own, token))
+        token, own = token[order], own[order]
+        first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, dtype=np.int64)
+        if not len(first):
+            return
+        size = np.diff(np.append(first, len(own)))
+        # A tile is named by its members: where several bands bring the same ones together, one tile is enough.
+        names = mix(np.add.reduceat(mix(own.view(np.uint64)), first) + size.astype(np.uint64))
+        fresh = np.zeros(len(first), dtype=bool)
+        fresh[np.unique(names, return_index=True)[1]] = True
+        fresh &= size > 1
+        keep = np.repeat(fresh, size)
+        leader = np.repeat(own[first], size)
+        tile = np.repeat(names | np.uint64(1), size).view(np.int64)
+        for lo in range(0, len(own), 1 << 20):
+            k = np.flatnonzero(keep[lo : lo + (1 << 20)]) + lo
+            if len(k):
+                yield pa.RecordBatch.from_pydict({"tile": pa.array(tile[k]), "id": pa.array(own[k]), "leader": pa.array(leader[k])})
+
+    return meet
+
+
+def _among(ids: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """Which of some ids may be among those of a table: a bit table of fixed size, by an id's lower bits."""
+    slot = F.shiftright("id", 1).bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 AS int)))").alias("bits")).toPandas()
+    table = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    table[words["w"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    shipped = ids.sparkSession.sparkContext.broadcast(table)
+
+    def among(x: np.ndarray) -> np.ndarray:
+        at = (x >> np.uint64(1)) & np.uint64(FILTER_BITS - 1)
+        return (shipped.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    return among
+
+
+def clusters(docs: DataFrame, per_band: int = ROWS, recall: float = RECALL) -> DataFrame:
+    """A stored table (id, comp) of paragraphs that link with another one or stand in two documents, and maybe of others."""
+    spark = docs.sparkSession
+    n_bands = bands(rows=per_band, recall=recall)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (6 * WINDOW // 2 * TASK_ROWS))
+    cut = docs.select("text").mapInArrow(_first_pass(16 * parts, n_bands, per_band), "bucket int, a array<int>, id array<long>, band array<int>")
+    met = common.stored(cut.repartition(parts, "bucket").mapInArrow(_meet(n_bands), "tile long, id long, leader long"), "paragraph-tiles")
+    tiles = met.where("tile <> 0")
+    among = _among(tiles.select("id"))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, texts in text_chunks(b.column(0)):
+                p = Paragraphs(texts)
+                rows = np.flatnonzero(among(p.id))
+                rows = rows[np.unique(p.id[rows], return_index=True)[1]]
+                if len(rows):
+                    x, n = p.sets(rows)
+                    sig, width = signatures(x, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(p.id[rows].view(np.int64)), pa.array(n), _lists(sig, width), _lists(x.astype(np.int32), n)], names=["id", "n", "sig", "x"])
+
+    sets = docs.select("text").mapInArrow(found, "id long, n long, sig array<long>, x array<int>").dropDuplicates(["id"])
+    sets = common.stored(sets, "paragraph-sets")
+    linked = setjoin.linked_tiles(tiles, sets.select("id", "n", "sig"), lambda ids: ids.join(sets, "id").select("id", "x"))
+    rest = met.where("tile = 0").select("id").distinct().join(linked.select("id"), "id", "left_anti")
+    return common.stored(linked.unionByName(rest.select("id", F.col("id").alias("comp"))), "paragraph-clusters", narrow=True)
+
+
+def repeated(docs: DataFrame, per_band: int = ROWS, recall: float = RECALL) -> DataFrame:
+    """A row for every stretch of overlapping paragraphs that stand in two documents or more, and of one document first.
+
+    doc_id, line, start, length (characters), words, cluster_doc (of the first occurrence),
+    copies (occurrences of its commonest paragraph), removed (not the first occurrence).
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = clusters(docs, per_band, recall)
+    among = _among(known)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, texts in text_chunks(b.column(3)):
+                p = Paragraphs(texts)
+                rows = np.flatnonzero(among(p.id))
+                if len(rows):
+                    row = b.slice(lo, hi - lo).select(["doc_id", "u", "th"]).take(pa.array(p.owner[rows]))
+                    head, end, line = p.places(rows)
+                    numbers = [pa.array(v) for v in (p.id[rows].view(np.int64), p.first[rows], p.words[rows], head, end, line)]
+                    yield pa.RecordBatch.from_arrays([*row.columns, *numbers], names=["doc_id", "u", "th", "id", "first", "words", "head", "end", "line"])
+
+    keyed = docs.select("doc_id", F.monotonically_increasing_id().alias("u"), F.xxhash64("text").alias("th"), "text")
+    places = keyed.mapInArrow(placed, "doc_id long, u long, th long, id long, first long, words long, head long, end long, line long")
+    places = common.stored(places.join(known, "id").drop("id"), "paragraph-places")
+    c = F.col
+    # Of each cluster the first occurrence, by (named, doc_id, hash of the text, word, row).
+    key = F.struct(c("doc_id").isNull().alias("unnamed"), c("doc_id").alias("doc"), "th", "first", "u")
+    groups = places.groupBy("comp").agg(F.min(key).alias("lead"), F.min("u").alias("lo"), F.max("u").alias("hi"), F.count(F.lit(1)).alias("copies"))
+    groups = common.stored(groups.where("lo <> hi").select("comp", "lead", "copies"), "paragraph-groups", narrow=True)
+    hit = places.join(common.small(groups), "comp")
+    hit = hit.withColumn("removed", ~((c("u") == c("lead.u")) & (c("first") == c("lead.first")))).withColumn("lead_u", c("lead.u"))
+    order = W.partitionBy("u").orderBy("first")
+    until = F.max(c("first") + c("words")).over(order.rowsBetween(W.unboundedPreceding, -1))
+    other = ~c("removed").eqNullSafe(F.lag("removed").over(order)) | (c("removed") & (c("lead_u") != F.lag("lead_u").over(order)))
+    cut = F.when((c("first") <= c("until")) & ~c("other"), 0).otherwise(1)
+    runs = hit.withColumns({"until": until, "other": other})
+    runs = runs.withColumn("run", F.sum(cut).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    runs = runs.groupBy("u", "run").agg(
+        F.first("doc_id").alias("doc_id"), F.min("line").alias("line"), F.min("head").alias("start"), (F.max("end") - F.min("head")).alias("length"),
+        (F.max(c("first") + c("words")) - F.min("first")).alias("words"), F.first("lead.doc").alias("cluster_doc"), F.max("copies").alias("copies"), F.first("removed").alias("removed"),
     )
+    return runs.drop("u", "run")
 
 
 def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated(common.documents(spark, sf_dir))
 
 
-def op3_lines_and_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of lines, and the passages that no line shows; where both find a stretch, both report it."""
-    return op3_paragraph_dedup(spark, sf_dir).unionByName(passages(common.documents(spark, sf_dir)))
-
-
-QUERIES = {"op3_paragraph_dedup": op3_lines_and_passages}
+QUERIES = {"op3_paragraph_dedup": op3_paragraph_dedup}
 ORACLES: dict[str, str] = {}

@@ -77,7 +77,7 @@ def _leaders(group: np.ndarray, sid: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, id, n, pos) of a partition -> rows (tile, id, n, leader) of tiles with two sets that sizes and places allow to link.
+    """Rows (token, id, n, pos) of a partition -> rows (tile, id, leader) of tiles with two sets that sizes and places allow to link.
 
     pos is the token's place in its set's order; of a token that is dealt to several tasks it is
     negative, and all of its rows stay.   Two sets that link have a first common
@@ -92,7 +92,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     dealt = pos < 0
     if dealt.any():
         own = token[dealt]
-        yield _batch(tile=mix(own.view(np.uint64)).view(np.int64), id=sid[dealt], n=n[dealt], leader=_leaders(own, sid[dealt], n[dealt]))
+        yield _batch(tile=mix(own.view(np.uint64)).view(np.int64), id=sid[dealt], leader=_leaders(own, sid[dealt], n[dealt]))
         token, sid, n, pos = token[~dealt], sid[~dealt], n[~dealt], pos[~dealt]
     keep = np.ones(len(token), dtype=bool)
     keep[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
@@ -129,7 +129,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not keep.any():
         return
     tile = names[seg][keep].view(np.int64)
-    yield _batch(tile=tile, id=sid[keep], n=n[keep], leader=_leaders(seg[keep], sid[keep], n[keep]))
+    yield _batch(tile=tile, id=sid[keep], leader=_leaders(seg[keep], sid[keep], n[keep]))
 
 
 def _signed(t: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -267,8 +267,14 @@ def linked(tokens: DataFrame, n_tokens: int, sets: DataFrame, fetch: Callable[[D
     if heavy is not None and not heavy.isEmpty():
         apart = F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / HEAVY)).cast("int")
         tokens = tokens.join(F.broadcast(heavy), "token", "left").select("token", "id", "n", F.when(F.col("c").isNull(), F.col("pos")).otherwise(-1).alias("pos"), F.coalesce(apart, F.lit(0)).alias("salt"))
-    tiles = tokens.repartition(parts(n_tokens), "token", "salt").mapInArrow(_tiles, "tile long, id long, n long, leader long")
-    tiles = common.stored(tiles, "tiles")
+    tiles = tokens.repartition(parts(n_tokens), "token", "salt").mapInArrow(_tiles, "tile long, id long, leader long")
+    return linked_tiles(common.stored(tiles, "tiles"), sets, fetch)
+
+
+def linked_tiles(tiles: DataFrame, sets: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """linked() from a stored table of tiles (tile, id, leader) that holds every two sets that link in a tile."""
+    spark = tiles.sparkSession
+    parts = lambda n: max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ROWS))
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -289,7 +295,7 @@ def linked(tokens: DataFrame, n_tokens: int, sets: DataFrame, fetch: Callable[[D
         if known is None:  # later waves have fewer open tiles and no other sets
             ids = open_.select("id").distinct()
             others = tiles.join(ids, "id", "left_semi").groupBy("id").agg(F.collect_set("tile").alias("others"))
-            known = common.stored(sets.join(others, "id").select("id", "sig", "others"), "open-sets")
+            known = common.stored(sets.join(others, "id").select("id", "n", "sig", "others"), "open-sets")
             end = lambda c: known.select(F.col("id").alias(c), F.col("others").alias(f"t_{c}"))
             both = first.join(links, ["a", "b"], "left_anti").join(end("a"), "a").join(end("b"), "b")
             rejected = common.stored(both.select(F.array_min(F.array_intersect("t_a", "t_b")).alias("tile"), "a", "b").where("tile is not null"), "rejected", narrow=True)
@@ -302,7 +308,7 @@ def linked(tokens: DataFrame, n_tokens: int, sets: DataFrame, fetch: Callable[[D
             comps = components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(links))
         if fresh.where("cut").isEmpty():
             return comps
-        tiles, best = open_.select("tile", "id", "n"), best * GROW
+        tiles, best = open_.select("tile", "id"), best * GROW
 
 
 def _starred(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -315,8 +321,8 @@ def _starred(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _open(tiles: DataFrame, comps: DataFrame) -> DataFrame:
-    """(tile, id, n, comp) of the tiles whose sets are in more than one component."""
-    named = tiles.select("tile", "id", "n").distinct().join(comps, "id", "left").select("tile", "id", "n", F.coalesce("comp", "id").alias("comp"))
+    """(tile, id, comp) of the tiles whose sets are in more than one component."""
+    named = tiles.select("tile", "id").distinct().join(comps, "id", "left").select("tile", "id", F.coalesce("comp", "id").alias("comp"))
     open_ = named.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tile")
     return named.join(open_, "tile")
 
