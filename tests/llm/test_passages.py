@@ -109,3 +109,23 @@ def test_paragraphs_odd_rows(odd, none):
     got = paragraphs.repeated(odd).toPandas()
     assert set(got.doc_id) == {4, 5} and got.removed.sum() >= 1 and (got.cluster_doc == 4).all()
     assert paragraphs.repeated(none).count() == 0
+
+
+def test_large_groups_of_an_anchor_link_alike(spark, monkeypatch):
+    rng = random.Random(9)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    run, rows = fresh(70), []
+    for k in range(60):
+        body = list(run)
+        if k % 3 == 0:
+            body[rng.randrange(70)] = "edited"
+        rows.append((k, " ".join(fresh(30) + body + fresh(30))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = []
+    for group in (paragraphs.GROUP, 2):
+        monkeypatch.setattr(paragraphs, "GROUP", group)
+        of = defaultdict(set)
+        for r in paragraphs.clusters(docs).collect():
+            of[r["comp"]].add(r["id"])
+        parts.append({frozenset(v) for v in of.values()})
+    assert parts[0] == parts[1] and max(map(len, parts[0])) > 30

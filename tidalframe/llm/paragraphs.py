@@ -6,10 +6,14 @@ anchor; the LENGTH words about it are a paragraph.  Every run of more than LENGT
 holds an anchor whose paragraph reaches at most OUT words out of the run, so the paragraphs
 of two documents that share the run have a Jaccard similarity of 0.75 or more.  Then
 
-1.  paragraphs meet by anchor and by the bands of their MinHash; bands() picks the number
-    of bands for the recall asked for at the threshold;
-2.  exact Jaccard similarity of their shingles decides (setjoin), and components of links
-    are clusters; equal paragraphs are one from the start;
+1.  paragraphs of one anchor meet by the bands of their MinHash; bands() picks the number
+    of bands for the recall asked for at the threshold.  Those that meet no other go;
+2.  exact Jaccard similarity of their shingles decides, and components of links are
+    clusters; equal paragraphs are one from the start.  Paragraphs of different anchors never
+    meet, so an anchor's clusters are found where its candidates are gathered.  Those that
+    link have one of their rarest shingles in common: so a passage with ever other
+    surroundings, whose paragraphs share just too little, gives no pairs.  An
+    anchor of more than GROUP candidates is linked in many tasks (setjoin);
 3.  paragraphs of clusters over two documents or more are put together where they overlap.
     In each cluster the first occurrence (smallest document, then place) stays, all others
     are removals.
@@ -20,7 +24,7 @@ documents that share LENGTH - OUT words can meet already.
 Defined cases: every row is a document; null, empty and short texts (under LENGTH - OUT
 words) have no paragraphs; repeated rows are copies of each other, of which any one
 stays; null ids come last; a text is worked on as a whole, in some 60 bytes a character;
-ties between places go by id, hash of the text, then place; an empty table gives an empty
+ties between places go by id, row, then place; an empty table gives an empty
 result; extra columns are ignored.
 """
 
@@ -52,10 +56,12 @@ BEFORE = SHINGLES // 2 - 1
 ROWS = 2
 RECALL = 0.98
 SEED = 29
-#: Paragraphs that a task of the first pass holds, and that a task of the second one gathers on average.
-HELD, TASK_ROWS = 400_000, 1_000_000
-#: Bits of the table of wanted paragraphs that every task gets (1 MB).
-FILTER_BITS = 1 << 23
+#: Paragraphs that a task of the first pass holds, that a task gathers to let them meet, and candidates that a task links, on average.
+HELD, TASK_ROWS, LINK_ROWS = 400_000, 1_000_000, 100_000
+#: Candidates of an anchor that are linked in one task.
+GROUP = 200_000
+#: Bits of the table of wanted paragraphs that every task gets (8 MB).
+FILTER_BITS = 1 << 26
 _PLACE = np.uint64((1 << 26) - 1)
 
 
@@ -75,7 +81,7 @@ def _powers_and_inverses(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Paragraphs:
-    """Paragraphs of a batch of texts, in order: owner (text), anchor (hash), id (hash of all shingles, even), first (word) and words."""
+    """Paragraphs of a batch of texts, in order: owner (text), anchor (hash), id (hash of anchor and shingles, even), first (word) and words."""
 
     def __init__(self, texts: list[str | None]):
         self.raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
@@ -102,7 +108,7 @@ class Paragraphs:
         p, k, self.lo, self.hi = p[ok], k[ok], lo[ok], hi[ok]
         power, inverse = _powers_and_inverses(1 << (len(self.h) + 1).bit_length())
         sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(self.h * power[: len(self.h)])])
-        self.id = mix((sums[self.hi] - sums[self.lo]) * inverse[self.lo] + (self.hi - self.lo).astype(np.uint64)) & ~np.uint64(1)
+        self.id = mix((sums[self.hi] - sums[self.lo]) * inverse[self.lo] + mix(self.h[p]) + (self.hi - self.lo).astype(np.uint64)) & ~np.uint64(1)
         self.anchor, self.owner = self.h[p], of_text[k]
         self.first = self.lo - base[k]
         self.words = self.hi - self.lo + WORDS - 1
@@ -180,59 +186,141 @@ def _first_pass(buckets: int, n_bands: int, per_band: int):
     return cut
 
 
+def _tokens(anchors: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """A hash of anchor, band and key for each of the keys (paragraphs, bands), row by row."""
+    n = keys.shape[1]
+    return mix(np.repeat(mix(anchors + _R), n) + keys.astype(np.uint64).ravel() + (np.tile(np.arange(n, dtype=np.uint64), len(keys)) << np.uint64(32)))
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    held = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(held) if held else None
+
+
+def _flat(t: pa.Table, name: str) -> np.ndarray:
+    return t.column(name).combine_chunks().flatten().to_numpy()
+
+
 def _meet(n_bands: int):
-    """Rows (bucket, a, id, band) of a partition -> (tile, id, leader) of paragraphs that share an anchor and a band, and rows of tile 0 of paragraphs that two documents have."""
+    """Rows (bucket, a, id, band) of a partition -> (id, kind): 0 for a paragraph that two documents have, 1 for one that shares anchor and band with another, 2 for such a one of an anchor of many."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
+        t = _held(batches)
+        if t is None:
             return
-        t = pa.Table.from_batches(held)
-        del held
-        flat = lambda c: t.column(c).combine_chunks().flatten().to_numpy()
         n = t.column("a").combine_chunks().value_lengths().to_numpy()
-        bucket = np.repeat(t.column("bucket").to_numpy().astype(np.uint64), n)
-        key = bucket << np.uint64(32) | flat("a").view(np.uint32)
-        ids, keys = flat("id").view(np.uint64), flat("band").reshape(-1, n_bands)
-        twice = (ids & np.uint64(1)).astype(bool)
+        key = np.repeat(t.column("bucket").to_numpy().astype(np.uint64), n) << np.uint64(32) | _flat(t, "a").view(np.uint32)
+        ids, keys = _flat(t, "id").view(np.uint64), _flat(t, "band").reshape(-1, n_bands)
+        same = [ids[(ids & np.uint64(1)).astype(bool)] & ~np.uint64(1)]
         ids = ids & ~np.uint64(1)
-        same = [ids[twice]]
         order = np.argsort(key, kind="stable")
         key = key[order]
         new = np.append(True, key[1:] != key[:-1])
         alone = new & np.append(new[1:], True)
         key, at = key[~alone], order[~alone]
-        ids, keys = ids[at], keys[at]
-        order = np.lexsort((ids, key))
-        key, ids, keys = key[order], ids[order], keys[order]
-        again = np.append(False, (key[1:] == key[:-1]) & (ids[1:] == ids[:-1])) if len(key) else np.zeros(0, dtype=bool)
-        same = np.unique(np.concatenate([*same, ids[again]])).view(np.int64)
-        yield pa.RecordBatch.from_pydict({"tile": pa.array(np.zeros(len(same), dtype=np.int64)), "id": pa.array(same), "leader": pa.array(same)})
+        order = np.lexsort((ids[at], key))
+        key, at = key[order], at[order]
+        ids, keys = ids[at], keys[at].view(np.uint32)
+        again = np.append(False, ids[1:] == ids[:-1])[: len(ids)]
+        same = np.unique(np.concatenate([*same, ids[again]]))
         key, ids, keys = key[~again], ids[~again], keys[~again]
-        token = mix(np.repeat(mix(key + _R), n_bands) + keys.view(np.uint32).ravel() + (np.tile(np.arange(n_bands, dtype=np.uint64), len(key)) << np.uint64(32)))
-        own = np.repeat(ids.view(np.int64), n_bands)
-        order = np.lexsort((own, token))
-        token, own = token[order], own[order]
-        first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, dtype=np.int64)
-        if not len(first):
-            return
-        size = np.diff(np.append(first, len(own)))
-        # A tile is named by its members: where several bands bring the same ones together, one tile is enough.
-        names = mix(np.add.reduceat(mix(own.view(np.uint64)), first) + size.astype(np.uint64))
-        fresh = np.zeros(len(first), dtype=bool)
-        fresh[np.unique(names, return_index=True)[1]] = True
-        fresh &= size > 1
-        keep = np.repeat(fresh, size)
-        leader = np.repeat(own[first], size)
-        tile = np.repeat(names | np.uint64(1), size).view(np.int64)
-        for lo in range(0, len(own), 1 << 20):
-            k = np.flatnonzero(keep[lo : lo + (1 << 20)]) + lo
-            if len(k):
-                yield pa.RecordBatch.from_pydict({"tile": pa.array(tile[k]), "id": pa.array(own[k]), "leader": pa.array(leader[k])})
+        token = _tokens(key, keys)
+        order = np.argsort(token, kind="stable")
+        token = token[order]
+        tie = np.append(False, token[1:] == token[:-1])[: len(token)]
+        tie[:-1] |= tie[1:]
+        met = np.zeros(len(ids), dtype=bool)
+        met[order[tie] // n_bands] = True
+        key, ids = key[met], ids[met]
+        _, inv, n = np.unique(key, return_inverse=True, return_counts=True)
+        kind = np.where(n[inv] > GROUP, 2, 1) if len(key) else np.zeros(0, dtype=np.int64)
+        both = np.concatenate([same, ids]).view(np.int64)
+        yield pa.RecordBatch.from_pydict({"id": pa.array(both), "kind": pa.array(np.concatenate([np.zeros(len(same), dtype=np.int64), kind]).astype(np.int32))})
 
     return meet
 
 
+def _merge(parent: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """parent (the least member of each one's component) after links p, q."""
+    while True:
+        a, b = parent[p], parent[q]
+        far = a != b
+        if not far.any():
+            return parent
+        np.minimum.at(parent, np.maximum(a, b)[far], np.minimum(a, b)[far])
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+
+
+def _alike(x: np.ndarray, n: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether rows p and q of x (sets, ascending, filled up with -1) have enough in common."""
+    out = np.zeros(len(p), dtype=bool)
+    for lo in range(0, len(p), 1 << 14):
+        i, j = p[lo : lo + (1 << 14)], q[lo : lo + (1 << 14)]
+        both = np.sort(np.concatenate([x[i], x[j]], axis=1), axis=1)
+        inter = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)).sum(1)
+        out[lo : lo + len(i)] = setjoin.enough(inter, n[i], n[j])
+    return out
+
+
+def link(anchors: np.ndarray, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The least member of each paragraph's component, of links between paragraphs (rows of x, filled up with -1) of one anchor."""
+    parent = np.arange(len(n))
+    if not len(n):
+        return parent
+    # Of each set the rarest shingles among those of its anchor: sets that link share one of so many.
+    token = mix(mix(anchors)[:, None] + x.astype(np.uint64))
+    _, inv, c = np.unique(token, return_inverse=True, return_counts=True)
+    rare = np.where(x < 0, np.int64(1) << 62, (c[inv.reshape(x.shape)].astype(np.int64) << 31) | x)
+    row, col = np.nonzero(np.arange(x.shape[1]) < setjoin.prefix_length(n)[:, None])
+    order = np.argsort(rare, axis=1)[row, col]
+    many = c[inv.reshape(x.shape)[row, order]] > 1
+    token, row = token[row, order][many], row[many]
+    order = np.argsort(token, kind="stable")
+    token, row = token[order], row[order]
+    if not len(row):
+        return parent
+
+    def tried(p: np.ndarray, q: np.ndarray) -> None:
+        nonlocal parent
+        p, q = np.divmod(np.unique(np.minimum(p, q) * len(n) + np.maximum(p, q)), len(n))
+        ok = _alike(x, n, p, q)
+        parent = _merge(parent, p[ok], q[ok])
+
+    first = np.append(True, token[1:] != token[:-1])
+    head = row[np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))]
+    tried(head[~first], row[~first])
+    # Then the pairs across components in what still holds several.
+    step = 1
+    while True:
+        if step & (step - 1) == 0:
+            comp, at = parent[row], np.flatnonzero(first)
+            apart = np.minimum.reduceat(comp, at) != np.maximum.reduceat(comp, at)
+            keep = np.repeat(apart, np.diff(np.append(at, len(row))))
+            token, row, first = token[keep], row[keep], first[keep]
+        i = np.flatnonzero(token[:-step] == token[step:]) if step < len(row) else np.zeros(0, dtype=np.int64)
+        if not len(i):
+            return parent
+        far = parent[row[i]] != parent[row[i + step]]
+        if far.any():
+            tried(row[i[far]], row[i[far] + step])
+        step += 1
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, id, x) of a partition -> (id, comp) of those that link with another."""
+    t = _held(batches)
+    if t is None:
+        return
+    ids, at = np.unique(t.column("id").to_numpy(), return_index=True)
+    n = t.column("x").combine_chunks().value_lengths().to_numpy().astype(np.int64)
+    x = np.full((len(n), SHINGLES), -1, dtype=np.int32)
+    x[np.arange(SHINGLES) < n[:, None]] = _flat(t, "x")
+    parent = link(t.column("anchor").to_numpy()[at].view(np.uint64), x[at], n[at])
+    some = np.flatnonzero(np.bincount(parent, minlength=len(ids))[parent] > 1)
+    yield pa.RecordBatch.from_pydict({"id": pa.array(ids[some]), "comp": pa.array(ids[parent[some]])})
+
+
 def _among(ids: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
     """Which of some ids may be among those of a table: a bit table of fixed size, by an id's lower bits."""
     slot = F.shiftright("id", 1).bitwiseAND(F.lit(FILTER_BITS - 1))
@@ -255,26 +343,54 @@ def clusters(docs: DataFrame, per_band: int = ROWS, recall: float = RECALL) -> D
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (6 * WINDOW // 2 * TASK_ROWS))
     cut = docs.select("text").mapInArrow(_first_pass(16 * parts, n_bands, per_band), "bucket int, a array<int>, id array<long>, band array<int>")
-    met = common.stored(cut.repartition(parts, "bucket").mapInArrow(_meet(n_bands), "tile long, id long, leader long"), "paragraph-tiles")
-    tiles = met.where("tile <> 0")
-    among = _among(tiles.select("id"))
+    met = common.stored(cut.repartition(parts, "bucket").mapInArrow(_meet(n_bands), "id long, kind int"), "paragraphs-met")
+    n = {r["kind"]: r["n"] for r in met.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def candidates(kind: int) -> DataFrame:
+        """(anchor, id, x) of the paragraphs of that kind, and maybe of others; repeats are possible."""
+        among = _among(met.where(F.col("kind") == kind).select("id"))
+
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for _, _, texts in text_chunks(b.column(0)):
+                    p = Paragraphs(texts)
+                    rows = np.flatnonzero(among(p.id))
+                    rows = rows[np.unique(p.id[rows], return_index=True)[1]]
+                    if len(rows):
+                        x, n = p.sets(rows)
+                        yield pa.RecordBatch.from_arrays([*[pa.array(v[rows].view(np.int64)) for v in (p.anchor, p.id)], _lists(x.astype(np.int32), n)], names=["anchor", "id", "x"])
+
+        return docs.select("text").mapInArrow(found, "anchor long, id long, x array<int>")
+
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n.get(1, 0) // LINK_ROWS)
+    linked = candidates(1).repartition(spread, "anchor").mapInArrow(_links, "id long, comp long")
+    linked = common.stored(linked, "paragraph-links", narrow=True)
+    if n.get(2):
+        linked = linked.unionByName(_linked_apart(candidates(2)))
+    rest = met.where("kind = 0").select("id").join(linked.select("id"), "id", "left_anti")
+    return common.stored(linked.unionByName(rest.select("id", F.col("id").alias("comp"))), "paragraph-clusters", narrow=True)
+
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked_apart(found: DataFrame) -> DataFrame:
+    """(id, comp) of candidates of anchors that have many, by tiles cut into blocks."""
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, texts in text_chunks(b.column(0)):
-                p = Paragraphs(texts)
-                rows = np.flatnonzero(among(p.id))
-                rows = rows[np.unique(p.id[rows], return_index=True)[1]]
-                if len(rows):
-                    x, n = p.sets(rows)
-                    sig, width = signatures(x, n)
-                    yield pa.RecordBatch.from_arrays([pa.array(p.id[rows].view(np.int64)), pa.array(n), _lists(sig, width), _lists(x.astype(np.int32), n)], names=["id", "n", "sig", "x"])
-
-    sets = docs.select("text").mapInArrow(found, "id long, n long, sig array<long>, x array<int>").dropDuplicates(["id"])
-    sets = common.stored(sets, "paragraph-sets")
-    linked = setjoin.linked_tiles(tiles, sets.select("id", "n", "sig"), lambda ids: ids.join(sets, "id").select("id", "x"))
-    rest = met.where("tile = 0").select("id").distinct().join(linked.select("id"), "id", "left_anti")
-    return common.stored(linked.unionByName(rest.select("id", F.col("id").alias("comp"))), "paragraph-clusters", narrow=True)
+            if b.num_rows:
+                n = b.column(1).value_lengths().to_numpy().astype(np.int64)
+                sig, width = signatures(b.column(1).flatten().to_numpy().astype(np.int64), n)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), _lists(sig, width)], names=["id", "n", "sig"])
+
+    found = common.stored(found.dropDuplicates(["id"]), "paragraph-sets")
+    each = found.select("id", "anchor", F.size("x").alias("n"), F.explode("x").alias("s"))
+    often = each.groupBy("anchor", "s").agg(F.count(F.lit(1)).alias("c"))
+    place = F.row_number().over(W.partitionBy("id").orderBy("c", "s")) - 1
+    rare = each.join(often, ["anchor", "s"]).withColumn("pos", place).where((F.col("pos") <= F.col("n") - F.ceil(F.col("n") * NUM / DEN)) & (F.col("c") > 1))
+    tokens = rare.select(F.xxhash64("anchor", "s").alias("token"), "id", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "c")
+    tokens = common.stored(tokens, "paragraph-tokens")
+    heavy = tokens.where(F.col("c") > setjoin.HEAVY).select("token", "c").distinct()
+    sets = common.stored(found.select("id", "x").mapInArrow(signed, "id long, n long, sig array<long>"), "paragraph-signatures")
+    return setjoin.linked(tokens.drop("c"), tokens.count(), sets, lambda ids: ids.join(found, "id").select("id", "x"), heavy)
 
 
 def repeated(docs: DataFrame, per_band: int = ROWS, recall: float = RECALL) -> DataFrame:
@@ -289,21 +405,21 @@ def repeated(docs: DataFrame, per_band: int = ROWS, recall: float = RECALL) -> D
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, texts in text_chunks(b.column(3)):
+            for lo, hi, texts in text_chunks(b.column(2)):
                 p = Paragraphs(texts)
                 rows = np.flatnonzero(among(p.id))
                 if len(rows):
-                    row = b.slice(lo, hi - lo).select(["doc_id", "u", "th"]).take(pa.array(p.owner[rows]))
+                    row = b.slice(lo, hi - lo).select(["doc_id", "u"]).take(pa.array(p.owner[rows]))
                     head, end, line = p.places(rows)
                     numbers = [pa.array(v) for v in (p.id[rows].view(np.int64), p.first[rows], p.words[rows], head, end, line)]
-                    yield pa.RecordBatch.from_arrays([*row.columns, *numbers], names=["doc_id", "u", "th", "id", "first", "words", "head", "end", "line"])
+                    yield pa.RecordBatch.from_arrays([*row.columns, *numbers], names=["doc_id", "u", "id", "first", "words", "head", "end", "line"])
 
-    keyed = docs.select("doc_id", F.monotonically_increasing_id().alias("u"), F.xxhash64("text").alias("th"), "text")
-    places = keyed.mapInArrow(placed, "doc_id long, u long, th long, id long, first long, words long, head long, end long, line long")
+    keyed = docs.select("doc_id", F.monotonically_increasing_id().alias("u"), "text")
+    places = keyed.mapInArrow(placed, "doc_id long, u long, id long, first long, words long, head long, end long, line long")
     places = common.stored(places.join(known, "id").drop("id"), "paragraph-places")
     c = F.col
-    # Of each cluster the first occurrence, by (named, doc_id, hash of the text, word, row).
-    key = F.struct(c("doc_id").isNull().alias("unnamed"), c("doc_id").alias("doc"), "th", "first", "u")
+    # Of each cluster the first occurrence, by (named, doc_id, row, word).
+    key = F.struct(c("doc_id").isNull().alias("unnamed"), c("doc_id").alias("doc"), "u", "first")
     groups = places.groupBy("comp").agg(F.min(key).alias("lead"), F.min("u").alias("lo"), F.max("u").alias("hi"), F.count(F.lit(1)).alias("copies"))
     groups = common.stored(groups.where("lo <> hi").select("comp", "lead", "copies"), "paragraph-groups", narrow=True)
     hit = places.join(common.small(groups), "comp")
