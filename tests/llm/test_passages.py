@@ -128,4 +128,4 @@ def test_large_groups_of_an_anchor_link_alike(spark, monkeypatch):
         for r in paragraphs.clusters(docs).collect():
             of[r["comp"]].add(r["id"])
         parts.append({frozenset(v) for v in of.values()})
-    assert parts[0] == parts[1] and max(map(len, parts[0])) > 30
+    assert parts[0] == parts[1] and max(map(len, parts[0])) > 8

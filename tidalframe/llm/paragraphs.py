@@ -60,8 +60,8 @@ SEED = 29
 HELD, TASK_ROWS, LINK_ROWS = 400_000, 1_000_000, 100_000
 #: Candidates of an anchor that are linked in one task.
 GROUP = 200_000
-#: Bits of the table of wanted paragraphs that every task gets (8 MB).
-FILTER_BITS = 1 << 26
+#: Bits of the table of wanted paragraphs that every task gets (4 MB).
+FILTER_BITS = 1 << 25
 _PLACE = np.uint64((1 << 26) - 1)
 
 
@@ -321,19 +321,19 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"id": pa.array(ids[some]), "comp": pa.array(ids[parent[some]])})
 
 
-def _among(ids: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
-    """Which of some ids may be among those of a table: a bit table of fixed size, by an id's lower bits."""
-    slot = F.shiftright("id", 1).bitwiseAND(F.lit(FILTER_BITS - 1))
-    words = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 AS int)))").alias("bits")).toPandas()
-    table = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    table[words["w"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
-    shipped = ids.sparkSession.sparkContext.broadcast(table)
+class _Among:
+    """Which of some ids may be among those of a table: a bit table of fixed size, by an id's lower bits, that every task gets."""
 
-    def among(x: np.ndarray) -> np.ndarray:
-        at = (x >> np.uint64(1)) & np.uint64(FILTER_BITS - 1)
-        return (shipped.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    def __init__(self, ids: DataFrame):
+        slot = F.shiftright("id", 1).bitwiseAND(F.lit(FILTER_BITS - 1)).cast("int")
+        words = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, s & 63))").alias("bits")).toArrow()
+        table = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+        table[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+        self.table = ids.sparkSession.sparkContext.broadcast(table.view(np.uint64))
 
-    return among
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        at = (x >> np.uint64(1)) & np.uint64(FILTER_BITS - 1)
+        return (self.table.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def clusters(docs: DataFrame, per_band: int = ROWS, recall: float = RECALL) -> DataFrame:
@@ -348,7 +348,7 @@ def clusters(docs: DataFrame, per_band: int = ROWS, recall: float = RECALL) -> D
 
     def candidates(kind: int) -> DataFrame:
         """(anchor, id, x) of the paragraphs of that kind, and maybe of others; repeats are possible."""
-        among = _among(met.where(F.col("kind") == kind).select("id"))
+        among = _Among(met.where(F.col("kind") == kind).select("id"))
 
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -401,7 +401,7 @@ def repeated(docs: DataFrame, per_band: int = ROWS, recall: float = RECALL) -> D
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = clusters(docs, per_band, recall)
-    among = _among(known)
+    among = _Among(known.select("id"))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
