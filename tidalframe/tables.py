@@ -5,16 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet under spark.checkpoint.dir (a folder of our own where that is unset) and read again: iterations over it do not repeat its lineage."""
-    spark = df.sparkSession
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names; where it is unset, one of our own on a local master, an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to scratch_root() and read again: iterations over it do not repeat its lineage."""
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
