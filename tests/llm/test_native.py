@@ -198,3 +198,24 @@ def test_apportionment_is_by_highest_quotients(spark, weights, total):
 def test_first_words_keep_the_space_between(spark):
     d = spark.createDataFrame([("  a\tb \n c  ",)], "t string")
     assert [d.select(mixing.first_words(F.col("t"), F.lit(n)).alias("x")).first()["x"] for n in (0, 1, 2, 3, 9)] == ["", "  a", "  a\tb", "  a\tb \n c", "  a\tb \n c"]
+
+
+def test_repeated_rows_are_scanned_once_and_spread(spark):
+    text = "password = abcdefgh1234 " + "word " * 30
+    docs = spark.createDataFrame([(None, text, "a")] * 3000 + [(5, text + " x", "a")] * 2000 + [(None, f"t{i} " * 20, "a") for i in range(1000)], "doc_id long, text string, source string").repartition(6)
+    ledger = secrets.scan_unseen(docs)
+    assert ledger.count() == 1002 and ledger.select("blob").distinct().count() == 1002
+    assert secrets.scan(docs).where(F.size("spans") > 0).count() == 5000
+
+
+def test_the_mix_deals_out_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 100)
+    rows = [(None, "one two three four", "a")] * 1500 + [(7, "five six seven", "a")] * 900 + [(i, f"w{i} " * 5, "b") for i in range(300)] + [(None, f"n{i} n n", "b") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = mixing.mix(docs, extra=["source"])
+    r = out.groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("want"), F.max("source_size").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    assert {x["source"]: x["n"] for x in r} == {"a": 2400, "b": 600}
+    assert all(abs(x["t"] - x["want"]) <= 16 * 30 for x in r) and out.where("taken > 2 * size").isEmpty()
+    again = mixing.mix(docs, extra=["source"])
+    total = lambda d: sorted(map(tuple, d.select("doc_id", "size", "taken").collect()), key=str)
+    assert total(out) == total(again)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidalframe.tables import scratch_root
+
 #: A word of the contracts: a maximal run without space, tab, newline, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,15 +16,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 10_000
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; where it is unset (tests), one of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared folder; every call gives another."""
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"

@@ -8,13 +8,17 @@ quota exceeds its blocks starts over, so words repeat at most as often as the
 source's cap allows.
 
 Main path: DataFrame functions alone.  A source that holds a third of all rows is
-dealt out to shards of about SHARD_ROWS documents before anything is ordered, so
-no window holds more than a shard; tables by source or by shard are small sums.
+dealt out to shards of about SHARD_ROWS documents before anything is ordered, by a hash of
+id and text; rows of one id and text beyond SHARD_ROWS are numbered and dealt out by
+their number, too.  So no window holds more than about a shard; tables by source or
+by shard are small sums.
 
 Defined cases: a null text has no words; a null source is a source of its own,
 ordered last; documents without words take nothing; an empty table gives an empty
-result; repeated rows are separate documents of the same place in the order;
-extra columns are ignored, whatever their names.
+result; repeated rows are separate documents, rows of one id (or of none) are ordered by
+a hash of their text; ties of quotients go to the smaller source or shard; a text is
+counted as a whole, in memory that grows with its own length; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -83,24 +87,49 @@ def _overlap(start: Column, end: Column, upto: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.least(end, upto) - start)
 
 
+def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (a stored table) with _number, from 0 within the rows of equal keys: by task, then within it."""
+    rows = rows.withColumn("_pid", F.spark_partition_id())
+    same = lambda a, b: [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    counts = rows.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_pid")) - F.col("_n")
+    counts = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_pid").alias("_k_pid"), before.alias("_before"))
+    place = F.row_number().over(W.partitionBy(*keys, "_pid").orderBy("_pid")) - 1
+    joined = rows.withColumn("_place", place).join(counts, [*same(rows, counts), F.col("_pid") == F.col("_k_pid")])
+    return joined.withColumn("_number", F.col("_before") + F.col("_place")).select(*[c for c in rows.columns if c != "_pid"], "_number")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = SEED, extra: list[str] | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken, first_pass, second_pass and the columns `extra` for every document.
 
     taken = first_pass + second_pass words: those of the first and of the second round over its shard.
     """
     extra = extra or []
-    sized = common.stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *[c for c in extra if c != "source"]), "mix-sizes")
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_key"), *[c for c in extra if c != "source"])
+    sized = common.stored(sized, "mix-sizes")
+    row = ["doc_id", "_key", "source"]
+    many = sized.groupBy(*row).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > SHARD_ROWS).select(*[F.col(c).alias(f"_m{c}") for c in row])
+    salt = F.lit(0).cast("long")
+    if not many.isEmpty():
+        own = [F.col(c).eqNullSafe(F.col(f"_m{c}")) for c in row]
+        held = sized.join(common.small(common.stored(many, "mix-repeats", narrow=True)), own, "left_semi")
+        rest = sized.join(common.small(many), own, "left_anti")
+        sized = rest.withColumn("_number", salt).unionByName(_numbered(common.stored(held, "mix-repeated"), row))
+        sized = common.stored(sized, "mix-numbered")
+    else:
+        sized = sized.withColumn("_number", salt)
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     aimed = source_targets(by_source, weights, share, cap)
     aimed = aimed.withColumns({"_all": F.round(F.sum("target").over(W.partitionBy()) / block).cast("long"), "_one": F.lit(1), "n_shards": F.ceil(F.col("source_rows") / SHARD_ROWS)})
     aimed = common.stored(apportion(aimed, ["_one"], "target", "_all", [F.col("source").asc_nulls_last()], "source_blocks"), "mix-sources", narrow=True)
     side = common.small(aimed.select(F.col("source").alias("_source"), "source_size", "target", "n_shards", "source_blocks"))
     order = F.xxhash64(F.lit(seed), common.id_text("doc_id"))
-    dealt = sized.join(side, F.col("source").eqNullSafe(F.col("_source"))).withColumns({"_order": order, "_shard": F.pmod(F.xxhash64(F.lit(seed + 1), common.id_text("doc_id")), F.col("n_shards"))}).drop("_source")
+    shard = F.pmod(F.xxhash64(F.lit(seed + 1), common.id_text("doc_id"), "_key", "_number"), F.col("n_shards"))
+    dealt = sized.join(side, F.col("source").eqNullSafe(F.col("_source"))).withColumns({"_order": order, "_shard": shard}).drop("_source")
     shards = dealt.groupBy("source", "_shard", "source_blocks").agg(F.sum("size").alias("_words"))
     quotas = apportion(shards, ["source"], "_words", "source_blocks", ["_shard"], "_blocks")
     quotas = common.stored(quotas.select(F.col("source").alias("_s"), F.col("_shard").alias("_sh"), "_words", "_blocks"), "mix-quotas", narrow=True)
-    line = W.partitionBy("source", "_shard").orderBy("_order", "doc_id", "size")
+    line = W.partitionBy("source", "_shard").orderBy("_order", "doc_id", "_key")
     end = F.sum("size").over(line.rowsBetween(W.unboundedPreceding, 0))
     laid = dealt.withColumn("_end", end).join(common.small(quotas), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_sh")))
     words = F.col("_blocks") * block

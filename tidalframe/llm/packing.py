@@ -1,7 +1,7 @@
 """Cost-balanced packing of documents into token sequences.
 
 A document is its token ids and an end id.  What fills a whole sequence is cut
-off first; the rest of each document, in groups of about GROUP documents by hash,
+off first; the rest of each document, in groups of about GROUP documents,
 goes in descending length to the sequence of lowest cost with room for it, where
 a piece of n tokens costs LINEAR * n + QUADRATIC * n * n (attention).  A group
 opens just as many sequences as its tokens need; a piece that no longer fits
@@ -11,9 +11,13 @@ than one sequence.
 Only lengths and checksums of whole cuts travel for full sequences; the ids of the
 rests travel to their group (2 bytes an id for vocabularies under 65,536).
 
+A document's group comes from a hash of its row's number in the table, so repeated rows and null
+ids are spread like any others, and one table gives one packing.
+
 Defined cases: a null text is an empty text, whose one id is the end id; repeated
-rows are separate documents; an empty table gives an empty result; a null id stays
-null; extra columns are ignored.
+rows are separate documents; pieces of one length are taken by id, start and checksum; a
+long text is tokenized as a whole and leaves as many full sequences as it fills; an empty
+table gives an empty result; a null id stays null; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -109,7 +113,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int, end_id: int, groups: in
                         rows.append((doc_id, start, len(part), zlib.crc32(part.tobytes()), n, b"" if full else part.astype(dtype).tobytes(), group))
                 yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "grp"])
 
-    group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("grp")
+    group = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).alias("grp")
     named = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_id")  # whole numbers stay whole in pandas
     return docs.select(named, "text", group).mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, grp long")
 

@@ -129,10 +129,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     stats = train.agg(F.count_if(F.col("quality") == 1).alias("pos"), F.count(F.lit(1)).alias("n")).first()
     order = F.xxhash64("doc_id")
     pos = train.where("quality = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(max_positive)
-    free = docs.where(~held_out()).select("doc_id").orderBy(order, "doc_id").limit(max_unlabelled)
-    # Both sides have bounded numbers of ids, so the join may broadcast them.
-    want = pos.select("doc_id", F.lit(1).alias("is_pos")).unionByName(free.distinct().select("doc_id", F.lit(0).alias("is_pos")))
-    rows = docs.select("doc_id", "text").join(F.broadcast(want), "doc_id").select("text", "is_pos")
+    free = docs.where(~held_out()).select("doc_id").distinct().orderBy(order, "doc_id").limit(max_unlabelled)
+    # Both sides have bounded numbers of ids, so the join may broadcast them; of rows of one id any one is taken.
+    want = pos.select("doc_id", F.lit(1).alias("is_pos")).unionByName(free.select("doc_id", F.lit(0).alias("is_pos")))
+    rows = docs.select("doc_id", "text").join(F.broadcast(want), "doc_id").groupBy("doc_id", "is_pos").agg(F.min("text").alias("text")).select("text", "is_pos")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

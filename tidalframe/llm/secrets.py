@@ -4,17 +4,18 @@ Every version of every path is known by the SHA-256 of its text (its blob).  The
 ledger is a table with one row for each blob and scan: which rule versions ran
 over the blob and what they found.  A scan reads the ledger, works out which
 (blob, rule version) pairs it has not seen, runs just those rules over one
-representative row of each such blob, appends the outcome, and joins the findings
+body of each such blob, appends the outcome, and joins the findings
 of the current rule versions back to every path that ever held the blob.
 
 Main path: DataFrame functions alone.  A blob that a third of all rows share is
-read once for each row (to hash it), scanned once, and joined back by a join
-that AQE may split.
+read once for each row (to hash it), put together within tasks before the shuffle,
+scanned once, and joined back by a join that AQE may split.
 
 Defined cases: a null text is an empty text; an empty table gives an empty
-result; repeated rows each get the findings of their blob; a null id is a path
-like any other; columns beyond the id and the text are ignored, whatever their
-names.
+result; repeated rows each get the findings of their blob, which is scanned once; a
+null id is a path like any other; spans that start together are in the order of the
+rules; a text is scanned as a whole, in memory that grows with its own length; columns
+beyond the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -115,17 +116,16 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     """New ledger rows: one for each blob that some current rule version has not read yet."""
     v = _addressed(versions, key, text)
     every = F.array(*[F.lit(r.key) for r in rules])
-    todo = v.groupBy("blob").agg(F.min("path").alias("first"))
     if ledger is not None:
         seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("seen"))
-        todo = todo.join(seen, "blob", "left").select(
-            "blob", "first", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo")
-        )
+        todo = v.groupBy("blob").agg(F.min("path").alias("first")).join(seen, "blob", "left")
+        todo = todo.select(F.col("blob").alias("want"), "first", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo")).where(F.size("todo") > 0)
+        # The build side is the narrow one; texts are hashed by path, so copies of one blob do not meet in a task.
+        v = v.join(todo.hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("first")) & (F.col("blob") == F.col("want")))
     else:
-        todo = todo.select("blob", "first", every.alias("todo"))
-    todo = todo.where(F.size("todo") > 0).withColumnRenamed("blob", "want")
-    # The build side is the narrow one; texts are hashed by path, so copies of one blob do not meet in a task.
-    rows = v.join(todo.hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("first")) & (F.col("blob") == F.col("want")))
+        v = v.withColumn("todo", every)
+    # One body a blob: equal ones are put together before the shuffle.
+    rows = v.groupBy("blob").agg(F.any_value("body").alias("body"), F.any_value("todo").alias("todo"))
     found = [
         F.when(F.array_contains("todo", r.key), _spans(F.col("body"), r, i)).otherwise(F.array().cast(SPAN))
         for i, r in enumerate(rules)
