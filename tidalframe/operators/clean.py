@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import clock
-from ..series import KEY, TIME, Rolling, with_features
+from ..series import KEY, TIME, Rolling, indexed, with_features
 from .resample import resample
 
 #: Other names of the standard columns.
@@ -120,27 +120,44 @@ def fill_simple(df: DataFrame, minutes: int = 1, limit: int = 60) -> DataFrame:
     return _filled(on, rest, limit).na.drop("any", subset=rest)
 
 
-def fill(df: DataFrame, minutes: int = 1, limit: int = 5, calendar: bool = True) -> DataFrame:
-    """On the grid of open market minutes: prices carried forward, volume 0, filled = 1; rows without a close go."""
+def fill(df: DataFrame, minutes: int = 1, limit: int = 5, calendar: bool = True, method: str = "forward") -> DataFrame:
+    """On the grid of open market minutes: prices carried forward or interpolated, volume 0, filled = 1; rows without a close go."""
     rest = [c for c in df.columns if c not in (KEY, TIME)]
     on = _grid(df, minutes)
     if calendar:
         on = on.where(~clock.market_closed())
     on = on.join(df.withColumn("_is", F.lit(1)), [KEY, TIME], "left").withColumn("filled", F.when(F.col("_is").isNull(), 1).otherwise(0)).drop("_is")
-    out = _filled(on, [c for c in rest if c != "volume"], limit)
+    prices = [c for c in rest if c != "volume"]
+    if method == "interpolate":
+        out = on
+        for c in [c for c in prices if dict(df.dtypes)[c] in ("double", "float")]:
+            out = interpolate(out, c, limit)
+    else:
+        out = _filled(on, prices, limit)
     return out.withColumn("volume", F.coalesce("volume", F.lit(0).cast(dict(df.dtypes)["volume"]))).where("close is not null")
 
 
 def interpolate(df: DataFrame, column: str, limit: int) -> DataFrame:
-    """Linear between the values around a run of missing ones, for the first `limit` rows of the run."""
-    r = Rolling.of_blocks()
-    reach = 4 * limit + 1
-    here = F.when(F.col(column).isNotNull(), F.struct(F.col("_idx").alias("i"), F.col(column).alias("x")))
-    before, after = F.last(here, ignorenulls=True).over(r.order.rowsBetween(-reach, 0)), F.first(here, ignorenulls=True).over(r.order.rowsBetween(0, reach))
-    made = with_features(df, {"_p": before, "_n": after, "_i": F.col("_idx")}, reach, reach)
-    k = F.col("_i") - F.col("_p.i")
-    line = F.col("_p.x") + (F.col("_n.x") - F.col("_p.x")) * k / (F.col("_n.i") - F.col("_p.i"))
-    return made.withColumn(column, F.when(F.col(column).isNotNull(), F.col(column)).when(k <= limit, line)).drop("_p", "_n", "_i")
+    """Linear between the values around a run of missing ones, for the first `limit` rows of the run, however long it is.
+
+    The values around a run come from its own day, or from the nearest day before and after that has one.
+    """
+    c = F.col
+    here = F.when(c(column).isNotNull(), F.struct(c("_idx").alias("i"), c(column).alias("x")))
+    rows = indexed(df).withColumns({"_day": F.to_date(TIME), "_here": here})
+    day, days = W.partitionBy(KEY, "_day").orderBy("_idx"), W.partitionBy(KEY).orderBy("_day")
+    ends = rows.groupBy(KEY, "_day").agg(F.min("_here").alias("_lo"), F.max("_here").alias("_hi"))
+    ends = ends.select(
+        c(KEY).alias("_k"), c("_day").alias("_d"), F.last("_hi", ignorenulls=True).over(days.rowsBetween(W.unboundedPreceding, -1)).alias("_pd"),
+        F.first("_lo", ignorenulls=True).over(days.rowsBetween(1, W.unboundedFollowing)).alias("_nd"),
+    )
+    before = F.last("_here", ignorenulls=True).over(day.rowsBetween(W.unboundedPreceding, 0))
+    after = F.first("_here", ignorenulls=True).over(day.rowsBetween(0, W.unboundedFollowing))
+    made = rows.withColumns({"_p": before, "_n": after}).join(ends, c(KEY).eqNullSafe(c("_k")) & c("_day").eqNullSafe(c("_d")))
+    p, n = F.coalesce("_p", "_pd"), F.coalesce("_n", "_nd")
+    k = c("_idx") - p["i"]
+    line = p["x"] + (n["x"] - p["x"]) * k / (n["i"] - p["i"])
+    return made.withColumn(column, F.when(c(column).isNotNull(), c(column)).when(k <= limit, line)).select(*df.columns)
 
 
 def zscore_outliers(df: DataFrame, column: str = "close", threshold: float = 5.0) -> DataFrame:
