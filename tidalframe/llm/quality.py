@@ -1,19 +1,21 @@
 """Quality classifier by positive-unlabelled learning.
 
 The trusted positives are documents labelled 1; the unlabelled ones are documents
-of the corpus whatever their label.  A linear model over counts of a text's
+of the labelled part of the corpus whose labels are hidden from the fit, so that the prior is theirs.  A linear model over counts of a text's
 characters, words and lines minimises the non-negative unbiased risk
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
 with the logistic loss; where the second term would be negative its gradient is
 turned round.  The prior is the share of label 1 among training labels, or, if
 only positives are labelled, estimated from the scores of a first model.
 
-The fit takes bounded samples in an order of hashed ids (MAX_POSITIVE and
-MAX_UNLABELLED rows at most, parameters of fit); scoring reads every text once
+The fit takes bounded samples of labelled rows in an order of hashed ids (MAX_POSITIVE and
+MAX_UNLABELLED documents at most, parameters of fit); scoring reads every text once
 and shuffles none.
 
 Defined cases: null and empty texts are scored like any other (all counts 0); a
-null id belongs to the training part; labels that are null are ignored; without
+null id belongs to the training part; labels that are null are ignored; repeated rows get
+one score, and of sampled rows of one id one is taken; a text is counted as a whole, in
+some 50 bytes a character; an empty table gives an empty result; without
 any positive label every score is the prior or, without labels, 0.5; extra columns
 are ignored.
 """
@@ -129,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     stats = train.agg(F.count_if(F.col("quality") == 1).alias("pos"), F.count(F.lit(1)).alias("n")).first()
     order = F.xxhash64("doc_id")
     pos = train.where("quality = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(max_positive)
-    free = docs.where(~held_out()).select("doc_id").distinct().orderBy(order, "doc_id").limit(max_unlabelled)
+    free = train.select("doc_id").distinct().orderBy(order, "doc_id").limit(max_unlabelled)
     # Both sides have bounded numbers of ids, so the join may broadcast them; of rows of one id any one is taken.
     want = pos.select("doc_id", F.lit(1).alias("is_pos")).unionByName(free.select("doc_id", F.lit(0).alias("is_pos")))
     rows = docs.select("doc_id", "text").join(F.broadcast(want), "doc_id").groupBy("doc_id", "is_pos").agg(F.min("text").alias("text")).select("text", "is_pos")
