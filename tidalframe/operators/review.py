@@ -170,3 +170,63 @@ def selected_features(df: DataFrame, columns: list[str], correlation: float = 0.
     groups = stats.correlated_groups(df, rest, correlation) if rest else {}
     fate = {c: "low_variance" for c in low} | {c: "kept" for c in groups} | {c: "correlated" for g in groups.values() for c in g}
     return df.sparkSession.createDataFrame([(c, fate[c]) for c in columns], "name string, fate string")
+
+
+def drift(expected: DataFrame, actual: DataFrame, columns: list[str], method: str = "psi", threshold: float = 0.2) -> DataFrame:
+    """name, value, drifted of each column: PSI between quantile bins, or the Kolmogorov-Smirnov statistic."""
+    if method == "psi":
+        out = stats.psi_quantile(expected, actual, columns).withColumnRenamed("psi", "value")
+    elif method == "ks":
+        out = stats.ks(expected, actual, columns).select("name", F.col("statistic").alias("value"))
+    else:
+        raise ValueError(f"no drift method {method!r}")
+    return out.withColumn("drifted", F.col("value") > threshold)
+
+
+def drift_summary(found: DataFrame) -> DataFrame:
+    """One row: columns, drifted ones, their share, and the largest value."""
+    n = F.count(F.lit(1))
+    return found.agg(n.alias("n_columns"), F.count_if("drifted").alias("n_drifted"), (F.count_if("drifted") / F.nullif(n, F.lit(0))).alias("share"), F.max("value").alias("worst"))
+
+
+def split_drift(split: DataFrame, columns: list[str], threshold: float = 0.2) -> DataFrame:
+    """split, name, value, drifted: PSI from the training rows to those of each other split."""
+    train = split.where("split = 'train'")
+    parts = [drift(train, split.where(F.col("split") == s), columns, "psi", threshold).withColumn("split", F.lit(s)) for s in ("val", "test")]
+    return parts[0].unionByName(parts[1])
+
+
+def lookahead_audit(df: DataFrame, make, columns: list[str], start: str, tolerance: float = 1e-10) -> DataFrame:
+    """name, n, changed of each column that make(df) adds: how many values before `start` change when prices and volume from there on are gone."""
+    future = F.col(TIME) >= F.lit(start).cast("timestamp_ntz")
+    gone = df.withColumns({c: F.when(~future, F.col(c)) for c in (*clean.PRICES, "volume") if c in df.columns})
+    whole = stats.unpivot(make(df).where(~future), columns, [KEY, TIME])
+    other = stats.unpivot(make(gone).where(~future), columns, [KEY, TIME]).withColumnRenamed("x", "_y")
+    same = F.col("x").eqNullSafe(F.col("_y")) | F.coalesce(F.abs(F.col("x") - F.col("_y")) <= tolerance, F.lit(False))
+    return whole.join(other, [KEY, TIME, "name"]).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_if(~same).alias("changed"))
+
+
+def alignment_check(base: DataFrame, aligned: DataFrame, columns: list[str]) -> DataFrame:
+    """key, name, in_span, first_null, leading_nulls: whether a coarser frame's columns begin without a value, and lie within the base's time."""
+    span = base.groupBy(KEY).agg(F.min(TIME).alias("_lo"), F.max(TIME).alias("_hi"))
+    x = stats.unpivot(aligned, columns, [KEY, TIME])
+    some = F.min(F.when(F.col("x").isNotNull(), F.col(TIME)))
+    found = x.groupBy(KEY, "name").agg(F.min(TIME).alias("_a"), F.max(TIME).alias("_b"), some.alias("_v"))
+    early = x.join(found, [KEY, "name"]).groupBy(KEY, "name").agg(F.count_if(F.col("_v").isNull() | (F.col(TIME) < F.col("_v"))).alias("leading_nulls"))
+    out = found.join(early, [KEY, "name"]).join(span, KEY)
+    return out.select(KEY, "name", ((F.col("_a") >= F.col("_lo")) & (F.col("_b") <= F.col("_hi"))).alias("in_span"), (F.col("leading_nulls") > 0).alias("first_null"), "leading_nulls")
+
+
+def trend_by_strength(df: DataFrame, period: int = 14, long: int = 50, threshold: float = 25.0) -> DataFrame:
+    """df with trend: uptrend or downtrend where the ADX is over the threshold and the close off its mean, else sideways; null in the warm-up."""
+    from ..functions import recursive
+
+    cols = list(df.columns)
+    make = lambda p: {"_adx": recursive.adx(*(p[x].to_numpy(dtype=float) for x in ("high", "low", "close")), period)[0]}
+    got = recursive.scanned(df, ["high", "low", "close"], make, ["_adx"], recursive.WARM * period, cols)
+    r = Rolling.of_blocks()
+    out = with_features(got, {"_mean": r.mean(r.c, long)}, long, keep=[*cols, "_adx"])
+    adx = F.when(~F.isnan("_adx"), F.col("_adx"))
+    strong = adx > threshold
+    trend = F.when(adx.isNull() | F.col("_mean").isNull(), None).when(strong & (F.col("close") > F.col("_mean")), "uptrend").when(strong & (F.col("close") < F.col("_mean")), "downtrend").otherwise("sideways")
+    return out.withColumn("trend", trend).drop("_adx", "_mean")

@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups
 from ..operators import clean, labels, review, splits
+from ..series import Rolling, with_features
 from ..sources.bars import LI_BARS_SQL, li_bars
 from .labelling import _CHRONO, _MS, _SEQ, PREDICTIONS_SQL, _chrono, predictions
 from .lookups import _KEYS, _values
-from .registry import ORACLES, query, rounded, whole
+from .evaluation import _halves, _psi_sql
+from .registry import ORACLES, query, rounded
+from .scans import _ADX, _J
 
 _W = "PARTITION BY symbol ORDER BY datetime"
 _THREE = ["open", "close", "volume"]
@@ -168,3 +171,43 @@ UNION ALL SELECT 'volume', CASE WHEN abs(cv) >= 0.85 OR abs(hv) >= 0.85 THEN 'co
 def selected_features(spark, d):
     b = li_bars(spark, d).withColumn("flat", F.lit(1.0) + F.col("close") * 0)
     return review.selected_features(b, ["close", "flat", "high", "volume"])
+
+
+@query("drift_monitor", f"WITH p AS ({ORACLES['psi_quantile']}), k AS ({ORACLES['ks_stat']}) SELECT 'psi' AS method, name, psi AS value, psi > 0.2 AS drifted FROM p UNION ALL SELECT 'ks', name, statistic, statistic > 0.1 FROM k")
+def drift_monitor(spark, d):
+    e, a = _halves(spark, d)
+    psi, ks = review.drift(e, a, _THREE), review.drift(e, a, _THREE, "ks", 0.1)
+    return rounded(psi.withColumn("method", F.lit("psi")).unionByName(ks.withColumn("method", F.lit("ks"))).select("method", "name", "value", "drifted"))
+
+
+@query("drift_summary", f"WITH p AS ({ORACLES['psi_quantile']}) SELECT count(*) AS n_columns, count_if(psi > 0.2)::BIGINT AS n_drifted, round(count_if(psi > 0.2) / count(*), 6) AS share, max(psi) AS worst FROM p")
+def drift_summary(spark, d):
+    return rounded(review.drift_summary(review.drift(*_halves(spark, d), _THREE)))
+
+
+def _between(part: str) -> str:
+    e = _psi_sql(f"SELECT name, list_sort(list_distinct(quantile_cont(x, [{', '.join(str(i / 10) for i in range(11))}]))) AS g FROM e GROUP BY name", 1e-6, True)
+    body = e[e.index(", g AS (") :]
+    x = " UNION ALL ".join(f"SELECT split, '{c}' AS name, {c} AS x FROM z0" for c in _THREE)
+    head = _SCALED.replace("z AS (SELECT split", "z0 AS (SELECT split").replace(", k AS (SELECT s.split", ", k0 AS (SELECT s.split").replace("FROM k", "FROM k0")
+    return f"SELECT '{part}' AS split, name, psi AS value, psi > 0.2 AS drifted FROM ({head}, x0 AS ({x}), e AS (SELECT name, x FROM x0 WHERE split = 'train'), a AS (SELECT name, x FROM x0 WHERE split = '{part}'){body})"
+
+
+@query("split_drift", f"{_between('val')} UNION ALL {_between('test')}")
+def split_drift(spark, d):
+    return rounded(review.split_drift(review.scale_splits(_split(spark, d), _THREE, "standard"), _THREE).select("split", "name", "value", "drifted"))
+
+
+@query("lookahead_audit", f"""WITH {LI_BARS_SQL}, x AS (SELECT symbol, count(*) AS n FROM b WHERE datetime < TIMESTAMP '1996-01-01' GROUP BY symbol)
+SELECT 'sma_10' AS name, sum(n)::BIGINT AS n, 0::BIGINT AS changed FROM x UNION ALL SELECT 'leak', sum(n)::BIGINT, (SELECT count(*) FROM (SELECT datetime, lead(close) OVER ({_W}) AS nx, lead(datetime) OVER ({_W}) AS nd FROM b) WHERE datetime < TIMESTAMP '1996-01-01' AND nd >= TIMESTAMP '1996-01-01' AND nx IS NOT NULL) FROM x""")
+def lookahead_audit(spark, d):
+    def make(df):
+        r = Rolling.of_blocks()
+        return with_features(df, {"sma_10": r.mean(r.lag(r.c), 10), "leak": r.lead(r.c)}, 11, 1)
+
+    return review.lookahead_audit(li_bars(spark, d), make, ["sma_10", "leak"], "1996-01-01")
+
+
+@query("trend_by_strength", f"{_ADX}, x AS (SELECT i.symbol, i.datetime, i.close, ax.y AS adx, CASE WHEN count(i.close) OVER w = 50 THEN avg(i.close) OVER w END AS m FROM i {_J.format('ax')} WINDOW w AS (PARTITION BY i.symbol ORDER BY i.datetime ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)) SELECT symbol, datetime, CASE WHEN adx IS NULL OR m IS NULL THEN NULL WHEN adx > 25 AND close > m THEN 'uptrend' WHEN adx > 25 AND close < m THEN 'downtrend' ELSE 'sideways' END AS trend FROM x")
+def trend_by_strength(spark, d):
+    return review.trend_by_strength(li_bars(spark, d)).select("symbol", "datetime", "trend")

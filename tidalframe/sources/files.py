@@ -131,3 +131,25 @@ def features_of(columns: list[str], include: list[str] = (), exclude: list[str]
     if include:
         out = [c for c in out if c.startswith(tuple(include))]
     return [c for c in out if not (exclude and c.startswith(tuple(exclude)))]
+
+
+def save_splits(split: DataFrame, root: str, columns: list[str], label: str, others: list[str] = ()) -> DataFrame:
+    """The splits' metadata, features and label under root, one folder a split; returns rows and checksum of each."""
+    keep = [c for c in (KEY, TIME, "row_id", "split") if c in split.columns]
+    split.select(*keep, *columns, label, *others).write.mode("overwrite").partitionBy("split").parquet(root)
+    back = split.sparkSession.read.parquet(root)
+    h = F.xxhash64(*[F.col(c) for c in sorted(back.columns) if c != "split"]).cast("decimal(38,0)")
+    return back.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.sum(h).cast("string").alias("checksum"))
+
+
+def read_splits(spark: SparkSession, root: str, label: str, part: str | None = None, invalid: int | None = -99) -> DataFrame:
+    """What save_splits() wrote, of one split if part names it (only its folder is read), without invalid labels."""
+    df = spark.read.parquet(root)
+    if part is not None:
+        df = df.where(F.col("split") == part)
+    return df if invalid is None else df.where(F.col(label) != invalid)
+
+
+def save_stacking(df: DataFrame, root: str, horizon: int, models: list[str]) -> None:
+    """A stacking table and its metadata for a horizon."""
+    save(df, f"{root}/stacking_h{horizon}", {"horizon": horizon, "models": models, "columns": df.columns})
