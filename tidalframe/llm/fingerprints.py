@@ -1,9 +1,9 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
 A text is cut into paragraphs (lines, long ones in stretches of about a sentence), and
-every different paragraph has a 64-bit digest whose low 24 bits check the rest.  A
+every different paragraph has a 64-bit digest.  A
 sketch is a table of cells in three parts; each digest is added to one cell of
-every part (count, XOR of digests).  Two sketches subtract cell by cell: what both
+every part (count, XOR of digests, XOR of check sums of digests).  Two sketches subtract cell by cell: what both
 versions hold cancels, and peeling cells that hold a single digest recovers the
 digests that only one version has.
 
@@ -18,7 +18,7 @@ Main path: DataFrame functions alone.  Neighbours in descending id are found in
 buckets of ids of about BUCKET_ROWS rows, each with a copy of the row that follows
 its last; texts are shuffled once.
 
-Defined cases: a null text is an empty text, without paragraphs; two texts without
+Defined cases: a null text is an empty text, without paragraphs; a text is cut and sketched as a whole, in memory that grows with its own length; two texts without
 paragraphs are alike (1.0); a paragraph that a text repeats counts once; ids that
 repeat are ordered by their text, null ids come last; a single row follows itself; an empty
 table gives an empty result; extra columns are ignored.
@@ -46,8 +46,8 @@ BUCKET_ROWS = 1024
 #: Quantiles of ids that the driver reads at most; each range between two is cut evenly if more buckets are needed.
 QUANTILES = 1024
 
-CELL = "struct<n:int,k:bigint>"
-_CHECK = (1 << 24) - 1
+CELL = "struct<n:int,k:bigint,c:bigint>"
+_CHECK = 23
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -55,18 +55,14 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _digest(p: Column) -> Column:
-    high = F.shiftright(F.xxhash64(p), 24)
-    return F.shiftleft(high, 24).bitwiseOR(F.xxhash64(high).bitwiseAND(F.lit(_CHECK)))
-
-
-def _valid(k: Column) -> Column:
-    return F.xxhash64(F.shiftright(k, 24)).bitwiseAND(F.lit(_CHECK)) == k.bitwiseAND(F.lit(_CHECK))
+def _check(k: Column) -> Column:
+    """The check sum of a digest."""
+    return F.xxhash64(F.lit(_CHECK), k)
 
 
 def digests(text: Column) -> Column:
     """The different digests of a text's paragraphs."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), _digest))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p)))
 
 
 def _in_cell(k: Column, i: int) -> Column:
@@ -75,8 +71,13 @@ def _in_cell(k: Column, i: int) -> Column:
     return F.shiftright(k, 24 + 2 * part).bitwiseAND(F.lit(CELLS // 3 - 1)) == slot
 
 
-def _cell(n: Column, k: Column) -> Column:
-    return F.struct(n.cast("int").alias("n"), k.cast("bigint").alias("k"))
+def _cell(n: Column, k: Column, c: Column) -> Column:
+    return F.struct(n.cast("int").alias("n"), k.cast("bigint").alias("k"), c.cast("bigint").alias("c"))
+
+
+def _less(x: Column, y: Column) -> Column:
+    """Cell x without what cell y holds."""
+    return _cell(x["n"] - y["n"], x["k"].bitwiseXOR(y["k"]), x["c"].bitwiseXOR(y["c"]))
 
 
 def _xor(keys: Column) -> Column:
@@ -87,24 +88,24 @@ def sketch(keys: Column) -> Column:
     """The CELLS cells of all keys."""
 
     def cell(i: int) -> Column:
-        return _let(F.filter(keys, lambda k: _in_cell(k, i)), lambda own: _cell(F.size(own), _xor(own)))
+        return _let(F.filter(keys, lambda k: _in_cell(k, i)), lambda own: _cell(F.size(own), _xor(own), _xor(F.transform(own, _check))))
 
     return F.array(*map(cell, range(CELLS)))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x["k"].bitwiseXOR(y["k"])))
+    return F.zip_with(a, b, _less)
 
 
 def peel(cells: Column) -> Column:
-    """The digests of a difference of fingerprints as array<struct<n, k>> (n = 1: only the first has it, -1: only the second), or null if it does not peel."""
+    """The digests of a difference of fingerprints as array<struct<n, k, c>> (n = 1: only the first has it, -1: only the second), or null if it does not peel."""
 
     def step(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & _valid(c["k"])))
+        pure = F.array_distinct(F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["k"]))))
 
         def less(cell: Column, i: int, p: Column) -> Column:
             own = F.filter(p, lambda x: _in_cell(x["k"], i))
-            return F.aggregate(own, cell, lambda c, x: _cell(c["n"] - x["n"], c["k"].bitwiseXOR(x["k"])))
+            return F.aggregate(own, cell, _less)
 
         def take(p: Column) -> Column:
             rest = F.array(*[less(F.get(state["cells"], F.lit(i)), i, p) for i in range(CELLS)])
@@ -114,7 +115,7 @@ def peel(cells: Column) -> Column:
 
     none = F.array().cast(f"array<{CELL}>")
     begin = F.struct(cells.alias("cells"), none.alias("got"), F.lit(True).alias("live"))
-    done = lambda s: F.when(~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0)), s["got"])
+    done = lambda s: F.when(~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["c"] != 0)), s["got"])
     return F.aggregate(F.sequence(F.lit(1), F.lit(CELLS)), begin, step, done)
 
 
@@ -132,14 +133,14 @@ def differences(pairs: DataFrame, by: str, salt: int = 0) -> DataFrame:
     signed = lambda keys, n: F.transform(keys, lambda k: F.struct(F.lit(n).alias("n"), k.alias("k")))
     rows = pairs.select(by, "who", width.alias("width"), F.explode(F.concat(signed("a", 1), signed("b", -1))).alias("x"))
     k, w = F.col("x.k"), F.col("width")
-    rows = rows.select(by, "who", "width", F.col("x.n").cast("bigint").alias("n"), k.alias("k"), F.explode(F.array(*[_slot(k, j, w, salt) for j in range(3)])).alias("cell"))
+    rows = rows.select(by, "who", "width", F.col("x.n").cast("bigint").alias("n"), k.alias("k"), _check(k).alias("c"), F.explode(F.array(*[_slot(k, j, w, salt) for j in range(3)])).alias("cell"))
     keys = [by, "who", "width", "cell"]
-    put = lambda r: r.groupBy(*keys).agg(F.sum("n").alias("n"), F.expr("bit_xor(k)").alias("k")).where("n <> 0 or k <> 0")
+    put = lambda r: r.groupBy(*keys).agg(F.sum("n").alias("n"), F.expr("bit_xor(k)").alias("k"), F.expr("bit_xor(c)").alias("c")).where("n <> 0 or k <> 0 or c <> 0")
     cells = put(rows)
     for part in PEELS:
         k, n, w, cell = F.col("k"), F.col("n"), F.col("width"), F.col("cell")
-        pure = (cell >= w * part) & (cell < w * (part + 1)) & (F.abs(n) == 1) & _valid(k) & (_slot(k, part, w, salt) == cell)
-        row = lambda at, n: F.struct(at.alias("cell"), n.alias("n"), k.alias("k"))  # noqa: E731, B023
+        pure = (cell >= w * part) & (cell < w * (part + 1)) & (F.abs(n) == 1) & (F.col("c") == _check(k)) & (_slot(k, part, w, salt) == cell)
+        row = lambda at, n: F.struct(at.alias("cell"), n.alias("n"), k.alias("k"), F.col("c").alias("c"))  # noqa: E731, B023
         # A digest that is found leaves its other two cells and stays as a row of its own, with a negative cell.
         found = F.array(row(-1 - F.shiftrightunsigned(k, 1), n), *[row(_slot(k, j, w, salt), -n) for j in range(3) if j != part])
         cells = put(cells.select(by, "who", "width", F.explode(F.when(pure, found).otherwise(F.array(row(cell, n)))).alias("x")).select(by, "who", "width", "x.*"))
@@ -158,8 +159,8 @@ def likeness(both: Column, apart: Column) -> Column:
 
 
 def shown(cells: Column) -> Column:
-    """A sketch as text: count:digest of every cell."""
-    return F.array_join(F.transform(cells, lambda c: F.concat_ws(":", c["n"], F.lower(F.hex(c["k"])))), ",")
+    """A sketch as text: count:digest:check of every cell."""
+    return F.array_join(F.transform(cells, lambda c: F.concat_ws(":", c["n"], F.lower(F.hex(c["k"])), F.lower(F.hex(c["c"])))), ",")
 
 
 def _search(bounds: Column, x: Column, n: int) -> Column:
