@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import clock
+from ..quantiles import with_quantiles
 from ..series import KEY, TIME, Rolling, indexed, with_features
 from .resample import resample
 
@@ -168,10 +169,10 @@ def zscore_outliers(df: DataFrame, column: str = "close", threshold: float = 5.0
 
 
 def iqr_outliers(df: DataFrame, column: str = "close", multiplier: float = 3.0) -> DataFrame:
-    s = df.groupBy(KEY).agg(F.percentile(column, [0.25, 0.75]).alias("_q"))
+    s = with_quantiles(df, [KEY], column, [0.25, 0.75], "_q")
     lo, hi = F.col("_q")[0], F.col("_q")[1]
     out = (F.col(column) < lo - (hi - lo) * multiplier) | (F.col(column) > hi + (hi - lo) * multiplier)
-    return df.join(s, KEY).withColumn("outlier", F.coalesce(out, F.lit(False))).drop("_q")
+    return s.withColumn("outlier", F.coalesce(out, F.lit(False))).drop("_q")
 
 
 def atr_spikes(df: DataFrame, threshold: float = 5.0, period: int = 14) -> DataFrame:

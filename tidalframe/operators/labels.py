@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..quantiles import quantiles, renamed, same, with_quantiles
 from ..series import INDEX, KEY, TIME, Rolling, with_features
 
 INVALID = -99
@@ -83,9 +84,8 @@ def triple_barrier(df: DataFrame, horizon: int, k_up: float, k_down: float, max_
     """
     up: Column = F.lit(k_up)
     if cost_ticks:
-        m = df.where(F.col(atr) > 0).groupBy(KEY).agg(F.percentile(atr, 0.5).alias("_median"))
-        df = df.join(m, KEY, "left")
-        up = up + F.coalesce(F.lit(cost_ticks * tick) / F.col("_median"), F.lit(0.0))
+        df = with_quantiles(df, [KEY], atr, [0.5], "_median", only=F.col(atr) > 0)
+        up = up + F.coalesce(F.lit(cost_ticks * tick) / F.col("_median")[0], F.lit(0.0))
     a = F.col(atr)
     out = _scan(df, F.col("close") + up * a, F.col("close") - a * k_down, a > 0, max_bars, horizon, "invalid", ("mae", "mfe"))
     return out.drop("_median")
@@ -117,16 +117,17 @@ def regression(df: DataFrame, horizon: int, winsorise: tuple[float, float] = (0.
     """Forward returns between two percentiles of their symbol, scaled; null in the tail."""
     q = _ahead(horizon)
     f = with_features(df, {"_r": F.when(q > 0, F.ln(q)) if log else q - 1}, 0, horizon)
-    p = f.groupBy(KEY).agg(F.percentile("_r", list(winsorise)).alias("_p"))
+    f = with_quantiles(f, [KEY], "_r", list(winsorise), "_p")
     t = F.when(F.col("_r").isNotNull(), F.greatest(F.least("_r", F.col("_p")[1]), F.col("_p")[0]) * scale)
-    return f.join(p, KEY).withColumns({f"target_h{horizon}": t, f"label_h{horizon}": F.when(t.isNull(), INVALID).otherwise(0)}).drop("_r", "_p")
+    return f.withColumns({f"target_h{horizon}": t, f"label_h{horizon}": F.when(t.isNull(), INVALID).otherwise(0)}).drop("_r", "_p")
 
 
 def regression_metrics(df: DataFrame, column: str) -> DataFrame:
     c = F.col(column)
-    q = F.percentile(column, [0.05, 0.25, 0.5, 0.75, 0.95])
     n = F.count(c)
-    return df.groupBy(KEY).agg(n.alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), *[q[i].alias(x) for i, x in enumerate(("p5", "p25", "median", "p75", "p95"))], F.skewness(c).alias("skew"), F.kurtosis(c).alias("kurtosis"), (F.count_if(c > 0) * 100.0 / n).alias("positive_pct"))
+    s = df.groupBy(KEY).agg(n.alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.skewness(c).alias("skew"), F.kurtosis(c).alias("kurtosis"), (F.count_if(c > 0) * 100.0 / n).alias("positive_pct"))
+    q = quantiles(df, [KEY], column, [0.05, 0.25, 0.5, 0.75, 0.95])
+    return s.join(renamed(q, [KEY]), same([KEY]), "left").select(*s.columns, *[F.col("q")[i].alias(x) for i, x in enumerate(("p5", "p25", "median", "p75", "p95"))])
 
 
 def meta(df: DataFrame, horizon: int, signal: str, fixed_bet: float | None = None) -> DataFrame:
@@ -162,10 +163,11 @@ def quality(df: DataFrame, horizon: int, ideal_speed: float | None = None) -> Da
     risk = F.when(lab == 1, F.abs(mae)).when(lab == -1, F.abs(mfe)).otherwise(F.abs(mae))
     gain = F.when(lab == 1, F.abs(mfe)).when(lab == -1, F.abs(mae)).otherwise(F.abs(mfe))
     x = df.withColumns({"_risk": risk, "_gain": gain, f"pain_to_gain_h{h}": risk / F.nullif(gain, F.lit(0.0)), f"time_weighted_dd_h{h}": risk * F.sqrt(bars.cast("double"))})
-    p95 = lambda c: F.percentile(F.when(F.col(c) > 0, F.col(c)), 0.95)
     names = ("_risk", "_gain", f"pain_to_gain_h{h}", f"time_weighted_dd_h{h}")
-    stats = x.where(lab != INVALID).groupBy(KEY).agg(*[p95(c).alias(f"_p{i}") for i, c in enumerate(names)])
-    x = x.join(stats, KEY, "left")
+    four = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("x")) for i, c in enumerate(names)]))
+    long = x.where(lab != INVALID).select(KEY, four.alias("_e")).select(KEY, "_e.i", "_e.x").where("x > 0")
+    p95 = quantiles(long, [KEY, "i"], "x", [0.95]).groupBy(KEY).agg(*[F.max(F.when(F.col("i") == i, F.col("q")[0])).alias(f"_p{i}") for i in range(len(names))])
+    x = x.join(renamed(p95, [KEY]), same([KEY]), "left").drop(f"_of_{KEY}")
     ideal = ideal_speed if ideal_speed is not None else 1.5 * h
     unit = lambda c, i: F.least(F.col(c) / F.nullif(f"_p{i}", F.lit(0.0)), F.lit(1.0))
     parts = [F.exp(-F.pow((bars - ideal) / ideal, 2) / 2), 1 - F.coalesce(unit(names[0], 0), F.lit(0.0)), F.coalesce(unit(names[1], 1), F.lit(0.0)), 1 - F.coalesce(unit(names[2], 2), F.lit(1.0)), 1 - F.coalesce(unit(names[3], 3), F.lit(0.0))]
@@ -178,9 +180,9 @@ def quality(df: DataFrame, horizon: int, ideal_speed: float | None = None) -> Da
 def weights(df: DataFrame, horizon: int) -> DataFrame:
     """sample_weight: 1.5 from the 80th percentile of quality, 1 from the 20th, else 0.5; ties by value."""
     q = f"quality_h{horizon}"
-    p = df.groupBy(KEY).agg(F.percentile(q, [0.2, 0.8]).alias("_p"))
+    x = with_quantiles(df, [KEY], q, [0.2, 0.8], "_p")
     w = F.when(F.col(q) >= F.col("_p")[1], 1.5).when(F.col(q) >= F.col("_p")[0], 1.0).otherwise(0.5)
-    return df.join(p, KEY).withColumn(f"sample_weight_h{horizon}", w).drop("_p")
+    return x.withColumn(f"sample_weight_h{horizon}", w).drop("_p")
 
 
 def forward_returns(df: DataFrame, horizon: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock, recursive
 
+from ..quantiles import quantiles, renamed, same
 from ..series import KEY, TIME, Rolling, ratio, with_features
 from .resample import as_of, resample
 
@@ -18,9 +19,12 @@ def session_fit(df: DataFrame, columns: list[str]) -> DataFrame:
     member = F.explode(F.filter(F.array(*[F.when(flags[f"is_{s}"] == 1, F.lit(s)) for s in clock.SESSIONS]), lambda s: s.isNotNull()))
     x = df.select(member.alias("session"), *columns)
     rows = x.select("session", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns])).alias("e")).select("session", "e.*")
-    q = F.percentile("x", [0.25, 0.5, 0.75])
+    keys = ["session", "name"]
+    q = [F.col("q")[i] for i in range(3)]
     one = lambda c: F.when(c > 0, c).otherwise(1.0)
-    return rows.groupBy("session", "name").agg(F.avg("x").alias("mean"), one(F.stddev_samp("x")).alias("std"), q[1].alias("median"), one(q[2] - q[0]).alias("iqr"))
+    s = rows.groupBy(*keys).agg(F.avg("x").alias("mean"), one(F.stddev_samp("x")).alias("std"))
+    three = renamed(quantiles(rows, keys, "x", [0.25, 0.5, 0.75]), keys)
+    return s.join(three, same(keys), "left").select(*s.columns, q[1].alias("median"), one(q[2] - q[0]).alias("iqr"))
 
 
 def session_apply(df: DataFrame, fitted: DataFrame, columns: list[str], method: str = "zscore", suffix: str = "_session_norm") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..series import KEY, TIME
+from ..series import KEY, TIME, Rolling, with_features
 
 
 def time_bucket(t: str, minutes: int, origin: Column | None = None) -> Column:
@@ -110,9 +110,10 @@ def as_of(base: DataFrame, other: DataFrame, columns: list[str], shift: int = 1)
     One shuffle by symbol and day of the union of both; what carries over from day
     to day is one row a symbol and day, carried forward on its own.
     """
-    w = W.partitionBy(KEY).orderBy(TIME)
-    held = F.struct(*[F.lag(x, shift).over(w).alias(x) for x in columns]) if shift else F.struct(*columns)
-    right = other.select(KEY, TIME, F.lit(0).alias("_side"), held.alias("_right"))
+    r = Rolling.of_blocks()
+    held = F.struct(*[r.lag(F.col(x), shift).alias(x) for x in columns]) if shift else F.struct(*columns)
+    right = with_features(other, {"_right": held}, shift, keep=[KEY, TIME]) if shift else other.select(KEY, TIME, held.alias("_right"))
+    right = right.withColumn("_side", F.lit(0))
     left_cols = [x for x in base.columns if x not in (KEY, TIME)]
     left = base.select(KEY, TIME, F.lit(1).alias("_side"), F.struct(*left_cols).alias("_left"))
     both = left.unionByName(right, allowMissingColumns=True).withColumn("_day", F.to_date(TIME))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..quantiles import with_quantiles
 from ..series import KEY, TIME, Rolling, blocked, indexed
 
 PURGE, EMBARGO = 60, 1440
@@ -143,9 +144,8 @@ def sequences(df: DataFrame, columns: list[str], length: int, label: str | None
     step = F.unix_seconds(F.col(TIME).cast("timestamp")) - F.unix_seconds(F.lag(TIME).over(r.order).cast("timestamp"))
     b = blocked(base, length).withColumn("_step", step)
     if max_gap is not None:
-        median = b.where("_core").groupBy(KEY).agg(F.percentile("_step", 0.5).alias("_median"))
-        b = b.join(median, KEY)
-        jump = F.coalesce((F.col("_step") > F.col("_median") * max_gap).cast("int"), F.lit(0))
+        b = with_quantiles(b, [KEY], "_step", [0.5], "_median", only=F.col("_core"))
+        jump = F.coalesce((F.col("_step") > F.col("_median")[0] * max_gap).cast("int"), F.lit(0))
     else:
         jump = F.lit(0)
     frame = r.order.rowsBetween(-(length - 1), 0)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..quantiles import quantiles, renamed, same
+
 CLIP = 5.0
 #: Columns of one aggregate; more columns take several.
 WIDTH = 200
@@ -25,13 +27,23 @@ def _finite(x: Column) -> Column:
 def fit_scaler(df: DataFrame, columns: list[str], kind: str = "robust", logs: tuple[str, ...] = ()) -> DataFrame:
     """name, fill, shift (null: no logarithm), center, scale of each column: medians and quartiles or moments after filling and log1p."""
     x = unpivot(df, columns).withColumn("x", _finite(F.col("x")))
-    p = x.groupBy("name").agg(F.coalesce(F.percentile("x", 0.5), F.lit(0.0)).alias("fill"), F.min("x").alias("lo"))
+    p = _joined(x.groupBy("name").agg(F.min("x").alias("lo")), quantiles(x, ["name"], "x", [0.5])).withColumn("fill", F.coalesce(F.col("q")[0], F.lit(0.0)))
     shift = F.when(F.col("name").isin(*logs), F.when(F.col("lo") <= 0, F.abs("lo") + 1).otherwise(0.0)) if logs else F.lit(None).cast("double")
     p = p.select("name", "fill", shift.alias("shift"))
     y = x.join(F.broadcast(p), "name").withColumn("y", _logged(F.coalesce("x", "fill")))  # a row a column
-    center = {"robust": F.percentile("y", 0.5), "standard": F.avg("y"), "minmax": F.min("y"), "none": F.lit(0.0)}[kind]
-    scale = {"robust": F.percentile("y", 0.75) - F.percentile("y", 0.25), "standard": F.stddev_pop("y"), "minmax": F.max("y") - F.min("y"), "none": F.lit(1.0)}[kind]
-    return y.groupBy("name", "fill", "shift").agg(center.alias("center"), scale.alias("scale")).withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0))
+    if kind == "robust":
+        q = F.col("q")
+        out = _joined(p, quantiles(y, ["name"], "y", [0.25, 0.5, 0.75])).select("name", "fill", "shift", q[1].alias("center"), (q[2] - q[0]).alias("scale"))
+    else:
+        center = {"standard": F.avg("y"), "minmax": F.min("y"), "none": F.lit(0.0)}[kind]
+        scale = {"standard": F.stddev_pop("y"), "minmax": F.max("y") - F.min("y"), "none": F.lit(1.0)}[kind]
+        out = y.groupBy("name", "fill", "shift").agg(center.alias("center"), scale.alias("scale"))
+    return out.withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0))
+
+
+def _joined(s: DataFrame, q: DataFrame) -> DataFrame:
+    """s with q by name; a column without values has none."""
+    return s.join(renamed(q, ["name"]), same(["name"]), "left").drop("_of_name")
 
 
 def _logged(x: Column) -> Column:
@@ -99,11 +111,11 @@ def correlated_groups(df: DataFrame, columns: list[str], threshold: float = 0.85
 
 def normalisation_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     x = unpivot(df, columns)
-    q = F.percentile("x", [0.01, 0.05, 0.5, 0.95, 0.99])
-    s = x.groupBy("name").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), *[q[i].alias(n) for i, n in enumerate(("p1", "p5", "p50", "p95", "p99"))], F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurtosis"))
+    s = x.groupBy("name").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurtosis"))
     z = F.abs((F.col("x") - F.col("mean")) / F.nullif("std", F.lit(0.0)))
     far = x.join(F.broadcast(s.select("name", "mean", "std")), "name").groupBy("name").agg(*[F.count_if(z > k).alias(f"z_over_{k}") for k in (3, 5, 10)])
-    return s.join(far, "name")
+    five = [F.col("q")[i].alias(n) for i, n in enumerate(("p1", "p5", "p50", "p95", "p99"))]
+    return _joined(s.join(far, "name"), quantiles(x, ["name"], "x", [0.01, 0.05, 0.5, 0.95, 0.99])).select(*s.columns, *five, *far.columns[1:])
 
 
 def integrity(df: DataFrame, key: str, time: str, columns: list[str]) -> DataFrame:
@@ -117,7 +129,7 @@ def integrity(df: DataFrame, key: str, time: str, columns: list[str]) -> DataFra
 def psi_quantile(expected: DataFrame, actual: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
     """name, psi over bins between the different quantiles of the expected values; values outside are left out; under 3 edges 0."""
     e, a = unpivot(expected, columns), unpivot(actual, columns)
-    edges = e.groupBy("name").agg(F.array_distinct(F.array_sort(F.percentile("x", [i / bins for i in range(bins + 1)]))).alias("edges"))
+    edges = quantiles(e, ["name"], "x", [i / bins for i in range(bins + 1)]).select("name", F.array_distinct(F.array_sort("q")).alias("edges"))
     return _psi(e, a, edges, 1e-6, clip=True)
 
 
@@ -235,7 +247,7 @@ def conformal_quantile(df: DataFrame, truth: str, probs: list[str], alpha: float
     true_p = F.get(F.array(*map(F.col, probs)), F.col(truth).cast("int"))
     s = df.select((1 - true_p).alias("s"))
     n = s.count()
-    return s.agg(F.percentile("s", min(1.0, (1 - alpha) * (1 + 1 / max(n, 1)))).alias("q"))
+    return quantiles(s, [], "s", [min(1.0, (1 - alpha) * (1 + 1 / max(n, 1)))]).select(F.col("q")[0].alias("q"))
 
 
 def conformal_sets(df: DataFrame, q: DataFrame, probs: list[str]) -> DataFrame:

@@ -1,8 +1,8 @@
 """Ordered series: rows of one key in order of time, windowed in bounded blocks.
 
 A window partitioned by key alone puts a whole key into one task.  Here every row
-gets its index within its key (counts by key and day, summed up, and a row number
-within the day), and a block is a stretch of indexes with as many rows before and
+gets its index within its key (counts by key and hour, summed up, and a row number
+within the hour), and a block is a stretch of indexes with as many rows before and
 after it as an operator looks at.  Windows then partition by (key, block): results are
 those of the whole series, and a key that holds a third of all rows is spread over tasks.
 """
@@ -21,16 +21,16 @@ BLOCK_ROWS = 65_536
 
 def indexed(df: DataFrame, key: str = KEY, time: str = TIME) -> DataFrame:
     """df with _idx, the row's place (from 0) within its key by time; equal times keep an order of the whole row."""
-    day = F.coalesce(F.to_date(time), F.lit("0001-01-01").cast("date"))
-    dated = df.withColumn("_day", day)
-    counts = dated.groupBy(key, "_day").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(W.partitionBy(key).orderBy("_day").rowsBetween(W.unboundedPreceding, -1))
-    offsets = counts.select(F.col(key).alias("_k"), F.col("_day").alias("_d"), F.coalesce(before, F.lit(0)).alias("_off"))
+    hour = F.coalesce(F.unix_date(F.to_date(time)) * 24 + F.hour(time), F.lit(-(2**31)))  # no time comes first
+    timed = df.withColumn("_hour", hour)
+    counts = timed.groupBy(key, "_hour").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(key).orderBy("_hour").rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select(F.col(key).alias("_k"), F.col("_hour").alias("_h"), F.coalesce(before, F.lit(0)).alias("_off"))
     rest = [c for c in df.columns if c not in (key, time)]
-    here = W.partitionBy(key, "_day").orderBy(time, *rest)
-    placed = dated.withColumn("_rn", F.row_number().over(here))
-    joined = placed.join(offsets, placed[key].eqNullSafe(F.col("_k")) & (placed["_day"] == F.col("_d")))
-    return joined.withColumn(INDEX, F.col("_off") + F.col("_rn") - 1).drop("_k", "_d", "_off", "_rn", "_day")
+    here = W.partitionBy(key, "_hour").orderBy(time, *rest)
+    placed = timed.withColumn("_rn", F.row_number().over(here))
+    joined = placed.join(offsets, placed[key].eqNullSafe(F.col("_k")) & (placed["_hour"] == F.col("_h")))
+    return joined.withColumn(INDEX, F.col("_off") + F.col("_rn") - 1).drop("_k", "_h", "_off", "_rn", "_hour")
 
 
 def blocked(df: DataFrame, back: int, ahead: int = 0, rows: int = BLOCK_ROWS) -> DataFrame:
