@@ -84,7 +84,7 @@ def triple_barrier(df: DataFrame, horizon: int, k_up: float, k_down: float, max_
     """
     up: Column = F.lit(k_up)
     if cost_ticks:
-        df = with_quantiles(df, [KEY], atr, [0.5], "_median", only=F.col(atr) > 0)
+        df = with_quantiles(df, [KEY], atr, [0.5], "_median", only=F.col(atr) > 0, stored=True)
         up = up + F.coalesce(F.lit(cost_ticks * tick) / F.col("_median")[0], F.lit(0.0))
     a = F.col(atr)
     out = _scan(df, F.col("close") + up * a, F.col("close") - a * k_down, a > 0, max_bars, horizon, "invalid", ("mae", "mfe"))
@@ -117,7 +117,7 @@ def regression(df: DataFrame, horizon: int, winsorise: tuple[float, float] = (0.
     """Forward returns between two percentiles of their symbol, scaled; null in the tail."""
     q = _ahead(horizon)
     f = with_features(df, {"_r": F.when(q > 0, F.ln(q)) if log else q - 1}, 0, horizon)
-    f = with_quantiles(f, [KEY], "_r", list(winsorise), "_p")
+    f = with_quantiles(f, [KEY], "_r", list(winsorise), "_p", stored=True)
     t = F.when(F.col("_r").isNotNull(), F.greatest(F.least("_r", F.col("_p")[1]), F.col("_p")[0]) * scale)
     return f.withColumns({f"target_h{horizon}": t, f"label_h{horizon}": F.when(t.isNull(), INVALID).otherwise(0)}).drop("_r", "_p")
 
@@ -166,7 +166,7 @@ def quality(df: DataFrame, horizon: int, ideal_speed: float | None = None) -> Da
     names = ("_risk", "_gain", f"pain_to_gain_h{h}", f"time_weighted_dd_h{h}")
     four = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("x")) for i, c in enumerate(names)]))
     long = x.where(lab != INVALID).select(KEY, four.alias("_e")).select(KEY, "_e.i", "_e.x").where("x > 0")
-    p95 = quantiles(long, [KEY, "i"], "x", [0.95]).groupBy(KEY).agg(*[F.max(F.when(F.col("i") == i, F.col("q")[0])).alias(f"_p{i}") for i in range(len(names))])
+    p95 = quantiles(long, [KEY, "i"], "x", [0.95], stored=True).groupBy(KEY).agg(*[F.max(F.when(F.col("i") == i, F.col("q")[0])).alias(f"_p{i}") for i in range(len(names))])
     x = x.join(renamed(p95, [KEY]), same([KEY]), "left").drop(f"_of_{KEY}")
     ideal = ideal_speed if ideal_speed is not None else 1.5 * h
     unit = lambda c, i: F.least(F.col(c) / F.nullif(f"_p{i}", F.lit(0.0)), F.lit(1.0))
@@ -180,7 +180,7 @@ def quality(df: DataFrame, horizon: int, ideal_speed: float | None = None) -> Da
 def weights(df: DataFrame, horizon: int) -> DataFrame:
     """sample_weight: 1.5 from the 80th percentile of quality, 1 from the 20th, else 0.5; ties by value."""
     q = f"quality_h{horizon}"
-    x = with_quantiles(df, [KEY], q, [0.2, 0.8], "_p")
+    x = with_quantiles(df, [KEY], q, [0.2, 0.8], "_p", stored=True)
     w = F.when(F.col(q) >= F.col("_p")[1], 1.5).when(F.col(q) >= F.col("_p")[0], 1.0).otherwise(0.5)
     return x.withColumn(f"sample_weight_h{horizon}", w).drop("_p")
 

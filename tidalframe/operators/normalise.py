@@ -27,15 +27,31 @@ def session_fit(df: DataFrame, columns: list[str]) -> DataFrame:
     return s.join(three, same(keys), "left").select(*s.columns, q[1].alias("median"), one(q[2] - q[0]).alias("iqr"))
 
 
-def session_apply(df: DataFrame, fitted: DataFrame, columns: list[str], method: str = "zscore", suffix: str = "_session_norm") -> DataFrame:
-    """Each column against its session's figures; rows of an overlap take the later session, rows outside stay null."""
+def session_apply(df: DataFrame, fitted: DataFrame, columns: list[str], method: str = "zscore", suffix: str = "_session_norm", volatility: str | None = None) -> DataFrame:
+    """Each column against its session's figures; rows of an overlap take the later session, rows outside stay null.
+
+    method: "zscore", "robust", or "volatility", which divides by the session's mean of the column `volatility` (fitted, too) unless that is 0.
+    """
+    if method == "volatility" and not volatility:
+        raise ValueError("name the column of the volatility")
+    columns, made_of = list(dict.fromkeys([*columns, *([volatility] if volatility else [])])), columns
     wide = fitted.groupBy("session").pivot("name", columns).agg(F.first(F.struct("mean", "std", "median", "iqr")))
     out = df.withColumn("_session", clock.session()).join(F.broadcast(wide.select(F.col("session").alias("_s"), *[F.col(c).alias(f"_f_{c}") for c in columns])), F.col("_session") == F.col("_s"), "left")  # a row a session
-    center, scale = {"zscore": ("mean", "std"), "robust": ("median", "iqr")}[method]
-    made = {f"{c}{suffix}": (F.col(c) - F.col(f"_f_{c}.{center}")) / F.col(f"_f_{c}.{scale}") for c in columns}
+    if method == "volatility":
+        mean = F.col(f"_f_{volatility}.mean")
+        made = {f"{c}{suffix}": F.when(F.col("_session").isNotNull(), F.when(mean != 0, F.col(c) / mean).otherwise(F.col(c))) for c in made_of}
+    else:
+        center, scale = {"zscore": ("mean", "std"), "robust": ("median", "iqr")}[method]
+        made = {f"{c}{suffix}": (F.col(c) - F.col(f"_f_{c}.{center}")) / F.col(f"_f_{c}.{scale}") for c in made_of}
     return out.withColumns(made).drop("_session", "_s", *[f"_f_{c}" for c in columns])
 
 
+def by_session(df: DataFrame, columns: list[str], method: str = "zscore", volatility: str | None = None, suffix: str = "_session_norm") -> DataFrame:
+    """Fitted and applied to the same rows."""
+    names = list(dict.fromkeys([*columns, *([volatility] if volatility else [])]))
+    return session_apply(df, session_fit(df, names), columns, method, suffix, volatility)
+
+
 def session_ratios(df: DataFrame, column: str) -> DataFrame:
     """session, ratio: the mean of a column in the session over its mean in all rows."""
     f = session_fit(df, [column]).select("session", "mean")

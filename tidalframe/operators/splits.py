@@ -144,7 +144,7 @@ def sequences(df: DataFrame, columns: list[str], length: int, label: str | None
     step = F.unix_seconds(F.col(TIME).cast("timestamp")) - F.unix_seconds(F.lag(TIME).over(r.order).cast("timestamp"))
     b = blocked(base, length).withColumn("_step", step)
     if max_gap is not None:
-        b = with_quantiles(b, [KEY], "_step", [0.5], "_median", only=F.col("_core"))
+        b = with_quantiles(b, [KEY], "_step", [0.5], "_median", only=F.col("_core"), stored=True)
         jump = F.coalesce((F.col("_step") > F.col("_median")[0] * max_gap).cast("int"), F.lit(0))
     else:
         jump = F.lit(0)

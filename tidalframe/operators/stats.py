@@ -242,18 +242,34 @@ def ece(df: DataFrame, truth: str, probs: list[str], bins: int = 10) -> DataFram
     return r.agg((F.sum(F.col("n") * F.abs(F.col("confidence") - F.col("accuracy"))) / F.sum("n")).alias("ece"))
 
 
-def conformal_quantile(df: DataFrame, truth: str, probs: list[str], alpha: float = 0.1) -> DataFrame:
-    """One row, q: the score 1 - p of the true class at the level (1 - alpha)(1 + 1/n) of the calibration rows."""
-    true_p = F.get(F.array(*map(F.col, probs)), F.col(truth).cast("int"))
-    s = df.select((1 - true_p).alias("s"))
+def _ranked(probs: list[str]) -> Column:
+    """cls and cum of each class, the likeliest first: the sum of the probabilities up to it."""
+    order = F.array_sort(F.array(*[F.struct((-F.col(p)).alias("p"), F.lit(i).alias("cls")) for i, p in enumerate(probs)]))
+    upto = lambda i: F.aggregate(F.slice(order, F.lit(1), i + 1), F.lit(0.0), lambda a, e: a - e["p"])
+    return F.transform(order, lambda e, i: F.struct(e["cls"].alias("cls"), upto(i).alias("cum")))
+
+
+def conformal_score(truth: str, probs: list[str], method: str = "lac") -> Column:
+    """1 - p of the true class ("lac", "naive"), or the sum of all that are at least as likely ("aps")."""
+    if method == "aps":
+        return F.get(F.filter(_ranked(probs), lambda e: e["cls"] == F.col(truth).cast("int")), F.lit(0))["cum"]
+    return 1 - F.get(F.array(*map(F.col, probs)), F.col(truth).cast("int"))
+
+
+def conformal_quantile(df: DataFrame, truth: str, probs: list[str], alpha: float = 0.1, method: str = "lac") -> DataFrame:
+    """One row, q: the score of the true class at the level (1 - alpha)(1 + 1/n) of the calibration rows."""
+    s = df.select(conformal_score(truth, probs, method).alias("s"))
     n = s.count()
     return quantiles(s, [], "s", [min(1.0, (1 - alpha) * (1 + 1 / max(n, 1)))]).select(F.col("q")[0].alias("q"))
 
 
-def conformal_sets(df: DataFrame, q: DataFrame, probs: list[str]) -> DataFrame:
-    """df with classes: all whose score is at most q, or the likeliest."""
+def conformal_sets(df: DataFrame, q: DataFrame, probs: list[str], method: str = "lac") -> DataFrame:
+    """df with classes: all whose score is at most q (for aps but for rounding), or the likeliest."""
     a = F.array(*map(F.col, probs))
-    inside = F.filter(F.transform(a, lambda p, i: F.when(1 - p <= F.col("q"), i.cast("int"))), lambda i: i.isNotNull())
+    if method == "aps":
+        inside = F.array_sort(F.transform(F.filter(_ranked(probs), lambda e, i: (i == 0) | (e["cum"] <= F.col("q") + 1e-12)), lambda e: e["cls"]))
+    else:
+        inside = F.filter(F.transform(a, lambda p, i: F.when(1 - p <= F.col("q"), i.cast("int"))), lambda i: i.isNotNull())
     out = df.crossJoin(F.broadcast(q))  # one row
     return out.withColumn("classes", F.when(F.size(inside) > 0, inside).otherwise(F.array(predicted(probs)))).drop("q")
 

@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from ..operators import stats
+from ..quantiles import quantiles
 from ..sources.bars import LI_BARS_SQL, li_bars
 from .labelling import PREDICTIONS_SQL, predictions
 from .registry import query, rounded
@@ -180,8 +181,7 @@ SELECT row_id, array_to_string(CASE WHEN len(cs) > 0 THEN cs ELSE [pred] END, ',
 def conformal_lac(spark, d):
     x = predictions(spark, d)
     calib, rest = x.where("row_id % 2 = 0"), x.where("row_id % 2 = 1")
-    true_p = F.get(F.array(*map(F.col, _P0)), F.col("y"))
-    q = calib.select((1 - true_p).alias("s")).agg(F.percentile("s", 0.9).alias("q"))
+    q = quantiles(calib.select(stats.conformal_score("y", _P0).alias("s")), [], "s", [0.9]).select(F.col("q")[0].alias("q"))
     return stats.conformal_sets(rest, q, _P0).select("row_id", F.array_join("classes", ",").alias("classes"))
 
 

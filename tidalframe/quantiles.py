@@ -13,18 +13,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .tables import kept
+
 #: Of the sketch; a group with fewer rows is counted value by value.
 ACCURACY = 10_000
 _INF = float("inf")
 
 
-def quantiles(df: DataFrame, keys: list[str], column: str, probs: list[float], out: str = "q") -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], column: str, probs: list[float], out: str = "q", stored: bool = False) -> DataFrame:
     """keys and out, an array of the exact quantiles at probs, linear between ranks; NaN is the largest value.
 
     Nulls do not count; a group of nulls alone has no row.  A null key is a group of its own.
+    The column is read twice: stored writes it, with its keys, to the shared scratch folder first, for one that is dear to make.
     """
     ks = [f"_k{i}" for i in range(len(keys))]
     x = df.select(*[F.col(k).alias(a) for k, a in zip(keys, ks, strict=True)], F.col(column).cast("double").alias("_x")).where("_x is not null")
+    if stored:
+        x = kept(x, "quantiles")
     x = x.withColumn("_y", F.when(F.isnan("_x"), _INF).otherwise(F.col("_x")))
     n, slack = len(probs), 4 / ACCURACY
     ends = [max(p - slack, 0.0) for p in probs] + [min(p + slack, 1.0) for p in probs]
@@ -53,9 +58,9 @@ def quantiles(df: DataFrame, keys: list[str], column: str, probs: list[float], o
     return got.select(*[F.col(a).alias(k) for k, a in zip(keys, ks, strict=True)], F.array(*map(value, range(n))).alias(out))
 
 
-def with_quantiles(df: DataFrame, keys: list[str], column: str, probs: list[float], out: str = "_q", only: Column | None = None) -> DataFrame:
+def with_quantiles(df: DataFrame, keys: list[str], column: str, probs: list[float], out: str = "_q", only: Column | None = None, stored: bool = False) -> DataFrame:
     """df with out, the quantiles of its row's group (of the rows where `only` holds); null where the group has none."""
-    q = quantiles(df if only is None else df.where(only), keys, column, probs, out)
+    q = quantiles(df if only is None else df.where(only), keys, column, probs, out, stored)
     return df.join(renamed(q, keys), same(keys), "left").drop(*[f"_of_{k}" for k in keys])
 
 
