@@ -170,11 +170,6 @@ def iqr_outliers(spark, d):
     return clean.iqr_outliers(li_bars(spark, d), "volume", 1.5).select("symbol", "datetime", "outlier")
 
 
-@query("atr_spikes")
-def atr_spikes(spark, d):
-    return clean.atr_spikes(li_bars(spark, d)).select("symbol", "datetime", "outlier")
-
-
 @query("roll_window_flags", f"""WITH {LI_BARS_SQL}, e AS (SELECT *, CAST(coalesce(abs(close / nullif(lag(close) OVER ({W}), 0) - 1) >= 0.3, false) AS INTEGER) AS roll_event FROM b)
 SELECT symbol, datetime, roll_event, max(roll_event) OVER ({W} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS roll_window FROM e""")
 def roll_window_flags(spark, d):

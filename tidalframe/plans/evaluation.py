@@ -185,7 +185,11 @@ def conformal_lac(spark, d):
     return stats.conformal_sets(rest, q, _P0).select("row_id", F.array_join("classes", ",").alias("classes"))
 
 
-@query("conformal_coverage")
+@query("conformal_coverage", f"""{_X}, c AS (SELECT list_sort(list(1 - [m0_p0, m0_p1, m0_p2][y + 1])) AS l, least(1, 0.9 * (1 + 1.0 / count(*))) * (count(*) - 1) AS p FROM z WHERE row_id % 2 = 0),
+q AS (SELECT l[floor(p)::INTEGER + 1] + (l[ceil(p)::INTEGER + 1] - l[floor(p)::INTEGER + 1]) * (p - floor(p)) AS q FROM c),
+u AS (SELECT y, pred, list_filter([0, 1, 2], lambda k: 1 - [m0_p0, m0_p1, m0_p2][k + 1] <= q) AS cs FROM z, q WHERE row_id % 2 = 1),
+s AS (SELECT y, CASE WHEN len(cs) > 0 THEN cs ELSE [pred] END AS cs FROM u)
+SELECT round(avg(CAST(list_contains(cs, y) AS INTEGER)), 6) AS coverage, round(avg(len(cs)), 6) AS size FROM s""")
 def conformal_coverage(spark, d):
     x = predictions(spark, d)
     q = stats.conformal_quantile(x.where("row_id % 2 = 0"), "y", _P0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays, recursive
+from ..operators import clean
 from ..series import Rolling, with_features
 from ..sources.bars import LI_BARS_SQL, ev_bars, ev_bars_sql, li_bars
 from .features import full, mean
@@ -54,6 +55,11 @@ _ADX = f"{_I}, {_T}, {_wilder('a', {'a': 'tr', 'p': 'pdm', 'm': 'mdm'}, 14, 't')
 query("adx_di", f"{_ADX}, x AS ({_lagged({'adx_14': 'ax.y', 'plus_di_14': 'di.pdi', 'minus_di_14': 'di.mdi'}, _J.format('di') + ' ' + _J.format('ax'))}) SELECT *, CAST(coalesce(adx_14 > 25, false) AS INTEGER) AS adx_strong_trend FROM x")(_ind("adx_14", "plus_di_14", "minus_di_14", "adx_strong_trend"))
 
 
+@query("atr_spikes", f"{_I}, {_T}, {_wilder('a', {'a': 'tr'}, 14, 't')} SELECT i.symbol, i.datetime, coalesce(abs(close / nullif(c0, 0) - 1) > coalesce(a.a, 0) * 5 / nullif(close, 0), false) AS outlier FROM i {_J.format('a')}")
+def atr_spikes(spark, d):
+    return clean.atr_spikes(li_bars(spark, d)).select("symbol", "datetime", "outlier")
+
+
 @query("supertrend", f"""{_I}, {_T}, {_wilder('a', {'a': 'tr'}, 10, 't')}, z AS (SELECT i.symbol, i.k, i.close, i.c0, (i.high + i.low) / 2 + 3 * a.a AS bu, (i.high + i.low) / 2 - 3 * a.a AS bd FROM i JOIN a ON a.symbol = i.symbol AND a.k = i.k),
 s(symbol, k, u, d, dir) AS (SELECT symbol, k, bu, bd, 1 FROM z WHERE k = 10 UNION ALL SELECT symbol, k, u, d, CASE WHEN dir = 1 THEN CASE WHEN close < d THEN -1 ELSE 1 END ELSE CASE WHEN close > u THEN 1 ELSE -1 END END
   FROM (SELECT z.symbol, z.k, z.close, s.dir, CASE WHEN z.bu < s.u OR z.c0 > s.u THEN z.bu ELSE s.u END AS u, CASE WHEN z.bd > s.d OR z.c0 < s.d THEN z.bd ELSE s.d END AS d FROM s JOIN z ON z.symbol = s.symbol AND z.k = s.k + 1))
