@@ -9,7 +9,7 @@ of its trailing parts from the other, which is all that its cuts need; and a phr
 subsumed by a longer one exactly if it is a parent of a name of the same count
 (counts fall with length, so a longer phrase of the same count has a chain of such names below it).
 
-A chunk is some 12 MB of texts of one language, held as an array of numbers of its own; only
+A chunk is some 32 MB of texts of one language, held as an array of numbers of its own; only
 its different words and pairs, each with its count in the chunk, are shuffled, so the commonest word has a row a chunk.
 Each level's arrays hold the places where two frequent phrases meet, with one zero for every gap.
 Tables of names are joined by broadcast only if they are counted to be small, else by a shuffle.
@@ -37,9 +37,9 @@ from . import common
 LEAST = 100
 LONGEST = 5
 TOP = 2000
-CHUNK_BYTES = 12 << 20
-#: Names (numbers, and a word at the first level) that may be broadcast; larger tables are joined by a shuffle.
-NAMES = 100_000
+CHUNK_BYTES = 32 << 20
+#: Names (numbers, and words of so many bytes at the first level) that may be broadcast; larger tables are joined by a shuffle.
+NAMES, NAME_BYTES = 250_000, 8 << 20
 #: The best of a language are first sought in so many shares of its phrases.
 SHARES = 32
 
@@ -84,7 +84,7 @@ def _closed(a: np.ndarray) -> np.ndarray:
 def _rows(chunk: int, tokens: np.ndarray | None, columns: dict[str, pa.Array], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """A row for each different word or pair (lid from 1), then the array with lid -1."""
     n = len(columns["n"])
-    whole = {"chunk": pa.array(np.full(n, chunk)), "lid": pa.array(np.arange(1, n + 1, dtype=np.int32)), **columns, "tokens": pa.nulls(n, pa.binary())}
+    whole = {"chunk": pa.array(np.full(n, chunk)), **columns, "tokens": pa.nulls(n, pa.binary())}
     batch = pa.RecordBatch.from_arrays([whole[f.name].cast(f.type) for f in schema], schema=schema)
     for lo in range(0, n, 65_536):
         yield batch.slice(lo, 65_536)
@@ -110,7 +110,7 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
             at += 1
             tokens, words, n = _numbered(held.pop(lang))
             size.pop(lang)
-            yield from _rows(at, tokens, {"lang": pa.array([lang] * len(n), pa.string()), "word": words, "n": pa.array(n)}, _WORDS)
+            yield from _rows(at, tokens, {"lid": pa.array(np.arange(1, len(n) + 1)), "lang": pa.array([lang] * len(n), pa.string()), "word": words, "n": pa.array(n)}, _WORDS)
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()), strict=True):
@@ -128,8 +128,10 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     return some.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, WORDS)
 
 
-def _paired(tokens: np.ndarray, lids: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(array of pair numbers, left ids, right ids, counts) where frequent phrases meet; lids of the chunk are known by ids elsewhere."""
+def _paired(tokens: np.ndarray, lids: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(array of pair numbers; numbers, left ids, right ids and counts of the pairs) where frequent phrases meet; lids of the chunk are known by ids elsewhere."""
+    order = np.argsort(ids)  # rows in the order of ids are close together in a shuffle
+    lids, ids = lids[order], ids[order]
     place = np.zeros(max(int(tokens.max()), int(lids.max())) + 1, dtype=np.int64)
     place[lids] = np.arange(1, len(lids) + 1)
     x = place[tokens]
@@ -139,9 +141,7 @@ def _paired(tokens: np.ndarray, lids: np.ndarray, ids: np.ndarray) -> tuple[np.n
     rank = _ranked(n)
     out = np.zeros(len(meet), dtype=np.int32)
     out[meet] = rank[at]
-    order = np.argsort(rank)
-    pair = pair[order]
-    return _closed(out), ids[pair // base - 1], ids[pair % base - 1], n[order]
+    return _closed(out), rank, ids[pair // base - 1], ids[pair % base - 1], n
 
 
 def paired(arrays: DataFrame, last: bool) -> DataFrame:
@@ -153,14 +153,17 @@ def paired(arrays: DataFrame, last: bool) -> DataFrame:
                 chunk, tokens = b.column(0)[i].as_py(), np.frombuffer(b.column(1)[i].as_buffer(), dtype="<i4")
                 held = b.column(2)[i].values
                 got = _paired(tokens, held.field(0).to_numpy(), held.field(1).to_numpy())
-                yield from _rows(chunk, None if last else got[0], dict(zip(("left", "right", "n"), map(pa.array, got[1:]), strict=True)), _PAIRS)
+                yield from _rows(chunk, None if last else got[0], dict(zip(("lid", "left", "right", "n"), map(pa.array, got[1:]), strict=True)), _PAIRS)
 
     return arrays.mapInArrow(run, PAIRS)
 
 
 def _held(rows: DataFrame, names: DataFrame, on: list[str]) -> DataFrame:
     """chunk and held, the numbers there and here of its frequent words or pairs."""
-    hits = rows.where("lid > 0").join(common.small(names.select(*on, "id"), NAMES), on)
+    size = F.sum(F.octet_length("phrase")) if on == ["lang", "word"] else F.lit(0)
+    n, size = names.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    names = names.select(*on, "id")
+    hits = rows.where("lid > 0").join(F.broadcast(names) if n <= NAMES and size <= NAME_BYTES else names, on)
     return hits.groupBy("chunk").agg(F.collect_list(F.struct("lid", "id")).alias("held"))
 
 
