@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import normalise, regimes, stats
+from ..operators import hidden, normalise, regimes, stats
 from ..quantiles import quantiles
 from ..sources.bars import LI_BARS_SQL, ev_bars, li_bars
 from .evaluation import _P0, _Q, _X
@@ -71,3 +71,8 @@ def conformal_aps(spark, d):
     scores = x.where("row_id % 2 = 0").select(stats.conformal_score("y", _P0, "aps").alias("s"))
     q = quantiles(scores, [], "s", [0.9]).select(F.col("q")[0].alias("q"))
     return stats.conformal_sets(x.where("row_id % 2 = 1"), q, _P0, "aps").select("row_id", F.array_join("classes", ",").alias("classes"))
+
+
+@query("hmm_regimes")
+def hmm_regimes(spark, d):
+    return hidden.regimes(li_bars(spark, d))
