@@ -54,6 +54,10 @@ WORDS = "chunk long, lid int, lang string, word binary, n long, tokens binary"
 PAIRS = "chunk long, lid int, left long, right long, n long, tokens binary"
 
 
+#: Arrays are stored and shuffled packed; n of their row is their length in bytes.
+_PACK = pa.Codec("zstd", compression_level=1)
+
+
 def _ranked(counts: np.ndarray) -> np.ndarray:
     """Numbers from 1, the commonest first: small numbers pack better."""
     rank = np.empty(len(counts), dtype=np.int32)
@@ -89,7 +93,8 @@ def _rows(chunk: int, tokens: np.ndarray | None, columns: dict[str, pa.Array], s
     for lo in range(0, n, 65_536):
         yield batch.slice(lo, 65_536)
     if tokens is not None and len(tokens):
-        one = {"chunk": chunk, "lid": -1, "tokens": tokens.astype("<i4").tobytes()}
+        raw = tokens.astype("<i4").tobytes()
+        one = {"chunk": chunk, "lid": -1, "n": len(raw), "tokens": _PACK.compress(raw, asbytes=True)}
         yield pa.RecordBatch.from_arrays([pa.array([one.get(f.name)], f.type) for f in schema], schema=schema)
 
 
@@ -145,13 +150,14 @@ def _paired(tokens: np.ndarray, lids: np.ndarray, ids: np.ndarray) -> tuple[np.n
 
 
 def paired(arrays: DataFrame, last: bool) -> DataFrame:
-    """PAIRS of arrays (chunk, tokens, held: lid and id of its frequent phrases); the last level needs no arrays."""
+    """PAIRS of arrays (chunk, n, tokens, held: lid and id of its frequent phrases); the last level needs no arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                chunk, tokens = b.column(0)[i].as_py(), np.frombuffer(b.column(1)[i].as_buffer(), dtype="<i4")
-                held = b.column(2)[i].values
+                chunk, n = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                tokens = np.frombuffer(_PACK.decompress(b.column(2)[i].as_buffer(), n), dtype="<i4")
+                held = b.column(3)[i].values
                 got = _paired(tokens, held.field(0).to_numpy(), held.field(1).to_numpy())
                 yield from _rows(chunk, None if last else got[0], dict(zip(("lid", "left", "right", "n"), map(pa.array, got[1:]), strict=True)), _PAIRS)
 
@@ -181,7 +187,7 @@ def names(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, chunk_byt
     levels, on = [common.stored(first, "names", narrow=True)], ["lang", "word"]
     while len(levels) < longest:
         below = levels[-1]
-        arrays = rows.where("lid = -1").select("chunk", "tokens").join(_held(rows, below, on).hint("shuffle_hash"), "chunk")
+        arrays = rows.where("lid = -1").select("chunk", "n", "tokens").join(_held(rows, below, on).hint("shuffle_hash"), "chunk")
         rows, on = common.stored(paired(arrays, len(levels) + 1 == longest), "pairs"), ["left", "right"]
         found = rows.where("lid > 0").groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         a = below.select(F.col("id").alias("left"), "lang", "phrase", F.concat("heads", F.array("f")).alias("heads"))
