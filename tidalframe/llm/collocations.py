@@ -55,7 +55,7 @@ PAIRS = "chunk long, lid int, left long, right long, n long, tokens binary"
 
 
 #: Arrays are stored and shuffled packed; n of their row is their length in bytes.
-_PACK = pa.Codec("zstd", compression_level=1)
+PACKED = "zstd"
 
 
 def _ranked(counts: np.ndarray) -> np.ndarray:
@@ -94,7 +94,7 @@ def _rows(chunk: int, tokens: np.ndarray | None, columns: dict[str, pa.Array], s
         yield batch.slice(lo, 65_536)
     if tokens is not None and len(tokens):
         raw = tokens.astype("<i4").tobytes()
-        one = {"chunk": chunk, "lid": -1, "n": len(raw), "tokens": _PACK.compress(raw, asbytes=True)}
+        one = {"chunk": chunk, "lid": -1, "n": len(raw), "tokens": pa.compress(raw, codec=PACKED, asbytes=True)}
         yield pa.RecordBatch.from_arrays([pa.array([one.get(f.name)], f.type) for f in schema], schema=schema)
 
 
@@ -156,7 +156,7 @@ def paired(arrays: DataFrame, last: bool) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 chunk, n = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                tokens = np.frombuffer(_PACK.decompress(b.column(2)[i].as_buffer(), n), dtype="<i4")
+                tokens = np.frombuffer(pa.decompress(b.column(2)[i].as_buffer(), n, codec=PACKED), dtype="<i4")
                 held = b.column(3)[i].values
                 got = _paired(tokens, held.field(0).to_numpy(), held.field(1).to_numpy())
                 yield from _rows(chunk, None if last else got[0], dict(zip(("lid", "left", "right", "n"), map(pa.array, got[1:]), strict=True)), _PAIRS)
