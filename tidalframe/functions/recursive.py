@@ -7,6 +7,7 @@ the whole series' values to double precision; the first block has the true seeds
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 import numpy as np
@@ -14,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..series import BLOCK, INDEX, KEY, TIME, blocked, indexed
+from ..series import BLOCK, BLOCK_ROWS, INDEX, KEY, TIME, blocked, indexed
+from ..tables import kept
 
 WARM = 40
 
@@ -167,9 +169,129 @@ def indicators(df: DataFrame, emas=(9, 12, 21, 26, 50), atrs=(7, 14, 21), keep:
     return got.withColumns({"rsi_overbought": flag(c("rsi_14") > 70), "rsi_oversold": flag(c("rsi_14") < 30), "adx_strong_trend": flag(c("adx_14") > 25)})
 
 
-def supertrends(df: DataFrame, period: int = 10, mult: float = 3.0, keep: list[str] | None = None) -> DataFrame:
-    def make(p: pd.DataFrame) -> dict[str, np.ndarray]:
-        line, side = supertrend(*(p[x].to_numpy(dtype=float) for x in ("high", "low", "close")), period, mult)
-        return {k: np.concatenate([[np.nan], x[:-1]]) for k, x in (("supertrend", line), ("supertrend_direction", side))}
+def carried(raw: np.ndarray, before: np.ndarray, enter: float) -> np.ndarray:
+    """A band that holds until raw rises over it or the close before falls under it; then it is raw."""
+    out, d = np.empty(len(raw)), enter
+    for i, (r, c) in enumerate(zip(raw.tolist(), before.tolist(), strict=True)):
+        if r > d or c < d:
+            d = r
+        out[i] = d
+    return out
+
+
+def band_map(raw: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a block does to the band that enters it: (starts of pieces, ascending from -inf; the band that leaves, NaN for the one that entered).
+
+    A band that enters falls at the first row with raw over it or the close before under it, so its row depends on the
+    running extremes alone.  Bands that have fallen are followed together: a queue has their values in order, each
+    row takes those out of both ends that it resets, and these go on as one.
+    """
+    n = len(raw)
+    value, parent = raw.copy(), np.arange(n + 1)
+    queue: deque[int] = deque()
+    high, low = -np.inf, np.inf
+    rises, falls = [], []  # rows where the running extremes change
+    for t, (r, c) in enumerate(zip(raw.tolist(), before.tolist(), strict=True)):
+        new = False
+        if r > high:
+            high, new = r, True
+            rises.append(t)
+        if c < low:
+            low, new = c, True
+            falls.append(t)
+        while queue and value[queue[0]] < r:
+            parent[queue.popleft()], new = t, True
+        while queue and value[queue[-1]] > c:
+            parent[queue.pop()], new = t, True
+        if new and r == r:
+            queue.appendleft(t)
+    for t in range(n - 1, -1, -1):  # parents are later rows
+        parent[t] = parent[parent[t]]
+    up, down = raw[rises], before[falls]
+    edges = np.unique(np.concatenate([up, down]))
+    points = np.unique(np.concatenate([[-np.inf], edges, np.nextafter(edges, np.inf)]))
+    rows_up, rows_down = np.append(rises, n).astype(int), np.append(falls, n).astype(int)
+    first = np.minimum(rows_up[np.searchsorted(up, points, side="right")], rows_down[np.searchsorted(-down, -points, side="right")])
+    leaves = np.where(first < n, np.append(value, np.nan)[parent[np.minimum(first, n)]], np.nan)
+    turns = np.concatenate([[True], ~((leaves[1:] == leaves[:-1]) | (np.isnan(leaves[1:]) & np.isnan(leaves[:-1])))])
+    return points[turns], leaves[turns]
+
+
+def sides(c: np.ndarray, down: np.ndarray, up: np.ndarray, enter: float) -> np.ndarray:
+    out, d = np.empty(len(c)), enter
+    for i, (below, above) in enumerate(zip((c < down).tolist(), (c > up).tolist(), strict=True)):
+        d = (-1.0 if below else 1.0) if d == 1.0 else (1.0 if above else -1.0)
+        out[i] = d
+    return out
+
+
+def supertrends(df: DataFrame, period: int = 10, mult: float = 3.0, keep: list[str] | None = None, rows: int = BLOCK_ROWS) -> DataFrame:
+    """supertrend and supertrend_direction of the bar before.
 
-    return scanned(df, ["high", "low", "close"], make, ["supertrend", "supertrend_direction"], None, keep or [KEY, TIME])
+    State that does not fade is handed from block to block: a first pass makes each block's map of the bands that may enter it, a narrow pass over
+    a symbol's maps gives the bands that do, a second pass follows both directions that may enter, and one more narrow pass picks.
+    """
+    keep = keep or [KEY, TIME]
+    kind = dict(df.dtypes)
+    placed = kept(indexed(df), "indexed")
+    prices = blocked(placed.select(KEY, INDEX, "high", "low", "close"), WARM * period, rows=rows)
+
+    def ranges(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(INDEX)
+        h, low, c = (p[x].to_numpy(dtype=float) for x in ("high", "low", "close"))
+        a, mid = atr(h, low, c, period), (h + low) / 2
+        out = pd.DataFrame({KEY: p[KEY], INDEX: p[INDEX], BLOCK: p[BLOCK], "c": c, "before": np.concatenate([[np.nan], c[:-1]]), "down": mid - mult * a, "up": mid + mult * a})
+        return out[p["_core"].to_numpy()]
+
+    raw = prices.groupBy(KEY, BLOCK).applyInPandas(ranges, f"{KEY} {kind[KEY]}, {INDEX} long, {BLOCK} long, c double, before double, down double, up double")
+    raw = kept(raw, "ranges")
+
+    def mapped(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(INDEX)
+        before, down, up = (p[x].to_numpy(dtype=float) for x in ("before", "down", "up"))
+        (ds, dv), (us, uv) = band_map(down, before), band_map(-up, -before)  # the upper band is the lower one of negated prices
+        return pd.DataFrame({KEY: [p[KEY].iloc[0]], BLOCK: [p[BLOCK].iloc[0]], "ds": [ds.tolist()], "dv": [dv.tolist()], "us": [us.tolist()], "uv": [uv.tolist()]})
+
+    def chained(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(BLOCK)
+        out = {}
+        for side in "du":
+            enter, values = -np.inf, []
+            for starts, leaves in zip(p[f"{side}s"], p[f"{side}v"], strict=True):
+                values.append(enter)
+                got = leaves[int(np.searchsorted(starts, enter, side="right")) - 1]
+                enter = enter if got != got else got
+            out[side] = np.array(values)
+        return pd.DataFrame({KEY: p[KEY], BLOCK: p[BLOCK], "down_in": out["d"], "up_in": -out["u"]})
+
+    maps = raw.groupBy(KEY, BLOCK).applyInPandas(mapped, f"{KEY} {kind[KEY]}, {BLOCK} long, ds array<double>, dv array<double>, us array<double>, uv array<double>")
+    enter = maps.groupBy(KEY).applyInPandas(chained, f"{KEY} {kind[KEY]}, {BLOCK} long, down_in double, up_in double")
+
+    def followed(p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        """Of the row before each: the bands, and the direction for either one that may enter."""
+        p = p.sort_values(INDEX)
+        at, c, before = (p[x].to_numpy() for x in (INDEX, "c", "before"))
+        d0, u0 = float(e["down_in"].iloc[0]), float(e["up_in"].iloc[0])
+        down, up = carried(p["down"].to_numpy(), before, d0), -carried(-p["up"].to_numpy(), -before, -u0)
+        seen = np.where(at > period, c, np.nan)  # the first direction is 1
+        plus, minus = sides(seen, down, up, 1.0), sides(seen, down, up, -1.0)
+        late = lambda first, x: np.concatenate([[first], x[:-1]])
+        return pd.DataFrame({KEY: p[KEY], INDEX: at, BLOCK: p[BLOCK], "down": late(d0, down), "up": late(u0, up), "plus": late(1.0, plus), "minus": late(-1.0, minus), "plus_out": plus[-1], "minus_out": minus[-1]})
+
+    both = raw.groupBy(KEY, BLOCK).cogroup(enter.groupBy(KEY, BLOCK)).applyInPandas(followed, f"{KEY} {kind[KEY]}, {INDEX} long, {BLOCK} long, down double, up double, plus double, minus double, plus_out double, minus_out double")
+    both = kept(both, "bands")
+
+    def turned(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(BLOCK)
+        d, out = 1.0, []
+        for plus, minus in zip(p["plus_out"], p["minus_out"], strict=True):
+            out.append(d)
+            d = plus if d == 1.0 else minus
+        return pd.DataFrame({KEY: p[KEY], BLOCK: p[BLOCK], "_d": np.array(out)})
+
+    ends = both.groupBy(KEY, BLOCK).agg(F.any_value("plus_out").alias("plus_out"), F.any_value("minus_out").alias("minus_out"))
+    turns = ends.groupBy(KEY).applyInPandas(turned, f"{KEY} {kind[KEY]}, {BLOCK} long, _d double")
+    side = F.when(F.col("_d") == 1.0, F.col("plus")).otherwise(F.col("minus"))
+    known = both.join(turns, [KEY, BLOCK]).where(F.col(INDEX) > period).select(KEY, INDEX, F.when(side == 1.0, F.col("down")).otherwise(F.col("up")).alias("supertrend"), side.alias("supertrend_direction"))
+    out = placed.join(known, [KEY, INDEX], "left")
+    return out.select(*keep, F.when(~F.isnan("supertrend"), F.col("supertrend")).alias("supertrend"), "supertrend_direction")
