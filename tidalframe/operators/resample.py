@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..series import KEY, TIME, Rolling, with_features
+from ..series import BLOCK, BLOCK_ROWS, INDEX, KEY, TIME, Rolling, indexed, with_features
+from ..tables import kept
 
 
 def time_bucket(t: str, minutes: int, origin: Column | None = None) -> Column:
@@ -44,44 +45,95 @@ def resample(bars: DataFrame, minutes: int, anchor_first_day: bool = True, flags
     ).withColumnRenamed("_t", TIME)
 
 
-def _bar_ids(size: np.ndarray, threshold: float, least: int) -> np.ndarray:
-    """A bar closes when its sum reaches the threshold and it has `least` rows; what is over is not carried."""
-    out = np.empty(len(size), dtype=np.int64)
-    bar = n = 0
-    total = 0.0
-    for i, s in enumerate(size):
-        out[i] = bar
-        total += s
-        n += 1
-        if total >= threshold and n >= least:
-            bar, n, total = bar + 1, 0, 0.0
-    return out
-
-
-def _accumulated(bars: DataFrame, size: Column, threshold: float, least: int) -> DataFrame:
-    """Every reset depends on all rows before it, so a symbol is one ordered scan; only two numbers a row go through it."""
-
-    def scan(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(TIME, kind="stable")
-        return pd.DataFrame({KEY: p[KEY], TIME: p[TIME], "bar_id": _bar_ids(p["_size"].fillna(0).to_numpy(), threshold, least)})
-
-    kind = dict(bars.dtypes)
-    narrow = bars.select(KEY, TIME, size.cast("double").alias("_size"))
-    ids = narrow.groupBy(KEY).applyInPandas(scan, f"{KEY} {kind[KEY]}, {TIME} {kind[TIME]}, bar_id long")
-    agg = bars.join(ids, [KEY, TIME]).groupBy(KEY, "bar_id").agg(
-        F.min(TIME).alias(TIME), F.min_by("open", TIME).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", TIME).alias("close"),
+def _next(upto: np.ndarray, threshold: float, least: int) -> np.ndarray:
+    """Where the next bar begins after one that begins at a row; more than the rows where it does not close. upto: sums of sizes up to each row."""
+    n = len(upto)
+    at = np.arange(n)
+    before = np.concatenate([[0.0], upto[:-1]])
+    close = np.maximum(np.searchsorted(upto, before + threshold, side="left"), at + least - 1)
+    return np.where(close < n, close + 1, n + 1)
+
+
+def bar_map(size: np.ndarray, threshold: float, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a block does to the open bar that enters it, by the row where that bar closes: sums up to the row, and bars closed, sum and rows of the open bar at the end.
+
+    Rows from the first where even an empty bar would close on are not needed.
+    """
+    upto, n = np.cumsum(size), len(size)
+    nxt = _next(upto, threshold, least).tolist()
+    total = np.concatenate([[0.0], upto])
+    closed, start = [0] * (n + 1), list(range(n + 1))
+    for j in range(n - 1, -1, -1):
+        if nxt[j] <= n:
+            closed[j], start[j] = closed[nxt[j]] + 1, start[nxt[j]]
+    last = min(max(int(np.searchsorted(upto, threshold, side="left")), least - 1) + 1, n)
+    then = np.arange(1, last + 1)
+    begun = np.array(start)[then]
+    return upto[:last], np.array(closed)[then] + 1, total[n] - total[begun], n - begun
+
+
+def bar_ids(size: np.ndarray, threshold: float, least: int, held: float = 0.0, rows: int = 0, bar: int = 0) -> np.ndarray:
+    """The bar of each row: one closes when its sum reaches the threshold and it has `least` rows; what is over is not carried.
+
+    held and rows are of the open bar that enters, whose number is bar.
+    """
+    upto, n = np.cumsum(size), len(size)
+    nxt = _next(upto, threshold, least).tolist()
+    begins = np.zeros(n, dtype=np.int64)
+    j = max(int(np.searchsorted(upto, threshold - held, side="left")), least - rows - 1, 0) + 1
+    while j < n:
+        begins[j] = 1
+        j = nxt[j]
+    return bar + np.cumsum(begins)
+
+
+def _accumulated(bars: DataFrame, size: Column, threshold: float, least: int, block: int = BLOCK_ROWS) -> DataFrame:
+    """Every reset depends on all rows before it: blocks make maps of the open bar that may enter them, a narrow pass over a symbol's
+    maps (a row for each block, entries for about the rows of a bar) gives the one that does, and blocks number their rows.
+
+    Sizes that are null or below 0 count as 0; bars of one time are in the order of the whole row.
+    """
+    kind = dict(bars.dtypes)[KEY]
+    placed = kept(indexed(bars), "indexed")
+    narrow = placed.select(KEY, INDEX, F.floor(F.col(INDEX) / block).alias(BLOCK), F.greatest(F.coalesce(size.cast("double"), F.lit(0.0)), F.lit(0.0)).alias("_size"))
+    sizes = lambda p: p.sort_values(INDEX)["_size"].fillna(0).to_numpy()
+
+    def mapped(p: pd.DataFrame) -> pd.DataFrame:
+        x = sizes(p)
+        upto, closed, held, rows = bar_map(x, threshold, least)
+        return pd.DataFrame({KEY: [p[KEY].iloc[0]], BLOCK: [p[BLOCK].iloc[0]], "n": [len(x)], "total": [x.sum()], "upto": [upto.tolist()], "closed": [closed.tolist()], "held": [held.tolist()], "rows": [rows.tolist()]})
+
+    def chained(p: pd.DataFrame) -> pd.DataFrame:
+        p, out, held, rows, bar = p.sort_values(BLOCK), [], 0.0, 0, 0
+        for r in p.itertuples(index=False):
+            out.append((r[0], r[1], held, rows, bar))
+            k = max(int(np.searchsorted(r.upto, threshold - held, side="left")), least - rows - 1, 0)
+            if k < len(r.upto):
+                held, rows, bar = float(r.held[k]), int(r.rows[k]), bar + int(r.closed[k])
+            else:
+                held, rows = held + r.total, rows + r.n
+        return pd.DataFrame(out, columns=[KEY, BLOCK, "held", "rows", "bar"])
+
+    def numbered(p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        p, e = p.sort_values(INDEX), e.iloc[0]
+        return pd.DataFrame({KEY: p[KEY], INDEX: p[INDEX], "bar_id": bar_ids(p["_size"].to_numpy(), threshold, least, float(e["held"]), int(e["rows"]), int(e["bar"]))})
+
+    maps = narrow.groupBy(KEY, BLOCK).applyInPandas(mapped, f"{KEY} {kind}, {BLOCK} long, n long, total double, upto array<double>, closed array<long>, held array<double>, rows array<long>")
+    enter = maps.groupBy(KEY).applyInPandas(chained, f"{KEY} {kind}, {BLOCK} long, held double, rows long, bar long")
+    ids = narrow.groupBy(KEY, BLOCK).cogroup(enter.groupBy(KEY, BLOCK)).applyInPandas(numbered, f"{KEY} {kind}, {INDEX} long, bar_id long")
+    return placed.join(ids, [KEY, INDEX]).groupBy(KEY, "bar_id").agg(
+        F.min(TIME).alias(TIME), F.min_by("open", INDEX).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", INDEX).alias("close"),
         F.sum("volume").alias("volume"), F.sum(F.col("close") * F.col("volume")).alias("dollar_value"), F.count(F.lit(1)).alias("n_bars"),
     )
-    return agg
 
 
-def volume_bars(bars: DataFrame, threshold: float, least: int = 1) -> DataFrame:
-    return _accumulated(bars, F.col("volume"), threshold, least).drop("dollar_value")
+def volume_bars(bars: DataFrame, threshold: float, least: int = 1, block: int = BLOCK_ROWS) -> DataFrame:
+    return _accumulated(bars, F.col("volume"), threshold, least, block).drop("dollar_value")
 
 
-def dollar_bars(bars: DataFrame, threshold: float, least: int = 1, typical: bool = False) -> DataFrame:
+def dollar_bars(bars: DataFrame, threshold: float, least: int = 1, typical: bool = False, block: int = BLOCK_ROWS) -> DataFrame:
     price = (F.col("high") + F.col("low") + F.col("close")) / 3 if typical else F.col("close")
-    return _accumulated(bars, price * F.col("volume"), threshold, least)
+    return _accumulated(bars, price * F.col("volume"), threshold, least, block)
 
 
 def estimate_count(bars: DataFrame, threshold: float, dollar: bool = False) -> DataFrame:

@@ -64,7 +64,10 @@ def bar_estimates(spark, d):
     return resample.estimate_count(ev_bars(spark, d, 60), 12.0)
 
 
-@query("volume_bar_metadata")
+_META = _bar_sql("volume", 12.0).replace("min(datetime)", "min(k.datetime)").replace("ORDER BY datetime), 6", "ORDER BY k.datetime), 6")
+
+
+@query("volume_bar_metadata", f"SELECT symbol, count(*) AS bars_out, sum(n_bars)::BIGINT AS bars_in, sum(n_bars) / count(*) AS compression, min(n_bars) AS min_bars, max(n_bars) AS max_bars FROM ({_META}) GROUP BY symbol")
 def volume_bar_metadata(spark, d):
     return resample.bar_metadata(resample.volume_bars(ev_bars(spark, d, 60), 12.0))
 
