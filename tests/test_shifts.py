@@ -75,13 +75,6 @@ def test_severities():
     assert shifts.severity(0.0, 0.04) == "low" and shifts.severity(-2.0, 2.0) == "critical"
 
 
-@pytest.fixture(scope="module")
-def rocks(spark):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    yield spark
-    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-
-
 def ran(df, out, checkpoint):
     q = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     assert q.awaitTermination(240)
@@ -93,45 +86,45 @@ def frame(spark, rows, columns):
     return spark.createDataFrame([(n, (start + pd.Timedelta(seconds=s)).to_pydatetime(), *rest) for n, s, *rest in rows], columns)
 
 
-def test_adwin_stream_survives_a_restart(rocks, tmp_path):
+def test_adwin_stream_survives_a_restart(spark, tmp_path):
     rng = np.random.default_rng(3)
     x = {n: rng.normal(size=600) + np.where(np.arange(600) > 350, 4.0 if n == "a" else 0.0, 0.0) for n in ("a", "b")}
     rows = [(n, i, float(v)) for n, xs in x.items() for i, v in enumerate(xs)] + [("a", 10, None), ("b", 599, float("nan"))]
-    df = frame(rocks, rows, "name string, datetime timestamp, x double")
+    df = frame(spark, rows, "name string, datetime timestamp, x double")
     src, out, check = (f"{tmp_path}/{d}" for d in ("in", "out", "check"))
     for lo, hi in ((0, 200), (200, 380), (380, 600)):  # each a run of its own, from the checkpoint of the one before
         s = F.unix_seconds("datetime") - 1704067200
         df.where((s >= lo) & (s < hi)).coalesce(1).write.mode("append").parquet(src)
-        ran(shifts.adwin(rocks.readStream.schema(df.schema).parquet(src), 0.01), out, check)
-    got = rocks.read.parquet(out).toPandas().sort_values("datetime")
+        ran(shifts.adwin(spark.readStream.schema(df.schema).parquet(src), 0.01), out, check)
+    got = spark.read.parquet(out).toPandas().sort_values("datetime")
     want = [p for p in plain_adwin(x["a"], 0.01) if p[0] + 1 >= 30]
     assert want and set(got.name) == {"a"} and list((got.datetime - pd.Timestamp("2024-01-01")).dt.total_seconds()) == [p[0] for p in want]
     assert list(got.width) == [p[1] for p in want] and np.allclose(got.metric, [p[2] for p in want]) and set(got.severity) == {"critical"}
 
 
-def test_halves_stream(rocks, tmp_path):
+def test_halves_stream(spark, tmp_path):
     x = [float(i % 5) + (3.0 if i >= 80 else 0.0) for i in range(120)]
-    df = frame(rocks, [("a", i, v) for i, v in enumerate(x)], "name string, datetime timestamp, x double")
+    df = frame(spark, [("a", i, v) for i, v in enumerate(x)], "name string, datetime timestamp, x double")
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
-    ran(shifts.halves(rocks.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), 0.002, 30, 100), f"{tmp_path}/out", f"{tmp_path}/c")
-    got = rocks.read.parquet(f"{tmp_path}/out").toPandas()
+    ran(shifts.halves(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), 0.002, 30, 100), f"{tmp_path}/out", f"{tmp_path}/c")
+    got = spark.read.parquet(f"{tmp_path}/out").toPandas()
     want = [i for i in range(59, 120) if (h := x[max(0, i - 99) : i + 1]) and shifts.t_test(h[: len(h) // 2], h[len(h) // 2 :]) < 0.002]
     assert sorted((got.datetime - pd.Timestamp("2024-01-01")).dt.total_seconds()) == want and want
 
 
-def test_alerts_gate_limit_and_windows(rocks, tmp_path):
+def test_alerts_gate_limit_and_windows(spark, tmp_path):
     rows = [("a", 0, "high", 1.0), ("a", 30, "critical", 2.0), ("a", 59, "high", 9.0), ("a", 60, "medium", 3.0), ("a", 61, "high", 4.0), ("b", 10, "low", 5.0), ("b", 20, "medium", 6.0), ("c", 290, "high", 7.0)]
     later = [("a", 310, "high", 8.0), ("a", 5, "critical", 99.0), ("b", 320, "critical", 1.0), ("z", 4000, "high", 0.0)]
     columns = "name string, datetime timestamp, severity string, metric double"
-    df = frame(rocks, rows, columns)
+    df = frame(spark, rows, columns)
     src, out, check = (f"{tmp_path}/{d}" for d in ("in", "out", "check"))
-    stream = lambda: shifts.digests(shifts.alerts(rocks.readStream.schema(df.schema).parquet(src), "medium"))
+    stream = lambda: shifts.digests(shifts.alerts(spark.readStream.schema(df.schema).parquet(src), "medium"))
     df.coalesce(1).write.parquet(src)
     ran(stream(), out, check)
-    frame(rocks, later, columns).coalesce(1).write.mode("append").parquet(src)
+    frame(spark, later, columns).coalesce(1).write.mode("append").parquet(src)
     ran(stream(), out, check)
-    frame(rocks, [("z", 9000, "high", 0.0)], columns).coalesce(1).write.mode("append").parquet(src)
+    frame(spark, [("z", 9000, "high", 0.0)], columns).coalesce(1).write.mode("append").parquet(src)
     ran(stream(), out, check)
-    got = {(r.start - pd.Timestamp("2024-01-01")).total_seconds(): (r.n_alerts, r.n_features, r.max_severity, [tuple(f) for f in r.features]) for r in rocks.read.parquet(out).collect()}
+    got = {(r.start - pd.Timestamp("2024-01-01")).total_seconds(): (r.n_alerts, r.n_features, r.max_severity, [tuple(f) for f in r.features]) for r in spark.read.parquet(out).collect()}
     assert got[0.0] == (4, 3, "high", [("a", 2, 3.0), ("b", 1, 6.0), ("c", 1, 7.0)])
     assert got[300.0] == (2, 2, "critical", [("a", 1, 8.0), ("b", 1, 1.0)])

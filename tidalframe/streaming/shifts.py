@@ -157,8 +157,18 @@ class _Processor(StatefulProcessor):
         pass
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def _stateful(df: DataFrame, processor: _Processor, schema: str) -> DataFrame:
-    return df.groupBy("name").transformWithStateInPandas(processor, schema, "Append", "EventTime", eventTimeColumnName="datetime")
+    """Streams and tables alike; such state needs a store with column families, which is set if the session has another."""
+    conf = df.sparkSession.conf
+    if "RocksDB" not in (conf.get(_PROVIDER, "") or ""):
+        conf.set(_PROVIDER, _ROCKS)
+    _ = df.sparkSession.streams.active  # starts the coordinator of state stores, which a table's query needs too
+    mode, time = ("EventTime", "datetime") if df.isStreaming else ("None", "")
+    return df.groupBy("name").transformWithStateInPandas(processor, schema, "Append", mode, eventTimeColumnName=time)
 
 
 def adwin(values: DataFrame, delta: float = 0.002, least: int = 30, late: str = "1 minute") -> DataFrame:
