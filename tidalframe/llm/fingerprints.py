@@ -185,11 +185,14 @@ def bucketed(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
     fine = -(-want // q)
     cuts = [i / q for i in range(1, q)]
     r = docs.agg(F.min("doc_id"), F.percentile_approx("doc_id", cuts or [0.5], 20 * QUANTILES), F.max("doc_id")).first()
-    bounds = sorted({r[0], *(r[1] if cuts and r[1] else []), r[2] + 1}) if r[0] is not None else [0, 1]
+    bounds = sorted({r[0], *(r[1] if cuts and r[1] else []), r[2]}) if r[0] is not None else [0]
+    bounds = bounds if len(bounds) > 1 else bounds * 2
     b = F.lit(bounds).cast("array<long>")
     i = F.least(_search(b, F.col("doc_id"), len(bounds)), F.lit(len(bounds) - 1)) - 1
     lo, hi = F.get(b, F.col("_i")), F.get(b, F.col("_i") + 1)
-    inner = F.floor((F.col("doc_id") - lo) / (hi - lo) * fine)
+    # In doubles, which never fall as ids grow: differences of ids of both signs pass 64 bits.
+    real = lambda x: x.cast("double")
+    inner = F.coalesce(F.floor((real(F.col("doc_id")) - real(lo)) / F.nullif(real(hi) - real(lo), F.lit(0.0)) * fine), F.lit(0))
     at = F.coalesce(F.col("_i") * fine + F.least(inner, F.lit(fine - 1)), F.lit(-1).cast("long"))
     rowed = docs.withColumn("_i", i).withColumn("bucket", at).drop("_i")
     # One narrow row a bucket: the id that comes first in it, and the bucket above that needs a copy of it.
