@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pandas as pd
 import pytest
@@ -219,3 +220,29 @@ def test_the_mix_deals_out_repeated_rows(spark, monkeypatch):
     again = mixing.mix(docs, extra=["source"])
     total = lambda d: sorted(map(tuple, d.select("doc_id", "size", "taken").collect()), key=str)
     assert total(out) == total(again)
+
+
+def test_many_spans_in_one_text(spark):
+    """A dump of credentials: spans are folded in runs, so 20,000 of them take seconds."""
+    n = 20_000
+    df = spark.createDataFrame([(1, "token=abcdefgh\n" * n), (2, "AKIA" + "A" * 16 + " secret: short " + "0f" * 20)], "doc_id long, text string")
+    began = time.time()
+    got = {r.path: [tuple(s) for s in r.spans] for r in secrets.scan(df).collect()}
+    assert time.time() - began < 30
+    assert got[1] == [(15 * i, 0, 15 * i + 14, "assign") for i in range(n)]
+    assert got[2] == [(0, 1, 20, "access"), (35, 2, 75, "hex")]
+
+
+def test_fingerprints_of_extreme_ids(spark):
+    ids = [-(2**63), -(2**63) + 1, -1, 0, 7, 2**62, 2**63 - 1, None, 2**63 - 1]
+    for some in (ids, ids[:1], [2**63 - 1] * 3, [hash((i, "x")) for i in range(40)]):
+        texts = [f"text number {i} says this. " * (i % 4) for i in range(len(some))]
+        df = spark.createDataFrame(list(zip(some, texts, strict=True)), "doc_id long, text string")
+        for rows in (fingerprints.BUCKET_ROWS, 2):
+            got = fingerprints.bucketed(df, rows).where("not halo").orderBy(F.desc_nulls_last("doc_id")).collect()
+            assert len(got) == len(some) and all(a.bucket >= b.bucket for a, b in zip(got, got[1:], strict=False))
+        out = fingerprints.compared(df).collect()
+        assert sorted(r.n_chars for r in out) == sorted(len(t) for t in texts)
+        order = sorted(zip(some, texts, strict=True), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+        want = [(a + "")[: len(a) - len(a) // 2] + b[: len(a) // 2] for (_, a), (_, b) in zip(order, order[1:] + order[:1], strict=True)]
+        assert sorted(r.edited_sha256 for r in out) == sorted(hashlib.sha256(w.encode()).hexdigest() for w in want)

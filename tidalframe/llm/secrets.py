@@ -67,37 +67,31 @@ RULES = BASE + MORE
 
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """The spans of one rule, in code points: lengths of what lies between matches and of the matches, added up."""
+    long = lambda c: F.transform(c, F.length)
     gaps = F.split(text, rule.pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     held = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
-    # gaps has one element more than there are matches; the pad is dropped again by the fold
-    items = F.arrays_zip(gaps.alias("gap"), whole.alias("hit"), held.alias("held"))
+    # gaps has one element more than there are matches; the fold drops the pad again
+    items = F.arrays_zip(long(gaps).alias("gap"), long(whole).alias("hit"), long(held).alias("held"))
     none = F.array().cast(SPAN)
-    step = F.aggregate(
-        items,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"),
-            F.when(
-                F.length(x["held"]) >= rule.least,
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(x["gap"])).alias("start"),
-                            F.lit(rank).alias("rank"),
-                            (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"),
-                            F.lit(rule.kind).alias("kind"),
-                        )
-                    ).cast(SPAN),
-                ),
-            )
-            .otherwise(acc["out"])
-            .cast(SPAN)
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+
+    def one(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + F.coalesce(x["hit"], F.lit(0))
+        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
+        return F.struct(end.alias("at"), F.when(x["held"] >= rule.least, F.concat(acc["out"], F.array(span)).cast(SPAN)).otherwise(acc["out"]).alias("out"))
+
+    # An array that grows by one element is copied each time: runs of about the square root of all matches are folded on their own.
+    run = lambda v: F.ceil(F.sqrt(F.size(v))).cast("int")
+    cut = lambda v: F.transform(F.sequence(F.lit(1), F.size(v), run(v)), lambda i: F.slice(v, i, run(v)))
+    runs = F.flatten(F.transform(F.array(items), cut))
+
+    def many(acc: Column, part: Column) -> Column:
+        before = F.coalesce(F.try_element_at(acc, F.lit(-1))["at"], F.lit(0))
+        return F.concat(acc, F.array(F.aggregate(part, F.struct(before.alias("at"), none.alias("out")), one)))
+
+    folded = F.aggregate(runs, F.array().cast(f"array<struct<at:int,out:{SPAN}>>"), many)
+    step = F.flatten(F.transform(folded, lambda f: f["out"]))
     return F.when(text.rlike(rule.pattern), step).otherwise(none)
 
 
@@ -133,6 +127,12 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     return rows.select("blob", F.col("todo").alias("scanned"), F.concat(*found).alias("spans"))
 
 
+def _different(ordered: Column) -> Column:
+    """A sorted array without repeats, by a look at the element before."""
+    once = lambda v: F.filter(v, lambda x, i: (i == 0) | (F.get(v, i - 1) != x))
+    return F.flatten(F.transform(F.array(ordered), once))
+
+
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(path, blob, spans) for every row of versions: spans of the current rule versions, by start, then kind in the order of rules."""
     kinds = [r.kind for r in rules]
@@ -150,7 +150,7 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
     by_blob = (
         hits.select("blob", ranked.alias("spans"))
         .groupBy("blob")
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+        .agg(_different(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"))
     )
     paths = _addressed(versions, key, text).select("path", "blob")
     return paths.join(by_blob, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
