@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import random
+import zlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,3 +104,91 @@ def search(df: DataFrame, horizon: int, trials: int = 20, share: float = 0.3, se
 
 def best(found: DataFrame) -> DataFrame:
     return found.groupBy(KEY).agg(F.max_by(F.struct("k_up", "k_down", "max_bars", "score"), F.struct("score", -F.col("k_up"), -F.col("k_down"))).alias("b")).select(KEY, "b.*")
+
+
+#: Of an adaptive search: trials a pass, the share of trials that counts as good, and the draws that each new trial is the best of.
+BATCH, GOOD, DRAWS = 20, 0.25, 24
+_BOUNDS = (K_RANGE, K_RANGE, BARS_RANGE)
+TRIALS = "trial int, k_up double, k_down double, mult double"
+
+
+def _density(x: np.ndarray, seen: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    """A mixture of a normal curve about each value seen and of a flat one over the range."""
+    width = max((hi - lo) / max(len(seen), 1) ** 0.5 / 2, (hi - lo) / 50)
+    curves = np.exp(-0.5 * ((x[:, None] - seen[None, :]) / width) ** 2) / (width * np.sqrt(2 * np.pi))
+    return (curves.sum(axis=1) + 1 / (hi - lo)) / (len(seen) + 1)
+
+
+def proposed(tried: np.ndarray, scores: np.ndarray, n: int, rng: np.random.Generator, good: float = GOOD, draws: int = DRAWS) -> np.ndarray:
+    """n new points (n, 3): each the best of some draws about the good trials, by how much denser the good ones are there than the rest.
+
+    Without trials the points are uniform.  Ties of scores go to the earlier trial.
+    """
+    low, high = (np.array(b) for b in zip(*_BOUNDS, strict=True))
+    if not len(tried):
+        return rng.uniform(low, high, (n, 3))
+    order = np.argsort(-scores, kind="stable")
+    k = max(1, int(np.ceil(good * len(order))))
+    best, rest = tried[order[:k]], tried[order[k:]]
+    width = np.maximum((high - low) / np.sqrt(k) / 2, (high - low) / 50)
+    about = best[rng.integers(0, k, n * draws)] + width * rng.normal(size=(n * draws, 3))
+    flat = rng.random(n * draws) < 1 / (k + 1)
+    points = np.where(flat[:, None] | (about < low) | (about > high), rng.uniform(low, high, about.shape), about)
+    ratio = sum(np.log(_density(points[:, j], best[:, j], *_BOUNDS[j])) - np.log(_density(points[:, j], rest[:, j], *_BOUNDS[j])) for j in range(3))
+    pick = ratio.reshape(n, draws).argmax(axis=1) + draws * np.arange(n)
+    return points[pick]
+
+
+def adaptive(df: DataFrame, horizon: int, trials: int = 100, share: float = 0.3, seed: int = 42, train: float | None = None, atr: str = "atr_14", batch: int = BATCH) -> DataFrame:
+    """symbol, batch, trial, k_up, k_down, mult, max_bars, score: trials drawn batch by batch from the best of those before, each symbol for itself.
+
+    A batch is one pass over the rows, joined with its symbol's trials; new trials are drawn in tasks, a symbol's history (a row a trial) at a time.
+    The same seed gives the same trials whatever the partitions.
+    """
+    if train is not None:
+        n = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
+        df = indexed(df).join(n, KEY).where(F.col(INDEX) < F.floor(F.col("_n") * train)).drop("_n", INDEX)
+    part = kept(subset(df, share, seed), "search")
+    longest = max(1, int(horizon * BARS_RANGE[1]))
+    f = kept(labels.with_future(part, longest).select(KEY, "close", atr, "_fut", "_i", "_n"), "search-bars")
+    kind = dict(df.dtypes)[KEY]
+    symbols = kept(part.select(KEY).distinct(), "symbols")
+    columns = f"{KEY} {kind}, batch int, {TRIALS}, max_bars int, score double"
+
+    def drawn(b: int, n: int):
+        def draw(key: tuple, old: pd.DataFrame) -> pd.DataFrame:
+            old = old[old["trial"].notna()].sort_values("trial")
+            rng = np.random.default_rng([seed, b, zlib.crc32(str(key[0]).encode())])
+            x = np.round(proposed(old[["k_up", "k_down", "mult"]].to_numpy(dtype=float), old["score"].to_numpy(dtype=float), n, rng), 3)
+            return pd.DataFrame({KEY: key[0], "batch": b, "trial": b * batch + np.arange(n), "k_up": x[:, 0], "k_down": x[:, 1], "mult": x[:, 2]})
+
+        return draw
+
+    history = None
+    for b in range(-(-trials // batch)):
+        n = min(batch, trials - b * batch)
+
+        known = symbols.join(history, KEY, "left") if history is not None else symbols.withColumns({"trial": F.lit(None).cast("int"), **{c: F.lit(None).cast("double") for c in ("k_up", "k_down", "mult", "score")}})
+        todo = known.groupBy(KEY).applyInPandas(drawn(b, n), f"{KEY} {kind}, batch int, {TRIALS}")
+        todo = kept(todo.withColumn("max_bars", F.greatest(F.lit(1), (F.lit(horizon) * F.col("mult")).cast("int"))), "trials")
+        c, a = F.col, F.col(atr)
+        rows = f.join(todo.select(KEY, "trial", "k_up", "k_down", "max_bars"), KEY)
+        rows = rows.withColumns({"_up": c("close") + c("k_up") * a, "_dn": c("close") - a * c("k_down"), "_ok": F.coalesce(a > 0, F.lit(False)), "_mb": c("max_bars")})
+        by = ("trial", "k_up", "k_down", "max_bars")
+        labelled = labels.judged(rows, [KEY, atr, *by], c("max_bars"), horizon, "invalid", ("mae", "mfe"))
+        scored = score(shares(labelled, horizon, atr, by), horizon).select(KEY, "trial", "score")
+        got = todo.join(scored, [KEY, "trial"], "left").select(*[x.split()[0] for x in columns.split(", ")])
+        got = got.withColumn("score", F.coalesce("score", F.lit(REJECTED * 1.0)))
+        history = kept(got if history is None else history.unionByName(got), "history")
+    return history if history is not None else df.sparkSession.createDataFrame([], columns)
+
+
+def convergence(history: DataFrame) -> DataFrame:
+    """symbol, batch, trials, best, mean, gain: after each batch the best score so far, the batch's mean, and what the batch gained."""
+    from pyspark.sql import Window as W
+
+    each = history.groupBy(KEY, "batch").agg(F.count(F.lit(1)).alias("_n"), F.max("score").alias("_best"), F.avg("score").alias("mean"))
+    order = W.partitionBy(KEY).orderBy("batch")  # a row a batch
+    best = F.max("_best").over(order)
+    each = each.withColumns({"trials": F.sum("_n").over(order), "best": best}).withColumn("gain", F.coalesce(F.col("best") - F.lag("best").over(order), F.lit(0.0)))
+    return each.select(KEY, "batch", "trials", "best", "mean", "gain")

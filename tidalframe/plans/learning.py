@@ -26,6 +26,16 @@ def label_search(spark, d):
     return rounded(search.best(search.search(_bars(spark, d), 5, trials=100, train=0.7)))
 
 
+@query("label_search_adaptive")
+def label_search_adaptive(spark, d):
+    return rounded(search.best(search.adaptive(_bars(spark, d), 5, trials=100, train=0.7)))
+
+
+@query("search_convergence")
+def search_convergence(spark, d):
+    return rounded(search.convergence(search.adaptive(_bars(spark, d), 5, trials=60, train=0.7)))
+
+
 def _labelled(spark, d):
     r = Rolling.of_blocks()
     f = with_features(li_bars(spark, d), price.returns(r, (1, 5, 10)) | price.stochastic(r) | price.roc(r), 25).na.drop("any")
