@@ -50,6 +50,17 @@ def feature_importance(spark, d):
     return rounded(models.importance(_labelled(spark, d), _X, "y", trees=50))
 
 
+@query("permutation_importance")
+def permutation_importance(spark, d):
+    return rounded(models.permutation_importance(_labelled(spark, d), _X, "y"))
+
+
+@query("feature_frequency")
+def feature_frequency(spark, d):
+    x = _labelled(spark, d)
+    return rounded(models.chosen_often(x, splits.purged_kfold(x, 3, 60, 30), _X, "y", 3, method="hybrid"))
+
+
 @query("out_of_fold")
 def out_of_fold(spark, d):
     x = _labelled(spark, d)
