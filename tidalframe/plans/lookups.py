@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_EVEN, Decimal
+
 from pyspark.sql import functions as F
 
 from ..functions import clock, lookups
 from ..operators import normalise, resample
-from ..sources.bars import ev_bars, ev_bars_sql
+from ..sources.bars import LI_BARS_SQL, ev_bars, ev_bars_sql, li_bars
 from .cleaning import _IN
 from .features import full, mean
 from .registry import query, rounded
@@ -18,33 +20,44 @@ def _values(rows) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else repr(x) for x in r) + ")" for r in rows) + ")"
 
 
-_KEYS = [(s, h) for s in ("MES", "MGC", "XYZ") for h in (1, 5, 10, 15, 20, 30)]
+def even(x: float, digits: int) -> float:
+    """x rounded half to even by the digits that it is written with."""
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_EVEN))
 
 
-@query("barrier_lookup", f"""WITH k AS (SELECT * FROM {_values(_KEYS)} t(symbol, horizon)), o AS (SELECT * FROM {_values(lookups.BARRIERS)} t(symbol, horizon, u, d, b)), z AS (SELECT * FROM {_values(lookups.BARRIERS_DEFAULT)} t(horizon, u, d, b))
-SELECT k.symbol, k.horizon, coalesce(o.u, z.u, 1 + 1.5 * k.horizon / 20)::DOUBLE AS k_up, coalesce(o.d, z.d, 1 + 1.5 * k.horizon / 20)::DOUBLE AS k_down, coalesce(o.b, z.b, greatest(5, 3 * k.horizon))::INTEGER AS max_bars FROM k LEFT JOIN o USING (symbol, horizon) LEFT JOIN z ON z.horizon = k.horizon""")
-def barrier_lookup(spark, d):
-    return lookups.barriers(spark.createDataFrame(_KEYS, "symbol string, horizon int"))
+_NAMES = {"A": "MES", "N": "MGC"}
+_HORIZONS = (1, 5, 10, 15, 20, 30)
+
 
+def keyed(bars):
+    """Bars under the names of instruments, each with a horizon by its day."""
+    name = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in _NAMES.items() for x in pair]), F.col("symbol")), F.lit("XYZ"))
+    horizon = F.get(F.array(*map(F.lit, _HORIZONS)), F.day("datetime") % len(_HORIZONS))
+    return bars.withColumns({"symbol": name, "horizon": horizon})
 
-_RK = [("high", "uptrend", "trending"), ("low", "downtrend", "random"), ("normal", "sideways", "mean_reverting"), ("odd", "uptrend", "random")]
-_MULT = lambda i: " * ".join(f"coalesce((SELECT {i} FROM m WHERE kind = '{k}' AND regime = {c}), 1)" for k, c in (("volatility", "vol"), ("trend", "tr"), ("structure", "st")))
 
+_NAMED = "CASE symbol " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _NAMES.items()) + " ELSE 'XYZ' END"
+BARRIERS_SQL = f"""WITH {LI_BARS_SQL}, k AS (SELECT {_NAMED} AS symbol, datetime, {list(_HORIZONS)}[day(datetime) % {len(_HORIZONS)} + 1]::INTEGER AS horizon FROM b),
+o AS (SELECT * FROM {_values(lookups.BARRIERS)} t(symbol, horizon, u, d, b)), z AS (SELECT * FROM {_values(lookups.BARRIERS_DEFAULT)} t(horizon, u, d, b)),
+r AS (SELECT k.symbol, k.datetime, k.horizon, coalesce(o.u, z.u, 1 + 1.5 * k.horizon / 20)::DOUBLE AS k_up, coalesce(o.d, z.d, 1 + 1.5 * k.horizon / 20)::DOUBLE AS k_down, coalesce(o.b, z.b, greatest(5, 3 * k.horizon))::INTEGER AS max_bars
+  FROM k LEFT JOIN o ON o.symbol = k.symbol AND o.horizon = k.horizon LEFT JOIN z ON z.horizon = k.horizon)"""
 
-@query("regime_barriers", f"""WITH m AS (SELECT * FROM {_values(lookups.REGIMES)} t(kind, regime, u, d, b)), k AS (SELECT * FROM {_values(_RK)} t(vol, tr, st))
-SELECT vol, tr, st, round(1.5 * {_MULT('u')}, 4)::DOUBLE AS k_up, round(1.1 * {_MULT('d')}, 4)::DOUBLE AS k_down, greatest(1, round_even(12 * {_MULT('b')}, 0))::INTEGER AS max_bars FROM k""")
-def regime_barriers(spark, d):
-    k = spark.createDataFrame(_RK, "vol string, tr string, st string").withColumns({"k_up": F.lit(1.5), "k_down": F.lit(1.1), "max_bars": F.lit(12)})
-    return lookups.adjusted(k, "vol", "tr", "st")
+
+@query("barrier_lookup", f"{BARRIERS_SQL} SELECT symbol, datetime, horizon, round(k_up, 6) AS k_up, round(k_down, 6) AS k_down, max_bars FROM r")
+def barrier_lookup(spark, d):
+    return rounded(lookups.barriers(keyed(li_bars(spark, d)).select("symbol", "datetime", "horizon")))
 
 
-_CK = [(s, r) for s in ("MES", "MGC", "XYZ") for r in ("low_vol", "high_vol")]
+_COSTS = "(VALUES ('MES', 'low_vol', 1.5::DOUBLE, 1.25::DOUBLE), ('MES', 'high_vol', 2.5, 1.25), ('MGC', 'low_vol', 1.8, 1.0), ('MGC', 'high_vol', 3.3, 1.0), ('XYZ', 'low_vol', 1.5, 1.0), ('XYZ', 'high_vol', 2.5, 1.0)) t(symbol, regime, ticks, tick_value)"
 
 
-@query("trade_costs", "SELECT * FROM (VALUES ('MES', 'low_vol', 1.5::DOUBLE, 1.25::DOUBLE), ('MES', 'high_vol', 2.5, 1.25), ('MGC', 'low_vol', 1.8, 1.0), ('MGC', 'high_vol', 3.3, 1.0), ('XYZ', 'low_vol', 1.5, 1.0), ('XYZ', 'high_vol', 2.5, 1.0)) t(symbol, regime, ticks, tick_value)")
+@query("trade_costs", f"""WITH {LI_BARS_SQL}, k AS (SELECT {_NAMED} AS symbol, datetime, CASE WHEN (high - low) / close > 0.5 THEN 'high_vol' ELSE 'low_vol' END AS regime FROM b)
+SELECT symbol, datetime, regime, ticks, tick_value, round(ticks * tick_value, 6) AS cost FROM k JOIN {_COSTS} USING (symbol, regime)""")
 def trade_costs(spark, d):
-    k = spark.createDataFrame(_CK, "symbol string, regime string")
-    return k.select("symbol", "regime", F.round(lookups.trade_cost(F.col("symbol"), F.col("regime")), 6).alias("ticks"), lookups.tick_value(F.col("symbol")).alias("tick_value"))
+    wide = (F.col("high") - F.col("low")) / F.col("close") > 0.5
+    k = keyed(li_bars(spark, d)).withColumn("regime", F.when(wide, "high_vol").otherwise("low_vol"))
+    ticks, value = F.round(lookups.trade_cost(F.col("symbol"), F.col("regime")), 6), lookups.tick_value(F.col("symbol"))
+    return k.select("symbol", "datetime", "regime", ticks.alias("ticks"), value.alias("tick_value"), F.round(ticks * value, 6).alias("cost"))
 
 
 _HOL = "h(day, kind) AS (VALUES (DATE '2024-01-01', 'holiday'), (DATE '2024-01-15', 'holiday'))"

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import lookups
 from ..operators import hidden, normalise, regimes, stats
 from ..quantiles import quantiles
 from ..sources.bars import LI_BARS_SQL, ev_bars, li_bars
 from .evaluation import _P0, _Q, _X
 from .features import _A
 from .labelling import predictions
-from .lookups import _FIT, _IN
+from .lookups import _FIT, _IN, _values, even
 from .registry import query, rounded
 from .scans import _ADX, _J
 
@@ -53,6 +54,29 @@ def regime_routing(spark, d):
     return rounded(regimes.routing_summary(regimes.routed(x, "volatility_regime", {"low": "calm", "high": "wild"}, "usual")))
 
 
+_ST = ("trending", "random", "mean_reverting")
+_FACTORS = {(kind, name): x for kind, name, *x in lookups.REGIMES}
+_ONE = [1.0, 1.0, 1.0]
+
+
+def _adjusted(v: str, t: str, r: str) -> tuple:
+    f = [1.0 * a * b * c for a, b, c in zip(_FACTORS.get(("volatility", v), _ONE), _FACTORS.get(("trend", t), _ONE), _FACTORS.get(("structure", r), _ONE), strict=True)]
+    return v, t, r, even(1.5 * f[0], 4), even(1.1 * f[1], 4), max(1, int(even(12 * f[2], 0)))
+
+
+_ALL = [_adjusted(v, t, r) for v in ("low", "normal", "high", "") for t in ("uptrend", "downtrend", "sideways", "") for r in _ST]
+
+
+@query("regime_barriers", f"""{_DETECT}, m AS (SELECT * FROM {_values(_ALL)} t(v, t, r, u, d, b)), k AS (SELECT *, {list(_ST)}[day(datetime) % 3 + 1] AS structure_regime FROM s)
+SELECT symbol, datetime, volatility_regime, trend_regime, structure_regime, u::DOUBLE AS k_up, d::DOUBLE AS k_down, b::INTEGER AS max_bars
+FROM k JOIN m ON v = coalesce(volatility_regime, '') AND t = coalesce(trend_regime, '') AND r = structure_regime""")
+def regime_barriers(spark, d):
+    x = regimes.advanced(li_bars(spark, d), _TWO).withColumn("structure_regime", F.get(F.array(*map(F.lit, _ST)), F.day("datetime") % 3))
+    names = ("volatility_regime", "trend_regime", "structure_regime")
+    k = x.select("symbol", "datetime", *names).withColumns({"k_up": F.lit(1.5), "k_down": F.lit(1.1), "max_bars": F.lit(12)})
+    return lookups.adjusted(k, *names)
+
+
 @query("session_volatility", f"{_FIT.replace('close AS x', '(high - low) AS x')}, s AS (SELECT *, CASE WHEN {_IN['asia']} THEN 'asia' WHEN {_IN['london']} THEN 'london' WHEN {_IN['new_york']} THEN 'new_york' END AS session FROM b) SELECT symbol, datetime, round(CASE WHEN session IS NULL THEN NULL WHEN mean = 0 THEN close ELSE close / mean END, 6) AS close_session_norm FROM s LEFT JOIN f USING (session)")
 def session_volatility(spark, d):
     b = ev_bars(spark, d, 30).withColumn("range", F.col("high") - F.col("low"))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import lookups
 from ..operators import clean, labels, review, splits
 from ..series import Rolling, with_features
-from ..sources.bars import LI_BARS_SQL, li_bars
+from ..sources.bars import LI_BARS_SQL, ev_bars, li_bars
 from .labelling import _CHRONO, _MS, _SEQ, PREDICTIONS_SQL, _chrono, predictions
-from .lookups import _KEYS, _values
+from .lookups import _HORIZONS as HORIZONS
+from .lookups import BARRIERS_SQL, _values, even, keyed
 from .evaluation import _halves, _psi_sql
 from .registry import ORACLES, query, rounded
 from .scans import _ADX, _J
@@ -57,19 +58,34 @@ def label_classes(spark, d):
     return b.select("symbol", "datetime", "label", "class", review.label_of(F.col("class")).alias("back"))
 
 
-@query("preset_barriers")
+_MULTIPLES = sorted({x for row in (*lookups.BARRIERS, *lookups.BARRIERS_DEFAULT) for x in row[-3:-1]} | {h * 1.5 / 20 + 1.0 for h in HORIZONS})
+_SCALED = _values([(name, k, even(k * m, 2)) for name, m in review.PRESETS for k in _MULTIPLES])
+
+
+@query("preset_barriers", f"""{BARRIERS_SQL}, p AS (SELECT preset, k::DOUBLE AS k, x::DOUBLE AS x FROM {_SCALED} t(preset, k, x))
+SELECT symbol, datetime, horizon, max_bars, u.preset, u.x AS k_up, d.x AS k_down FROM r JOIN p u ON abs(u.k - k_up) < 1e-9 JOIN p d ON abs(d.k - k_down) < 1e-9 AND d.preset = u.preset""")
 def preset_barriers(spark, d):
-    k = lookups.barriers(spark.createDataFrame(_KEYS, "symbol string, horizon int"))
+    k = lookups.barriers(keyed(li_bars(spark, d)).select("symbol", "datetime", "horizon"))
     parts = [review.preset_barriers(k, name).withColumn("preset", F.lit(name)) for name, _ in review.PRESETS]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
 _FRAMES = (("1min", 1, "5min", 5), ("5min", 5, "15min", 15), ("5min", 5, "4h", 240), ("1h", 60, "1d", 1440))
+_BUCKETS = lambda m: f"(SELECT count(*) FROM (SELECT DISTINCT event_type, time_bucket(INTERVAL {m} MINUTE, ts, TIMESTAMP '1970-01-01') FROM events WHERE value > 0))"
 
 
-@query("resampling_info", f"SELECT source, target, a::INTEGER AS source_minutes, b::INTEGER AS target_minutes, (b // a)::INTEGER AS bars_per_target, (b / a)::DOUBLE AS scale_factor FROM {_values(_FRAMES)} t(source, a, target, b)")
+@query("resampling_info", " UNION ALL ".join(f"SELECT '{s}' AS source, '{t}' AS target, {a}::INTEGER AS source_minutes, {b}::INTEGER AS target_minutes, {b // a}::INTEGER AS bars_per_target, {b / a}::DOUBLE AS scale_factor, {_BUCKETS(a)} AS source_bars, {_BUCKETS(b)} AS target_bars, round({_BUCKETS(a)} / ({_BUCKETS(b)} * {b // a}), 6) AS fill" for s, a, t, b in _FRAMES))
 def resampling_info(spark, d):
-    return spark.createDataFrame([review.resampling_info(s, t) for s, _, t, _ in _FRAMES], "source string, target string, source_minutes int, target_minutes int, bars_per_target int, scale_factor double")
+    """What resampling should give, and how full the bars of the events are."""
+    out = None
+    for source, _, target, _ in _FRAMES:
+        i = review.resampling_info(source, target)
+        n = [ev_bars(spark, d, i[f"{k}_minutes"]).agg(F.count(F.lit(1)).alias(f"{k}_bars")) for k in ("source", "target")]
+        one = n[0].crossJoin(F.broadcast(n[1]))  # a row each
+        fill = F.round(F.col("source_bars") / (F.col("target_bars") * i["bars_per_target"]), 6)
+        one = one.select(*[F.lit(v).alias(k) for k, v in i.items()], "source_bars", "target_bars", fill.alias("fill"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("meta_metrics", f"""WITH m AS ({ORACLES["meta_label"]}) SELECT symbol, count(*) AS total, count_if(meta_label_h5 <> -99)::BIGINT AS valid, count_if(meta_label_h5 = 1)::BIGINT AS right, count_if(meta_label_h5 = 0)::BIGINT AS wrong,
