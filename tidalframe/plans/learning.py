@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import price
-from ..operators import labels, models, search, splits, stats
+from ..operators import labels, models, search, splits, stationary, stats
 from ..series import Rolling, with_features
 from ..sources.bars import li_bars
 from .labelling import _TB, _bars, predictions
@@ -71,3 +71,9 @@ def out_of_fold(spark, d):
 def isotonic_calibration(spark, d):
     x = models.calibrated(predictions(spark, d), "y", ["m0_p0", "m0_p1", "m0_p2"])
     return rounded(stats.reliability(x, "y", ["m0_p0", "m0_p1", "m0_p2"]))
+
+
+@query("stationarity")
+def stationarity(spark, d):
+    r = Rolling.of_blocks()
+    return rounded(stationary.dickey_fuller(with_features(li_bars(spark, d), price.returns(r, (1,)), 2), ["return_1", "close"]))
