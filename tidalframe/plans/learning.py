@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import price
-from ..operators import labels, models, search, splits, stationary, stats
+from ..operators import inference, labels, models, search, splits, stationary, stats
 from ..series import Rolling, with_features
-from ..sources.bars import li_bars
+from ..sources.bars import LI_BARS_SQL, li_bars
 from .labelling import _TB, _bars, predictions
 from .registry import query, rounded
 
@@ -77,3 +78,24 @@ def isotonic_calibration(spark, d):
 def stationarity(spark, d):
     r = Rolling.of_blocks()
     return rounded(stationary.dickey_fuller(with_features(li_bars(spark, d), price.returns(r, (1,)), 2), ["return_1", "close"]))
+
+
+def _margins(x):
+    """A fixed model: softmax of the range and the body of a bar; it refuses batches with a wide range."""
+    c = x["close"].to_numpy()
+    body, wide = np.tanh((c - x["open"].to_numpy()) / c), (x["high"].to_numpy() - x["low"].to_numpy()) / c
+    z = np.column_stack([-body, np.log(wide + 1) / 4, body])
+    if (wide > 250).any():
+        raise ValueError("a range is too wide")
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+@query("batch_predictions", f"""WITH {LI_BARS_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY datetime, symbol) - 1 AS row_id, tanh((close - open) / close) AS z, (high - low) / close AS y, ln((high - low) / close + 1) / 4 AS w FROM b),
+k AS (SELECT *, row_id // 50 AS batch, max(y) OVER (PARTITION BY row_id // 50) AS widest FROM n),
+e AS (SELECT *, exp(-z) AS e0, exp(w) AS e1, exp(z) AS e2 FROM k WHERE widest <= 250)
+SELECT row_id, batch, symbol, datetime, (CASE WHEN -z >= w AND -z >= z THEN -1 WHEN w >= z THEN 0 ELSE 1 END)::INTEGER AS prediction, round(e0 / (e0 + e1 + e2), 6) AS prob_short, round(e1 / (e0 + e1 + e2), 6) AS prob_neutral, round(e2 / (e0 + e1 + e2), 6) AS prob_long,
+  round(greatest(e0, e1, e2) / (e0 + e1 + e2), 6) AS confidence FROM e""")
+def batch_predictions(spark, d):
+    out = inference.predict_batches(li_bars(spark, d), _margins, ["open", "high", "low", "close"], 50, "skip", keep=("symbol", "datetime"))
+    return rounded(out.predictions)
