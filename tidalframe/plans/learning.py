@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import price
-from ..operators import inference, labels, models, search, splits, stationary, stats
+from ..operators import inference, labels, models, runner, search, splits, stationary, stats
 from ..series import Rolling, with_features
 from ..sources.bars import LI_BARS_SQL, li_bars
 from .labelling import _TB, _bars, predictions
@@ -99,3 +99,34 @@ SELECT row_id, batch, symbol, datetime, (CASE WHEN -z >= w AND -z >= z THEN -1 W
 def batch_predictions(spark, d):
     out = inference.predict_batches(li_bars(spark, d), _margins, ["open", "high", "low", "close"], 50, "skip", keep=("symbol", "datetime"))
     return rounded(out.predictions)
+
+
+_CV = ["body", "range", "volume"]
+
+
+def _quarters(spark, d):
+    """Bars with three columns and a label, and three folds: train on the first quarters, test on the next."""
+    c = F.col
+    x = li_bars(spark, d).select("symbol", "datetime", ((c("close") - c("open")) / c("open")).alias("body"), ((c("high") - c("low")) / c("close")).alias("range"), "volume", (c("high") > 2 * c("open")).cast("double").alias("y"))
+    n = x.count()
+    p = splits.positions(x).select("row_id")
+    parts = [p.where(F.col("row_id") < n * (f + 1) // 4).withColumns({"fold": F.lit(f), "role": F.when(F.col("row_id") < n * f // 4, "train").otherwise("test")}) for f in (1, 2, 3)]
+    return x, parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("fold_picks", f"""WITH {LI_BARS_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY datetime, symbol) - 1 AS row_id, count(*) OVER () AS size FROM b),
+f AS (SELECT fold, (high > 2 * open)::INTEGER AS y, unnest(['body', 'range', 'volume']) AS name, unnest([(close - open) / open, (high - low) / close, volume]) AS x FROM n, (VALUES (1), (2), (3)) v(fold) WHERE row_id < size * fold // 4),
+q AS (SELECT fold, name, quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM f GROUP BY ALL),
+c AS (SELECT fold, name, len(list_filter(e, lambda v: v < x)) AS bin, y, count(*) AS k FROM f JOIN q USING (fold, name) GROUP BY ALL),
+w AS (SELECT *, sum(k) OVER (PARTITION BY fold, name) AS t, sum(k) OVER (PARTITION BY fold, name, bin) AS r, sum(k) OVER (PARTITION BY fold, name, y) AS s FROM c),
+i AS (SELECT fold, name, sum(k / t * ln(k * t / (r * s))) AS information FROM w GROUP BY ALL)
+SELECT fold, name, rank, round(information, 6) AS information FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY information DESC, name)::INTEGER AS rank FROM i) WHERE rank <= 2""")
+def fold_picks(spark, d):
+    x, folds = _quarters(spark, d)
+    return rounded(runner.picked(runner.fold_information(x, folds, _CV, "y"), 2))
+
+
+@query("cross_validation")
+def cross_validation(spark, d):
+    x, folds = _quarters(spark, d)
+    return rounded(runner.tuning_score(runner.cross_validated(x, folds, _CV, "y", 2, classes=2)))
