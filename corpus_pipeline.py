@@ -3,6 +3,9 @@
 STAGES are applied in order, each to the Parquet table that its predecessor left;
 all but the last return the columns of documents.  ORACLE_SQL is None: the
 quality model, the seeded order of the mix and the tokenizer have no SQL.
+
+Defined cases of all stages: columns beyond those of documents are left out, whatever their names; an empty
+table leaves an empty one; a null id or source is kept as it is; a text is worked on as a whole, however long.
 """
 
 from __future__ import annotations
@@ -17,13 +20,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the positive-unlabelled classifier rejects go."""
+    """Documents that the positive-unlabelled classifier rejects go.
+
+    A null text is scored as an empty one; equal texts have equal scores, so repeated rows stay or go together.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.classify(docs.select(*COLUMNS), labels).where("predicted = 1").select(*COLUMNS)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked rows one stays, a row of its smallest id; so do all rows without shingles."""
+    """Of each component of linked rows one stays, a row of its smallest id; so do all rows without shingles.
+
+    Null and empty texts have no shingles and stay, each row; a row without an id stays only where its component has no id at all;
+    of repeated rows the one with the least text, language, source and length stays.
+    """
     docs = docs.select(*COLUMNS)
     found = jaccard.components_of(docs.select("doc_id", "text")).where("n_shingles > 0")
     # A row is known by its id and text: rows of one id, or of none, that do not link all stay.
@@ -38,7 +48,10 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; what the scan found in it is struck out."""
+    """Every document stays; what the scan found in it is struck out.
+
+    A null text stays null; rows in which nothing was found are unchanged, n_chars included; repeated rows are changed alike.
+    """
     docs = docs.select(*COLUMNS)
     found = secrets.scan(docs).where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
     blob = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
@@ -48,7 +61,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes a document, with the words that it takes; documents that it leaves out go."""
+    """A row for each time that the mix takes a document, with the words that it takes; documents that it leaves out go.
+
+    Null and empty texts have no words and are never taken; repeated rows are documents of their own, and their takes are dealt
+    out to them; a source may be null.
+    """
     docs = docs.select(*COLUMNS).withColumn("_text", F.xxhash64("text"))
     mixed = mixing.mix(docs, extra=["_text", "source"])
     takes = F.when(F.col("taken") > 0, F.filter(F.array("first_pass", "second_pass"), lambda n: n > 0))
@@ -68,7 +85,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of documents in sequences of 2,048 tokens."""
+    """The pieces of documents in sequences of 2,048 tokens.
+
+    A null or empty text is its end id alone; repeated rows are packed each; a long text leaves as many full sequences as it fills.
+    """
     return packing.pack(docs)
 
 
