@@ -2,7 +2,7 @@
 
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -348,6 +348,10 @@ def test_pipeline_equals_its_parts(spark, sf, table):
     assert packed.length.sum() == sum(len(t.encode(r["text"], add_special_tokens=False).ids) + 1 for r in mixed.collect())
 
 
+def mixing_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
 def test_pipeline_stages_take_odd_rows(spark, odd, none, tmp_path):
     import corpus_pipeline as c
 
@@ -355,7 +359,25 @@ def test_pipeline_stages_take_odd_rows(spark, odd, none, tmp_path):
     for name, stage in c.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
         out = stage(spark, odd, str(tmp_path))
-        assert (out.columns == c.COLUMNS or name == "pack") and out.count() >= 0
+        assert out.columns == c.COLUMNS or name == "pack"
+        rows = out.collect()
+        before = Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in odd.collect())
+        if name in ("quality", "near-duplicates"):  # rows as they were, each at most as often
+            assert rows and not Counter(map(tuple, rows)) - before
+        elif name == "mix":  # beginnings of texts with words, two of each at most
+            texts = Counter((r.doc_id, r.source) for r in odd.collect() for _ in range(2) if mixing_words(r.text))
+            assert rows and not Counter((r.doc_id, r.source) for r in rows) - texts
+            whole = {}
+            for r in odd.collect():
+                whole.setdefault(r.doc_id, []).append(r.text or "")
+            assert all(any(t.startswith(r.text) for t in whole[r.doc_id]) for r in rows)
+        elif name == "pack":  # every token of every row in one piece, without gaps in a sequence
+            assert sum(r.length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0) and sum(r.start == 0 for r in rows) == odd.count()
+            ends = {}
+            for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+                assert r.offset == ends.get(r.sequence_id, 0)
+                ends[r.sequence_id] = r.offset + r.length
+            assert max(ends.values()) <= packing.CAPACITY
     one = c.keep_one_of_each_group(spark, odd, str(tmp_path)).toPandas()
     assert (one.doc_id == 4).sum() == 1 and not (one.doc_id == 5).any() and {1, 2, 3} <= set(one.doc_id.dropna())
     assert len(c.redact_secrets(spark, odd, str(tmp_path)).toPandas()) == odd.count()
