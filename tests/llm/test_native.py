@@ -246,3 +246,15 @@ def test_fingerprints_of_extreme_ids(spark):
         order = sorted(zip(some, texts, strict=True), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
         want = [(a + "")[: len(a) - len(a) // 2] + b[: len(a) // 2] for (_, a), (_, b) in zip(order, order[1:] + order[:1], strict=True)]
         assert sorted(r.edited_sha256 for r in out) == sorted(hashlib.sha256(w.encode()).hexdigest() for w in want)
+
+
+def test_fingerprints_are_not_carried_as_text(spark, sf, monkeypatch):
+    made = {}
+    real = common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name, *a, **b: made.setdefault(name, real(df, name, *a, **b)))
+    n = fingerprints.op2_iblt_fingerprints(spark, sf).count()
+    held = made["fingerprints"]
+    keys = held.agg(F.sum(F.size("keys") + F.coalesce(F.size("e_keys"), F.lit(0)))).first()[0]
+    wide = sum(F.octet_length(c) for c, kind in held.dtypes if kind in ("string", "binary"))
+    assert held.agg(F.max(wide)).first()[0] <= 32 and all("struct" not in kind for _, kind in held.dtypes)
+    assert n == held.where("not halo").count() and keys > 0

@@ -228,36 +228,41 @@ def compared(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(c("next.text"), F.lit(1), half))
     d = with_next(docs).select("bucket", "halo", "place", "doc_id", n.cast("long").alias("n_chars"), "keys", "cells", "next", F.when(~c("halo"), edited).alias("edited"))
     d = d.withColumn("e_keys", digests(c("edited")))
-    d = d.withColumn("e_cells", sketch(c("e_keys")))
+    # Fingerprints are made again from the keys at the end: as text, or as cells, they are several times larger.
     d = d.select(
-        "bucket", "halo", "place", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "keys", "e_keys", F.col("next.size").alias("n_size"),
-        shown(c("cells")).alias("fingerprint"), shown(c("e_cells")).alias("edited_fingerprint"),
-        F.size(peel(subtract(c("cells"), c("e_cells")))).alias("e_apart"), F.size(peel(subtract(c("cells"), c("next.cells")))).alias("n_apart"),
+        "bucket", "halo", "place", "doc_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("edited_hash"), "keys", "e_keys", F.col("next.size").alias("n_size"),
+        F.size(peel(subtract(c("cells"), sketch(c("e_keys"))))).alias("e_apart"), F.size(peel(subtract(c("cells"), c("next.cells")))).alias("n_apart"),
     )
     d = common.stored(d, "fingerprints")
     # What the fingerprints alone do not tell: pairs (keys, edited keys) as 2 * place, (keys, next keys) as 2 * place + 1.
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-d.count() // (2 * BUCKET_ROWS)))
     order = W.partitionBy("bucket").orderBy("place")
-    held = d.select("bucket", "halo", "place", "keys", "e_keys", "e_apart", "n_apart").repartition(parts, "bucket")
-    held = held.withColumn("n_keys", F.lead("keys").over(order)).where("not halo")
     pair = lambda odd, b, known: F.when(c(known).isNull(), F.struct((c("place") * 2 + odd).cast("bigint").alias("who"), c("keys").alias("a"), c(b).alias("b")))
-    pairs = held.select("bucket", F.explode(F.array(pair(0, "e_keys", "e_apart"), pair(1, "n_keys", "n_apart"))).alias("p")).where("p is not null").select("bucket", "p.*")
-    got = common.stored(recovered(pairs, "bucket"), "recovered")
+
+    def paired(rows: DataFrame) -> DataFrame:
+        held = rows.select("bucket", "halo", "place", "keys", "e_keys", "e_apart", "n_apart").repartition(parts, "bucket")
+        held = held.withColumn("n_keys", F.lead("keys").over(order)).where("not halo")
+        return held.select("bucket", F.explode(F.array(pair(0, "e_keys", "e_apart"), pair(1, "n_keys", "n_apart"))).alias("p")).where("p is not null").select("bucket", "p.*")
+
+    got = common.stored(recovered(paired(d), "bucket"), "recovered")
     for salt in range(1, TRIES + 1):
         failed = got.where("apart is null").select("bucket", "who")
         if failed.isEmpty():
             break
         if salt == TRIES:
             raise RuntimeError(f"{failed.count()} differences do not peel in sketches of {SPARSE << (TRIES - 1)} cells a digest")
-        again = pairs.join(failed, ["bucket", "who"], "left_semi").repartition("bucket")
+        # Few pairs fail: only their buckets are shuffled again.
+        of = d.join(common.small(failed.select("bucket").distinct()), "bucket", "left_semi")
+        again = paired(of).join(common.small(failed), ["bucket", "who"], "left_semi").repartition("bucket")
         got = common.stored(got.where("apart is not null").unionByName(recovered(again, "bucket", salt)), "recovered")
     wide = got.groupBy("bucket", F.shiftright("who", 1).cast("int").alias("place")).agg(F.max(F.when(c("who") % 2 == 0, c("apart"))).alias("e"), F.max(F.when(c("who") % 2 == 1, c("apart"))).alias("x"))
     # A pair that differs in nothing has no rows left; it counts as 0 apart.
     out = d.where("not halo").join(wide.hint("shuffle_hash"), ["bucket", "place"], "left")
     near = lambda size, known, found: likeness(F.size("keys") + size, F.coalesce(c(known).cast("bigint"), c(found), F.lit(0)))
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        "doc_id", "n_chars", F.lower(F.hex("edited_hash")).alias("edited_sha256"),
+        shown(sketch(c("keys"))).alias("fingerprint"), shown(sketch(c("e_keys"))).alias("edited_fingerprint"),
         near(F.size("e_keys"), "e_apart", "e").alias("near_edited"), near(c("n_size"), "n_apart", "x").alias("near_next"),
     )
 
