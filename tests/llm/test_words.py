@@ -61,6 +61,20 @@ def test_collocations_shuffle_where_names_are_many(spark, table, monkeypatch):
     assert got == plain_collocations(zip(docs.lang, docs.text, strict=True), 8)
 
 
+def test_small_splits_share_chunks(spark, table):
+    docs = table("documents")
+    df = spark.createDataFrame([(x, t) for x, t in zip(docs.lang, docs.text, strict=True)], "lang string, text string").repartition(24)
+    words = collocations.chunked(df).where("lid > 0")
+    langs = words.select("lang").distinct().count()
+    assert words.select("chunk").distinct().count() <= langs * spark.sparkContext.defaultParallelism
+    assert words.agg(F.sum("n")).first()[0] == sum(n for *_, n in plain_counts(docs))
+
+
+def plain_counts(docs):
+    c = Counter((x or "und", w) for x, t in zip(docs.lang, docs.text, strict=True) for w in re.findall(r"[^ \t.,;:!?\n\x0b\x0c\r]+", t or ""))
+    return [(*k, n) for k, n in c.items()]
+
+
 def distance_one(a, b):
     if len(a) > len(b):
         a, b = b, a

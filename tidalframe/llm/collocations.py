@@ -67,8 +67,14 @@ def _ranked(counts: np.ndarray) -> np.ndarray:
 
 def _numbered(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """The texts as one array of word numbers (0 ends a piece), the different words by number - 1, and their counts."""
-    joined = b"\n".join(texts).translate(_TABLE).replace(b"\n", b" \n ")
-    parts = pc.split_pattern(pa.array([joined], pa.large_binary()), b" ").flatten().dictionary_encode()
+    joined = b"\n".join(texts)
+    texts.clear()
+    joined = joined.translate(_TABLE).replace(b"\n", b" \n ")
+    whole = pa.array([joined], pa.large_binary())
+    del joined
+    parts = pc.split_pattern(whole, b" ").flatten()
+    del whole
+    parts = parts.dictionary_encode()
     code, known = parts.indices.to_numpy(zero_copy_only=False), parts.dictionary
     special = np.array([known.index(pa.scalar(x, known.type)).as_py() for x in (b"", b"\n")])
     code = code[code != special[0]]
@@ -102,6 +108,12 @@ _WORDS = pa.schema([("chunk", pa.int64()), ("lid", pa.int32()), ("lang", pa.stri
 _PAIRS = pa.schema([("chunk", pa.int64()), ("lid", pa.int32()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
 
 
+def _gathered(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """docs in tasks of about two chunks of text, or one a core: in tasks of small files or splits, chunks would be small and repeat the same words and pairs."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // (2 * chunk_bytes))))
+
+
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """WORDS: for each chunk its array and its different words with their counts."""
 
@@ -128,21 +140,25 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
                     yield from flush(max(size, key=size.get))
         for lang in list(held):
             yield from flush(lang)
+        pa.default_memory_pool().release_unused()  # workers stay for later tasks
 
     some = docs.where(F.length("text") > 0)
-    return some.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, WORDS)
+    return _gathered(some.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"), chunk_bytes).mapInArrow(run, WORDS)
 
 
 def _paired(tokens: np.ndarray, lids: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
     """(array of pair numbers; numbers, left ids, right ids and counts of the pairs) where frequent phrases meet; lids of the chunk are known by ids elsewhere."""
     order = np.argsort(ids)  # rows in the order of ids are close together in a shuffle
     lids, ids = lids[order], ids[order]
-    place = np.zeros(max(int(tokens.max()), int(lids.max())) + 1, dtype=np.int64)
+    place = np.zeros(max(int(tokens.max()), int(lids.max())) + 1, dtype=np.int32)
     place[lids] = np.arange(1, len(lids) + 1)
     x = place[tokens]
     meet = (x[:-1] > 0) & (x[1:] > 0)
     base = len(lids) + 1
-    pair, at, n = np.unique(x[:-1][meet] * base + x[1:][meet], return_inverse=True, return_counts=True)
+    both = x[:-1][meet].astype(np.int64) * base + x[1:][meet]
+    del x
+    pair, at, n = np.unique(both, return_inverse=True, return_counts=True)
+    del both
     rank = _ranked(n)
     out = np.zeros(len(meet), dtype=np.int32)
     out[meet] = rank[at]
