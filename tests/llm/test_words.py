@@ -1,9 +1,13 @@
 """Collocations and spelling variants: against plain counting and plain edit distance, and odd rows."""
 
+import glob
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -70,6 +74,47 @@ def test_small_splits_share_chunks(spark, table):
     assert words.agg(F.sum("n")).first()[0] == sum(n for *_, n in plain_counts(docs))
 
 
+def most_held(f):
+    """Bytes that f holds at most, of NumPy and of Arrow, and its result."""
+    pool = pa.default_memory_pool()
+    own = pa.proxy_memory_pool(pool)
+    pa.set_memory_pool(own)
+    tracemalloc.start()
+    try:
+        got = f()
+        return tracemalloc.get_traced_memory()[1], own.max_memory(), got
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(pool)
+
+
+def test_pairs_of_a_chunk_need_little_memory():
+    r = np.random.default_rng(0)
+    tokens = np.minimum(r.zipf(1.3, 4_000_000), 30_000).astype("<i4")
+    tokens[::9] = 0
+    lids = np.arange(1, 20_001)
+    ids = r.permutation(50_000)[: len(lids)].astype(np.int64)
+    held, _, (out, rank, left, right, n) = most_held(lambda: collocations._paired(tokens, lids, ids))
+    assert held < 32 * len(tokens)
+    known = np.concatenate([[-1], ids, np.full(10_000, -1)])[tokens]
+    both = Counter(zip(known[:-1].tolist(), known[1:].tolist(), strict=True))
+    want = {p: c for p, c in both.items() if min(p) >= 0}
+    assert dict(zip(zip(left.tolist(), right.tolist(), strict=True), n.tolist(), strict=True)) == want
+    assert np.array_equal(np.bincount(out)[1:], n[np.argsort(rank)])
+
+
+def test_levels_are_deleted_once_the_next_is_stored(spark, table):
+    docs = table("documents").head(100)
+    df = spark.createDataFrame([(x, t) for x, t in zip(docs.lang, docs.text, strict=True)], "lang string, text string")
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{root}/words-*") + glob.glob(f"{root}/pairs-*"))
+    want = plain_collocations(zip(docs.lang, docs.text, strict=True), 8)
+    got = collocations.collocations(df, least=8)
+    new = set(glob.glob(f"{root}/words-*") + glob.glob(f"{root}/pairs-*")) - before
+    assert len(new) == 5 and all(spark.read.parquet(p).isEmpty() for p in new)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, got.collect())) == want
+
+
 def plain_counts(docs):
     c = Counter((x or "und", w) for x, t in zip(docs.lang, docs.text, strict=True) for w in re.findall(r"[^ \t.,;:!?\n\x0b\x0c\r]+", t or ""))
     return [(*k, n) for k, n in c.items()]

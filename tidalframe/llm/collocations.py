@@ -56,6 +56,8 @@ PAIRS = "chunk long, lid int, left long, right long, n long, tokens binary"
 
 #: Arrays are stored and shuffled packed; n of their row is their length in bytes.
 PACKED = "zstd"
+#: Texts (bytes) and arrays (numbers) of a chunk are worked on in stretches, so that a task holds little beside them.
+STRETCH = 1 << 19
 
 
 def _ranked(counts: np.ndarray) -> np.ndarray:
@@ -65,20 +67,35 @@ def _ranked(counts: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _numbered(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """The texts as one array of word numbers (0 ends a piece), the different words by number - 1, and their counts."""
-    joined = b"\n".join(texts)
-    texts.clear()
-    joined = joined.translate(_TABLE).replace(b"\n", b" \n ")
-    whole = pa.array([joined], pa.large_binary())
-    del joined
-    parts = pc.split_pattern(whole, b" ").flatten()
-    del whole
-    parts = parts.dictionary_encode()
-    code, known = parts.indices.to_numpy(zero_copy_only=False), parts.dictionary
+def _counts(code: np.ndarray, size: int) -> np.ndarray:
+    """How often each number below size is in code."""
+    out = np.zeros(size, dtype=np.int64)
+    for lo in range(0, len(code), STRETCH):
+        out += np.bincount(code[lo : lo + STRETCH], minlength=size)
+    return out
+
+
+def _encoded(text: bytearray) -> Iterator[pa.Array]:
+    """The parts of text between blanks as numbers of a dictionary, a stretch at a time."""
+    lo = 0
+    while lo < len(text):
+        hi = text.find(b" ", lo + STRETCH)
+        hi = len(text) if hi < 0 else hi
+        part = pa.array([bytes(memoryview(text)[lo:hi])], pa.large_binary())
+        yield pc.split_pattern(part, b" ").flatten().dictionary_encode()
+        lo = hi + 1
+
+
+def _numbered(text: bytearray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """A text of _plain as an array of word numbers (0 ends a piece), the different words by number - 1, and their counts; text is emptied."""
+    parts = pa.chunked_array(list(_encoded(text))).unify_dictionaries()
+    text.clear()
+    known = parts.chunk(0).dictionary
     special = np.array([known.index(pa.scalar(x, known.type)).as_py() for x in (b"", b"\n")])
-    code = code[code != special[0]]
-    count = np.bincount(code, minlength=len(known))
+    code = [c.indices.to_numpy(zero_copy_only=False) for c in parts.chunks]
+    del parts
+    code = np.concatenate([c[c != special[0]] for c in code])
+    count = _counts(code, len(known))
     words = np.setdiff1d(np.arange(len(known)), special)
     number = np.zeros(len(known), dtype=np.int32)
     number[words] = _ranked(count[words])
@@ -86,22 +103,28 @@ def _numbered(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return _closed(number[code]), known.take(pa.array(order)).cast(pa.binary()), count[order]
 
 
+def _plain(text: bytes) -> bytes:
+    """text in lower case, a newline between blanks for every end of a piece."""
+    return text.translate(_TABLE).replace(b"\n", b" \n ") + b" \n "
+
+
 def _closed(a: np.ndarray) -> np.ndarray:
     """a with one zero for each run of zeros."""
     return a[(a > 0) | np.concatenate([[True], a[:-1] > 0])] if len(a) else a
 
 
-def _rows(chunk: int, tokens: np.ndarray | None, columns: dict[str, pa.Array], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """A row for each different word or pair (lid from 1), then the array with lid -1."""
-    n = len(columns["n"])
-    whole = {"chunk": pa.array(np.full(n, chunk)), **columns, "tokens": pa.nulls(n, pa.binary())}
-    batch = pa.RecordBatch.from_arrays([whole[f.name].cast(f.type) for f in schema], schema=schema)
-    for lo in range(0, n, 65_536):
-        yield batch.slice(lo, 65_536)
+def _rows(chunk: int, tokens: np.ndarray | None, columns: dict[str, pa.Array | str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The array with lid -1, then a row for each different word or pair (lid from 1)."""
     if tokens is not None and len(tokens):
-        raw = tokens.astype("<i4").tobytes()
-        one = {"chunk": chunk, "lid": -1, "n": len(raw), "tokens": pa.compress(raw, codec=PACKED, asbytes=True)}
-        yield pa.RecordBatch.from_arrays([pa.array([one.get(f.name)], f.type) for f in schema], schema=schema)
+        raw = pa.py_buffer(tokens.astype("<i4", copy=False))
+        one = {"chunk": chunk, "lid": -1, "n": raw.size, "tokens": pa.compress(raw, codec=PACKED, asbytes=True)}
+        del raw, tokens
+        yield pa.RecordBatch.from_arrays([pa.array([one.pop(f.name, None)], f.type) for f in schema], schema=schema)
+    for lo in range(0, len(columns["n"]), 65_536):
+        part = {k: v if isinstance(v, str) else v[lo : lo + 65_536] for k, v in columns.items()}
+        n = len(part["n"])
+        part |= {"chunk": pa.repeat(chunk, n), "tokens": pa.nulls(n, pa.binary())}
+        yield pa.RecordBatch.from_arrays([(pa.repeat(v, n) if isinstance(v := part[f.name], str) else v).cast(f.type) for f in schema], schema=schema)
 
 
 _WORDS = pa.schema([("chunk", pa.int64()), ("lid", pa.int32()), ("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary())])
@@ -119,7 +142,7 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 32
-        held: dict[str, list[bytes]] = {}
+        held: dict[str, bytearray] = {}
         size: dict[str, int] = {}
 
         def flush(lang: str) -> Iterator[pa.RecordBatch]:
@@ -127,12 +150,15 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
             at += 1
             tokens, words, n = _numbered(held.pop(lang))
             size.pop(lang)
-            yield from _rows(at, tokens, {"lid": pa.array(np.arange(1, len(n) + 1)), "lang": pa.array([lang] * len(n), pa.string()), "word": words, "n": pa.array(n)}, _WORDS)
+            columns = {"lid": pa.array(np.arange(1, len(n) + 1)), "lang": lang, "word": words, "n": pa.array(n)}
+            rows = _rows(at, tokens, columns, _WORDS)
+            del tokens
+            yield from rows
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()), strict=True):
                 raw = text.as_py()
-                held.setdefault(lang, []).append(raw)
+                held.setdefault(lang, bytearray()).extend(_plain(raw))
                 size[lang] = size.get(lang, 0) + len(raw)
                 if size[lang] >= chunk_bytes:
                     yield from flush(lang)
@@ -146,23 +172,44 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     return _gathered(some.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"), chunk_bytes).mapInArrow(run, WORDS)
 
 
-def _paired(tokens: np.ndarray, lids: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(array of pair numbers; numbers, left ids, right ids and counts of the pairs) where frequent phrases meet; lids of the chunk are known by ids elsewhere."""
+def _parts(values: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of values in parts of about a stretch; values of a later part are larger."""
+    some = np.sort(values[:: max(1, STRETCH // 1024)])
+    bounds = np.unique(some[1024::1024])
+    for lo, hi in zip([None, *bounds], [*bounds, None], strict=True):
+        yield np.flatnonzero((True if lo is None else values >= lo) & (np.ones(len(values), bool) if hi is None else values < hi))
+
+
+def _paired(tokens: np.ndarray, lids: np.ndarray, ids: np.ndarray, last: bool = False) -> tuple[np.ndarray | None, ...]:
+    """(array of pair numbers unless it is the last level; numbers, left ids, right ids and counts of the pairs) where frequent phrases meet; lids of the chunk are known by ids elsewhere."""
     order = np.argsort(ids)  # rows in the order of ids are close together in a shuffle
     lids, ids = lids[order], ids[order]
     place = np.zeros(max(int(tokens.max()), int(lids.max())) + 1, dtype=np.int32)
     place[lids] = np.arange(1, len(lids) + 1)
     x = place[tokens]
+    del tokens
     meet = (x[:-1] > 0) & (x[1:] > 0)
     base = len(lids) + 1
-    both = x[:-1][meet].astype(np.int64) * base + x[1:][meet]
+    both = x[:-1][meet].astype(np.int64)
+    both *= base
+    both += x[1:][meet]
     del x
-    pair, at, n = np.unique(both, return_inverse=True, return_counts=True)
+    at, pair, n, size = np.zeros(0 if last else len(both), dtype=np.int32), [], [], 0
+    for where in _parts(both):
+        some, code, count = np.unique(both[where], return_inverse=True, return_counts=True)
+        if not last:
+            at[where] = code + size
+        pair, n, size = [*pair, some], [*n, count], size + len(some)
     del both
+    pair, n = np.concatenate(pair), np.concatenate(n)
     rank = _ranked(n)
-    out = np.zeros(len(meet), dtype=np.int32)
-    out[meet] = rank[at]
-    return _closed(out), rank, ids[pair // base - 1], ids[pair % base - 1], n
+    out = None
+    if not last:
+        out = np.zeros(len(meet), dtype=np.int32)
+        out[meet] = rank[at]
+        del at
+        out = _closed(out)
+    return out, rank, ids[pair // base - 1], ids[pair % base - 1], n
 
 
 def paired(arrays: DataFrame, last: bool) -> DataFrame:
@@ -172,10 +219,13 @@ def paired(arrays: DataFrame, last: bool) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 chunk, n = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                tokens = np.frombuffer(pa.decompress(b.column(2)[i].as_buffer(), n, codec=PACKED), dtype="<i4")
                 held = b.column(3)[i].values
-                got = _paired(tokens, held.field(0).to_numpy(), held.field(1).to_numpy())
-                yield from _rows(chunk, None if last else got[0], dict(zip(("lid", "left", "right", "n"), map(pa.array, got[1:]), strict=True)), _PAIRS)
+                # nothing here names the arrays, so that each goes as soon as it is used
+                tokens, *columns = _paired(np.frombuffer(pa.decompress(b.column(2)[i].as_buffer(), n, codec=PACKED), dtype="<i4"), held.field(0).to_numpy(), held.field(1).to_numpy(), last)
+                rows = _rows(chunk, tokens, dict(zip(("lid", "left", "right", "n"), map(pa.array, columns), strict=True)), _PAIRS)
+                del tokens, columns
+                yield from rows
+        pa.default_memory_pool().release_unused()  # workers stay for later tasks
 
     return arrays.mapInArrow(run, PAIRS)
 
@@ -189,28 +239,51 @@ def _held(rows: DataFrame, names: DataFrame, on: list[str]) -> DataFrame:
     return hits.groupBy("chunk").agg(F.collect_list(F.struct("lid", "id")).alias("held"))
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _stored(df: DataFrame, name: str, narrow: bool = False, path: str | None = None) -> DataFrame:
+    """common.stored; its shuffle files go as soon as it is written, not when the driver next collects its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return common.stored(df, name, narrow, path)
+    finally:
+        if before is None:
+            conf.unset(_CLEANUP)
+        else:
+            conf.set(_CLEANUP, before)
+
+
 def names(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, list[DataFrame]]:
     """n of each language, and for each level the stored names.
 
     A name has id, lang, phrase, last (its last word), f, heads and tails (counts of its leading and
     trailing parts by length), and from the second level on left and right, the ids of its parents a level below.
+    A level's rows are deleted once those of the next are stored.
     """
-    rows = common.stored(chunked(docs, chunk_bytes), "words")
-    n = rows.where("lid > 0").groupBy("lang").agg(F.sum("n").alias("n"))
+    at = common.scratch(docs.sparkSession, "words")
+    rows = _stored(chunked(docs, chunk_bytes), "words", path=at)
+    n = _stored(rows.where("lid > 0").groupBy("lang").agg(F.sum("n").alias("n")), "counts", narrow=True)
     none = F.array().cast("array<bigint>")
     first = rows.where("lid > 0").groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     first = first.select(F.monotonically_increasing_id().alias("id"), "lang", "word", F.col("word").cast("string").alias("phrase"), F.col("word").cast("string").alias("last"), "f", none.alias("heads"), none.alias("tails"))
-    levels, on = [common.stored(first, "names", narrow=True)], ["lang", "word"]
+    levels, on = [_stored(first, "names", narrow=True)], ["lang", "word"]
     while len(levels) < longest:
         below = levels[-1]
         arrays = rows.where("lid = -1").select("chunk", "n", "tokens").join(_held(rows, below, on).hint("shuffle_hash"), "chunk")
-        rows, on = common.stored(paired(arrays, len(levels) + 1 == longest), "pairs"), ["left", "right"]
+        then = common.scratch(docs.sparkSession, "pairs")
+        pairs = _stored(paired(arrays, len(levels) + 1 == longest), "pairs", path=then)
+        common.emptied(rows, at)
+        rows, at, on = pairs, then, ["left", "right"]
         found = rows.where("lid > 0").groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         a = below.select(F.col("id").alias("left"), "lang", "phrase", F.concat("heads", F.array("f")).alias("heads"))
         b = below.select(F.col("id").alias("right"), "last", F.concat("tails", F.array("f")).alias("tails"))
         named = found.join(a, "left").join(b, "right")
         named = named.select("left", "right", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f", "heads", "tails")
-        levels.append(common.stored(named.withColumn("id", F.monotonically_increasing_id()), "names", narrow=True))
+        levels.append(_stored(named.withColumn("id", F.monotonically_increasing_id()), "names", narrow=True))
+    common.emptied(rows, at)
     return n, levels
 
 

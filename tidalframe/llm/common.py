@@ -21,19 +21,25 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, narrow: bool = False, path: str | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again: its lineage ends there, and a lost executor costs nothing.
 
     narrow: few short rows for the work that makes them; they go to an eighth as many files as a shuffle has partitions.
+    path: a folder of scratch(), for a caller that empties it later.
     """
     spark = df.sparkSession
-    path = scratch(spark, name)
+    path = path or scratch(spark, name)
     if narrow:
         df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def emptied(df: DataFrame, path: str) -> None:
+    """The files of df, stored at path, are deleted; an empty table takes their place."""
+    df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is counted to have at most that many rows; else as it is, for a shuffled join. Give a stored table."""
     return F.broadcast(df) if df.count() <= rows else df
