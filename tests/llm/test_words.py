@@ -107,14 +107,30 @@ def test_levels_are_deleted_once_the_next_is_stored(spark, table):
     docs = table("documents").head(100)
     df = spark.createDataFrame([(x, t) for x, t in zip(docs.lang, docs.text, strict=True)], "lang string, text string")
     root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
-    before = set(glob.glob(f"{root}/words-*") + glob.glob(f"{root}/pairs-*"))
+    kept = lambda: {p for kind in ("words", "pairs", "hits") for p in glob.glob(f"{root}/{kind}-*")}
+    before = kept()
     want = plain_collocations(zip(docs.lang, docs.text, strict=True), 8)
     got = collocations.collocations(df, least=8)
-    new = set(glob.glob(f"{root}/words-*") + glob.glob(f"{root}/pairs-*")) - before
-    assert len(new) == 5 and all(spark.read.parquet(p).isEmpty() for p in new)
+    new = kept() - before
+    assert len(new) == 10 and all(spark.read.parquet(p).isEmpty() for p in new)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, got.collect())) == want
 
 
+def test_frequent_words_are_named_once_and_found_in_each_chunk(spark, table):
+    docs = table("documents").head(100)
+    df = spark.createDataFrame([(x, t) for x, t in zip(docs.lang, docs.text, strict=True)], "lang string, text string")
+    rows = common.stored(collocations.chunked(df, 20_000), "words")
+    want = Counter()
+    for lang, word, n in plain_counts(docs):
+        want[lang, re.sub("[A-Z]", lambda m: m[0].lower(), word).encode()] += n
+    want = {k: n for k, n in want.items() if n >= 8}
+    chunks = {(r.lang, bytes(r.word), r.chunk, r.lid) for r in rows.where("lid > 0").collect()}
+    got = collocations._hits(rows, ["lang", "word"], 8).collect()
+    assert {(r.lang, bytes(r.word), r.chunk, r.lid) for r in got} == {c for c in chunks if c[:2] in want} and len(got) > len(want) > 20
+    assert {(r.lang, bytes(r.word)): r.f for r in got} == want
+    assert len({r.id for r in got}) == len({(r.lang, bytes(r.word), r.id) for r in got}) == len(want) == sum(r.first for r in got)
+
+
 def plain_counts(docs):
     c = Counter((x or "und", w) for x, t in zip(docs.lang, docs.text, strict=True) for w in re.findall(r"[^ \t.,;:!?\n\x0b\x0c\r]+", t or ""))
     return [(*k, n) for k, n in c.items()]

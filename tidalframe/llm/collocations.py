@@ -2,8 +2,8 @@
 
 Words that are frequent in their language get numbers.  A frequent phrase of k words is named
 by the pair of its two phrases of k - 1 words (all but the last word, all but the first), so a level replaces
-adjacent numbers by the number of their pair: pairs are counted over all texts, the frequent
-ones are numbered, and the numbers are joined back to the chunks of text that hold them.  The two members of a
+adjacent numbers by the number of their pair: pairs are counted over all texts, and the frequent
+ones are numbered in every chunk of text that holds them.  The two members of a
 pair are its parent pointers.  Each name inherits the counts of its leading parts from one parent and those
 of its trailing parts from the other, which is all that its cuts need; and a phrase is
 subsumed by a longer one exactly if it is a parent of a name of the same count
@@ -12,7 +12,7 @@ subsumed by a longer one exactly if it is a parent of a name of the same count
 A chunk is some 32 MB of texts of one language, held as an array of numbers of its own; only
 its different words and pairs, each with its count in the chunk, are shuffled, so the commonest word has a row a chunk.
 Each level's arrays hold the places where two frequent phrases meet, with one zero for every gap.
-Tables of names are joined by broadcast only if they are counted to be small, else by a shuffle.
+Names are joined to the pairs made of them by broadcast only if they are counted to be small, else by a shuffle.
 
 Defined cases: a null text is empty, a null language is `und`, a language may have any name; a word is any run without space
 and tab inside a piece, its case changed for A-Z alone; repeated rows count again; ties of the
@@ -22,7 +22,7 @@ empty result; ids are not used, and extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ LEAST = 100
 LONGEST = 5
 TOP = 2000
 CHUNK_BYTES = 32 << 20
-#: Names (numbers, and words of so many bytes at the first level) that may be broadcast; larger tables are joined by a shuffle.
+#: Names (numbers and bytes) of a level that may be broadcast to the pairs made of them; larger tables are joined by a shuffle.
 NAMES, NAME_BYTES = 250_000, 8 << 20
 #: The best of a language are first sought in so many shares of its phrases.
 SHARES = 32
@@ -230,13 +230,21 @@ def paired(arrays: DataFrame, last: bool) -> DataFrame:
     return arrays.mapInArrow(run, PAIRS)
 
 
-def _held(rows: DataFrame, names: DataFrame, on: list[str]) -> DataFrame:
-    """chunk and held, the numbers there and here of its frequent words or pairs."""
-    size = F.sum(F.octet_length("phrase")) if on == ["lang", "word"] else F.lit(0)
-    n, size = names.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
-    names = names.select(*on, "id")
-    hits = rows.where("lid > 0").join(F.broadcast(names) if n <= NAMES and size <= NAME_BYTES else names, on)
-    return hits.groupBy("chunk").agg(F.collect_list(F.struct("lid", "id")).alias("held"))
+def _hits(rows: DataFrame, on: list[str], least: int) -> DataFrame:
+    """chunk, lid, on, f and id of the words or pairs of a chunk that are frequent over all; first marks one row of each.
+
+    One shuffle counts them, names them and finds their chunks; a word or pair has at most one row a chunk.
+    """
+    same = W.partitionBy(*on)
+    found = rows.where("lid > 0").select("chunk", "lid", *on, F.sum("n").over(same).alias("f")).where(F.col("f") >= least)
+    found = found.withColumn("_at", F.monotonically_increasing_id()).withColumn("id", F.min("_at").over(same))
+    return found.select("chunk", "lid", *on, "f", "id", (F.col("id") == F.col("_at")).alias("first"))
+
+
+def _few(names: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A broadcast hint if names are counted to be few and short, else nothing."""
+    n, size = names.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()
+    return F.broadcast if n <= NAMES and size <= NAME_BYTES else lambda df: df
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -267,22 +275,32 @@ def names(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, chunk_byt
     rows = _stored(chunked(docs, chunk_bytes), "words", path=at)
     n = _stored(rows.where("lid > 0").groupBy("lang").agg(F.sum("n").alias("n")), "counts", narrow=True)
     none = F.array().cast("array<bigint>")
-    first = rows.where("lid > 0").groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    first = first.select(F.monotonically_increasing_id().alias("id"), "lang", "word", F.col("word").cast("string").alias("phrase"), F.col("word").cast("string").alias("last"), "f", none.alias("heads"), none.alias("tails"))
-    levels, on = [_stored(first, "names", narrow=True)], ["lang", "word"]
-    while len(levels) < longest:
-        below = levels[-1]
-        arrays = rows.where("lid = -1").select("chunk", "n", "tokens").join(_held(rows, below, on).hint("shuffle_hash"), "chunk")
+    levels, on = [], ["lang", "word"]
+    while True:
+        found = common.scratch(docs.sparkSession, "hits")
+        hits = _stored(_hits(rows, on, least), "hits", path=found)
+        named = hits.where("first").select("id", *on, "f")
+        if not levels:
+            word = F.col("word").cast("string")
+            named = named.select("id", "lang", word.alias("phrase"), word.alias("last"), "f", none.alias("heads"), none.alias("tails"))
+        else:
+            below = levels[-1]
+            a = below.select(F.col("id").alias("left"), "lang", "phrase", F.concat("heads", F.array("f")).alias("heads"))
+            b = below.select(F.col("id").alias("right"), "last", F.concat("tails", F.array("f")).alias("tails"))
+            few = _few(below)
+            named = named.join(few(a), "left").join(few(b), "right")
+            named = named.select("id", "left", "right", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f", "heads", "tails")
+        levels.append(_stored(named, "names", narrow=True))
+        if len(levels) == longest:
+            break
+        held = hits.groupBy("chunk").agg(F.collect_list(F.struct("lid", "id")).alias("held"))
+        arrays = rows.where("lid = -1").select("chunk", "n", "tokens").join(held.hint("shuffle_hash"), "chunk")
         then = common.scratch(docs.sparkSession, "pairs")
         pairs = _stored(paired(arrays, len(levels) + 1 == longest), "pairs", path=then)
+        common.emptied(hits, found)
         common.emptied(rows, at)
         rows, at, on = pairs, then, ["left", "right"]
-        found = rows.where("lid > 0").groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        a = below.select(F.col("id").alias("left"), "lang", "phrase", F.concat("heads", F.array("f")).alias("heads"))
-        b = below.select(F.col("id").alias("right"), "last", F.concat("tails", F.array("f")).alias("tails"))
-        named = found.join(a, "left").join(b, "right")
-        named = named.select("left", "right", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f", "heads", "tails")
-        levels.append(_stored(named.withColumn("id", F.monotonically_increasing_id()), "names", narrow=True))
+    common.emptied(hits, found)
     common.emptied(rows, at)
     return n, levels
 
