@@ -1,6 +1,7 @@
 """Mean-shift streams: ADWIN against sums over the raw values, the t-test against tables, restarts, alerts with late rows."""
 
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -9,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tidalframe import plans
 from tidalframe.streaming import shifts
 
 
@@ -128,3 +130,16 @@ def test_alerts_gate_limit_and_windows(spark, tmp_path):
     got = {(r.start - pd.Timestamp("2024-01-01")).total_seconds(): (r.n_alerts, r.n_features, r.max_severity, [tuple(f) for f in r.features]) for r in spark.read.parquet(out).collect()}
     assert got[0.0] == (4, 3, "high", [("a", 2, 3.0), ("b", 1, 6.0), ("c", 1, 7.0)])
     assert got[300.0] == (2, 2, "critical", [("a", 1, 8.0), ("b", 1, 1.0)])
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_adwin_query_equals_the_plain_version(spark, sf, size):
+    d = os.path.join(os.path.dirname(sf), size)
+    rows = plans.QUERIES["adwin_shifts"](spark, d).collect()
+    values = {}
+    for name, _, x in sorted(r for r in spark.read.parquet(f"{d}/events.parquet").select("event_type", "ts", "value").collect() if r[2] is not None):
+        values.setdefault(name, []).append(x)
+    want = sorted((name, p[1], p[2]) for name, x in values.items() for p in plain_adwin(x, 0.3) if p[0] + 1 >= 30)
+    got = sorted((r.name, r.width, r.metric) for r in rows)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    np.testing.assert_allclose([g[2] for g in got], [w[2] for w in want])
