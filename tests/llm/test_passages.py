@@ -1,6 +1,8 @@
 """Repeated paragraphs against a brute-force search for repeated runs of words that ignores line breaks and paragraphs."""
 
+import json
 import random
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -129,3 +131,25 @@ def test_large_groups_of_an_anchor_link_alike(spark, monkeypatch):
             of[r["comp"]].add(r["id"])
         parts.append({frozenset(v) for v in of.values()})
     assert parts[0] == parts[1] and max(map(len, parts[0])) > 8
+
+
+def test_a_candidate_is_taken_from_one_text_only(spark, monkeypatch, tmp_path):
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    run, rows = fresh(400), []
+    for k in range(48):
+        body = list(run)
+        body[rng.randrange(400)] = "edited"
+        rows.append((k, " ".join(fresh(60) + body + fresh(60))))
+    docs, link, at = spark.createDataFrame(rows, "doc_id long, text string").repartition(6, "doc_id"), paragraphs._links, str(tmp_path)
+
+    def noted(batches):
+        held = list(batches)
+        with open(f"{at}/{uuid.uuid4().hex}", "w") as f:
+            json.dump([x for b in held for x in b.column(1).to_pylist()], f)
+        yield from link(iter(held))
+
+    monkeypatch.setattr(paragraphs, "_links", noted)
+    found = {r["id"] for r in paragraphs.clusters(docs).collect()}
+    sent = [x for f in tmp_path.iterdir() for x in json.loads(f.read_text())]
+    assert len(sent) == len(set(sent)) > 50 and len(found & set(sent)) > 50

@@ -7,7 +7,9 @@ holds an anchor whose paragraph reaches at most OUT words out of the run, so the
 of two documents that share the run have a Jaccard similarity of 0.75 or more.  Then
 
 1.  paragraphs of one anchor meet by the bands of their MinHash; bands() picks the number
-    of bands for the recall asked for at the threshold.  Those that meet no other go;
+    of bands for the recall asked for at the threshold.  Those that meet no other go.
+    The shingles of the rest are taken from one text each, which comes to its paragraphs
+    by a key noted at first: a task gets no table of all of them;
 2.  exact Jaccard similarity of their shingles decides, and components of links are
     clusters; equal paragraphs are one from the start.  Paragraphs of different anchors never
     meet, so an anchor's clusters are found where its candidates are gathered.  Those that
@@ -41,6 +43,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common, setjoin
+from .collocations import _stored
 from .jaccard import WORDS, _lists
 from .setjoin import DEN, NUM
 from .shingles import _R, _SPACE, _powers, distinct_sets, mix, shingle_hashes, signatures, text_chunks, word_hashes
@@ -60,7 +63,7 @@ SEED = 29
 HELD, TASK_ROWS, LINK_ROWS = 400_000, 1_000_000, 100_000
 #: Candidates of an anchor that are linked in one task.
 GROUP = 200_000
-#: Bits of the table of wanted paragraphs that every task gets (4 MB).
+#: Bits of the table of known paragraphs that every task gets (4 MB). The fuller it is, the more narrow rows are shuffled for the exact join after it, up to one a paragraph.
 FILTER_BITS = 1 << 25
 _PLACE = np.uint64((1 << 26) - 1)
 
@@ -150,10 +153,10 @@ class Paragraphs:
 
 
 def _first_pass(buckets: int, n_bands: int, per_band: int):
-    """Texts -> rows (bucket, a, id, band): what a task has for a bucket of anchors, as arrays. A paragraph comes once a task and flush; its id is odd if two texts have it."""
+    """Rows (text, doc) -> rows (bucket, a, id, band, doc): what a task has for a bucket of anchors, as arrays. A paragraph comes once a task and flush, of one of its texts; its id is odd if two texts have it."""
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        anchor, ids, keys, copies = (np.concatenate(x) for x in zip(*held, strict=True))
+        anchor, ids, keys, docs, copies = (np.concatenate(x) for x in zip(*held, strict=True))
         ids, at, inv = np.unique(ids, return_index=True, return_inverse=True)
         ids = ids | (np.bincount(inv, weights=copies) > 1).astype(np.uint64)
         bucket = (anchor[at] % np.uint64(buckets)).astype(np.int64)
@@ -163,19 +166,21 @@ def _first_pass(buckets: int, n_bands: int, per_band: int):
         n, at = n[some], at[order]
         a = (anchor[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(some.astype(np.int32)), _lists(a, n), _lists(ids[order].view(np.int64), n), _lists(keys[at].view(np.int32).ravel(), n * n_bands)], names=["bucket", "a", "id", "band"]
+            [pa.array(some.astype(np.int32)), _lists(a, n), _lists(ids[order].view(np.int64), n), _lists(keys[at].view(np.int32).ravel(), n * n_bands), _lists(docs[at], n)],
+            names=["bucket", "a", "id", "band", "doc"],
         )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for b in batches:
-            for _, _, texts in text_chunks(b.column(0)):
+            docs = b.column(1).to_numpy()
+            for lo, hi, texts in text_chunks(b.column(0)):
                 p = Paragraphs(texts)
                 if not len(p.id):
                     continue
                 ids, first, inv = np.unique(p.id, return_index=True, return_inverse=True)
                 owners = np.unique(inv * len(texts) + p.owner) // len(texts)
-                held.append((p.anchor[first], ids, p.bands(first, n_bands, per_band), np.bincount(owners)))
+                held.append((p.anchor[first], ids, p.bands(first, n_bands, per_band), docs[lo:hi][p.owner[first]], np.bincount(owners)))
                 rows += len(first)
                 if rows >= HELD:
                     yield from flush(held)
@@ -202,7 +207,7 @@ def _flat(t: pa.Table, name: str) -> np.ndarray:
 
 
 def _meet(n_bands: int):
-    """Rows (bucket, a, id, band) of a partition -> (id, kind): 0 for a paragraph that two documents have, 1 for one that shares anchor and band with another, 2 for such a one of an anchor of many."""
+    """Rows (bucket, a, id, band, doc) of a partition -> (id, kind, doc): 0 for a paragraph that two documents have, 1 for one that shares anchor and band with another, 2 for such a one of an anchor of many."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _held(batches)
@@ -210,7 +215,7 @@ def _meet(n_bands: int):
             return
         n = t.column("a").combine_chunks().value_lengths().to_numpy()
         key = np.repeat(t.column("bucket").to_numpy().astype(np.uint64), n) << np.uint64(32) | _flat(t, "a").view(np.uint32)
-        ids, keys = _flat(t, "id").view(np.uint64), _flat(t, "band").reshape(-1, n_bands)
+        ids, keys, docs = _flat(t, "id").view(np.uint64), _flat(t, "band").reshape(-1, n_bands), _flat(t, "doc")
         same = [ids[(ids & np.uint64(1)).astype(bool)] & ~np.uint64(1)]
         ids = ids & ~np.uint64(1)
         order = np.argsort(key, kind="stable")
@@ -218,12 +223,12 @@ def _meet(n_bands: int):
         new = np.append(True, key[1:] != key[:-1])
         alone = new & np.append(new[1:], True)
         key, at = key[~alone], order[~alone]
-        order = np.lexsort((ids[at], key))
+        order = np.lexsort((docs[at], ids[at], key))
         key, at = key[order], at[order]
-        ids, keys = ids[at], keys[at].view(np.uint32)
+        ids, keys, docs = ids[at], keys[at].view(np.uint32), docs[at]
         again = np.append(False, ids[1:] == ids[:-1])[: len(ids)]
         same = np.unique(np.concatenate([*same, ids[again]]))
-        key, ids, keys = key[~again], ids[~again], keys[~again]
+        key, ids, keys, docs = key[~again], ids[~again], keys[~again], docs[~again]
         token = _tokens(key, keys)
         order = np.argsort(token, kind="stable")
         token = token[order]
@@ -231,15 +236,27 @@ def _meet(n_bands: int):
         tie[:-1] |= tie[1:]
         met = np.zeros(len(ids), dtype=bool)
         met[order[tie] // n_bands] = True
-        key, ids = key[met], ids[met]
+        key, ids, docs = key[met], ids[met], docs[met]
         _, inv, n = np.unique(key, return_inverse=True, return_counts=True)
         kind = np.where(n[inv] > GROUP, 2, 1) if len(key) else np.zeros(0, dtype=np.int64)
-        both = np.concatenate([same, ids]).view(np.int64)
-        yield pa.RecordBatch.from_pydict({"id": pa.array(both), "kind": pa.array(np.concatenate([np.zeros(len(same), dtype=np.int64), kind]).astype(np.int32))})
+        both, none = np.concatenate([same, ids]).view(np.int64), np.zeros(len(same), dtype=np.int32)
+        yield pa.RecordBatch.from_pydict({"id": pa.array(both), "kind": pa.array(np.concatenate([none, kind]).astype(np.int32)), "doc": pa.array(np.concatenate([none, docs]))})
 
     return meet
 
 
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, ids) -> (anchor, id, x) of the paragraphs of the texts that have these ids."""
+    for b in batches:
+        for lo, hi, texts in text_chunks(b.column(0)):
+            p = Paragraphs(texts)
+            rows = np.flatnonzero(np.isin(p.id, b.column(1).slice(lo, hi - lo).flatten().to_numpy().view(np.uint64)))
+            rows = rows[np.unique(p.id[rows], return_index=True)[1]]
+            if len(rows):
+                x, n = p.sets(rows)
+                yield pa.RecordBatch.from_arrays([*[pa.array(v[rows].view(np.int64)) for v in (p.anchor, p.id)], _lists(x.astype(np.int32), n)], names=["anchor", "id", "x"])
+
+
 def _merge(parent: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """parent (the least member of each one's component) after links p, q."""
     while True:
@@ -342,33 +359,24 @@ def clusters(docs: DataFrame, per_band: int = ROWS, recall: float = RECALL) -> D
     n_bands = bands(rows=per_band, recall=recall)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (6 * WINDOW // 2 * TASK_ROWS))
-    cut = docs.select("text").mapInArrow(_first_pass(16 * parts, n_bands, per_band), "bucket int, a array<int>, id array<long>, band array<int>")
-    met = common.stored(cut.repartition(parts, "bucket").mapInArrow(_meet(n_bands), "id long, kind int"), "paragraphs-met")
+    # Equal keys of different texts do no harm: a task looks for ids in a few more texts.
+    keyed = docs.select("text", F.hash("doc_id", "text").alias("doc"))
+    cut = keyed.mapInArrow(_first_pass(16 * parts, n_bands, per_band), "bucket int, a array<int>, id array<long>, band array<int>, doc array<int>")
+    met = _stored(cut.repartition(parts, "bucket").mapInArrow(_meet(n_bands), "id long, kind int, doc int"), "paragraphs-met")
     n = {r["kind"]: r["n"] for r in met.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def candidates(kind: int) -> DataFrame:
-        """(anchor, id, x) of the paragraphs of that kind, and maybe of others; repeats are possible."""
-        among = _Among(met.where(F.col("kind") == kind).select("id"))
-
-        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for _, _, texts in text_chunks(b.column(0)):
-                    p = Paragraphs(texts)
-                    rows = np.flatnonzero(among(p.id))
-                    rows = rows[np.unique(p.id[rows], return_index=True)[1]]
-                    if len(rows):
-                        x, n = p.sets(rows)
-                        yield pa.RecordBatch.from_arrays([*[pa.array(v[rows].view(np.int64)) for v in (p.anchor, p.id)], _lists(x.astype(np.int32), n)], names=["anchor", "id", "x"])
-
-        return docs.select("text").mapInArrow(found, "anchor long, id long, x array<int>")
+        """(anchor, id, x) of the paragraphs of that kind, from the one text that was noted of each; repeats are possible."""
+        wanted = met.where(F.col("kind") == kind).groupBy("doc").agg(F.collect_list("id").alias("ids"))
+        return keyed.join(wanted.hint("shuffle_hash"), "doc").select("text", "ids").mapInArrow(_wanted, "anchor long, id long, x array<int>")
 
     spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n.get(1, 0) // LINK_ROWS)
     linked = candidates(1).repartition(spread, "anchor").mapInArrow(_links, "id long, comp long")
-    linked = common.stored(linked, "paragraph-links", narrow=True)
+    linked = _stored(linked, "paragraph-links", narrow=True)
     if n.get(2):
         linked = linked.unionByName(_linked_apart(candidates(2)))
     rest = met.where("kind = 0").select("id").join(linked.select("id"), "id", "left_anti")
-    return common.stored(linked.unionByName(rest.select("id", F.col("id").alias("comp"))), "paragraph-clusters", narrow=True)
+    return _stored(linked.unionByName(rest.select("id", F.col("id").alias("comp"))), "paragraph-clusters", narrow=True)
 
 
 def _linked_apart(found: DataFrame) -> DataFrame:
@@ -416,12 +424,12 @@ def repeated(docs: DataFrame, per_band: int = ROWS, recall: float = RECALL) -> D
 
     keyed = docs.select("doc_id", F.monotonically_increasing_id().alias("u"), "text")
     places = keyed.mapInArrow(placed, "doc_id long, u long, id long, first long, words long, head long, end long, line long")
-    places = common.stored(places.join(known, "id").drop("id"), "paragraph-places")
+    places = _stored(places.join(known, "id").drop("id"), "paragraph-places")
     c = F.col
     # Of each cluster the first occurrence, by (named, doc_id, row, word).
     key = F.struct(c("doc_id").isNull().alias("unnamed"), c("doc_id").alias("doc"), "u", "first")
     groups = places.groupBy("comp").agg(F.min(key).alias("lead"), F.min("u").alias("lo"), F.max("u").alias("hi"), F.count(F.lit(1)).alias("copies"))
-    groups = common.stored(groups.where("lo <> hi").select("comp", "lead", "copies"), "paragraph-groups", narrow=True)
+    groups = _stored(groups.where("lo <> hi").select("comp", "lead", "copies"), "paragraph-groups", narrow=True)
     hit = places.join(common.small(groups), "comp")
     hit = hit.withColumn("removed", ~((c("u") == c("lead.u")) & (c("first") == c("lead.first")))).withColumn("lead_u", c("lead.u"))
     order = W.partitionBy("u").orderBy("first")
